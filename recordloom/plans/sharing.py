@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from recordloom.columns import data_columns
 from recordloom.operators.clean import clean
 from recordloom.operators.filters import drop_expired
+from recordloom.operators.log import align_schema
 from recordloom.operators.versions import (
     current_versions,
     deleted_counts,
-    protected_versions,
     retention,
     upsert_sync,
 )
-from recordloom.rules import ORD, ImportRule
+from recordloom.rules import ImportRule
 from recordloom.session import stable
 from recordloom.sources.snapshots import delete_versions, fetch_snapshot, read_manifest
 from recordloom.sources.tables import write_table
@@ -49,7 +49,7 @@ def sync_source(
     write_table(df, raw_path, list(entry.columns))
     stored = spark.read.parquet(raw_path)
     if rule.clean:
-        cleaned = clean(stored, rule.clean)
+        cleaned = clean(align_schema(stored, rule.fields), rule.clean)
         write_table(cleaned, cleaned_path, [c for c in data_columns(cleaned) if c in rule.fields])
     return Row(
         source=source, version=version, sha256=entry.sha256, rows=stored.count(),
@@ -77,7 +77,3 @@ def expire_snapshots(
     delete_versions(spark, root, gone)
     return deleted_counts(gone)
 
-
-__all__ = [
-    "ORD", "current_version", "expire_snapshots", "protected_versions", "save_sync", "sync_source",
-]
