@@ -47,7 +47,7 @@ def lineitem_text(spark: SparkSession, sf: str) -> DataFrame:
 def base_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with some keys padded: a padded base key finds no trimmed match."""
     df = orders_text(spark, sf)
-    padded = F.when(F.col(ORD)["o_orderkey"] % 13 == 0, F.concat(F.lit(" "), F.col("o_orderkey")))
+    padded = F.when(F.col(ORD) % 13 == 0, F.concat(F.lit(" "), F.col("o_orderkey")))
     return df.withColumn("o_orderkey", F.coalesce(padded, F.col("o_orderkey")))
 
 

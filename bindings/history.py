@@ -33,7 +33,7 @@ NOW = "2026/10/13 09:30:00"
 def results(spark, sf):
     """Orders as result rows; some Conflict, some Incomplete."""
     df = fr.orders_text(spark, sf)
-    i = F.col(ORD)["o_orderkey"]
+    i = F.col(ORD)
     return df.select(
         F.concat_ws("::", "o_orderkey", "o_custkey").alias("result_key"),
         F.when(i % 17 == 0, "Conflict").when(i % 19 == 0, "Incomplete").otherwise("Ready").alias("status"),
@@ -51,7 +51,7 @@ def stored_log(spark, sf):
     Orders whose key leaves 0 modulo 3 end up stored unchanged, 1 changed, 2 absent.
     """
     df = fr.orders_text(spark, sf)
-    i = F.col(ORD)["o_orderkey"]
+    i = F.col(ORD)
     generation = F.explode(F.sequence(F.lit(1), F.lit(4))).alias("g")
     rows = df.select("*", i.alias("i"), generation).where("i % 3 < 2 and (g <> 2 or i % 12 = 0)")
     newest = F.col("g") == 3
@@ -173,7 +173,7 @@ def derived_fill_query(spark, sf):
         "orders", "order_code", ("order_code",), (),
         (OutputColumn("Choose Action", transform="record_action"),),
     )
-    gap = F.col(ORD)["o_orderkey"] % 5 == 0
+    gap = F.col(ORD) % 5 == 0
     rows = results(spark, sf).withColumn("Choose Action", F.when(gap, " ").otherwise("Add"))
     return derived_fill(rows, rule).select("result_key", "status", "Choose Action", "is_missing")
 
@@ -263,7 +263,7 @@ select (select count(*) from orders_t) as old_rows, (select count(*) from new_ro
   (select count(*) from (select * from new_rows except select o_orderkey, o_orderstatus, o_orderpriority from orders_t)) as new_not_old""")
 def verify_rewrite(spark, sf):
     old = fr.orders_text(spark, sf)
-    i = F.col(ORD)["o_orderkey"]
+    i = F.col(ORD)
     new = lg.align_schema(old, LAYOUT).withColumns({
         "note": F.when(i % 250 == 0, "kept").otherwise(""),
         "o_orderstatus": F.when(i % 100 == 0, "").otherwise(F.col("o_orderstatus")),
@@ -279,7 +279,7 @@ union all select o_orderkey, 'o_orderpriority', p1, p2 from j where p1 is distin
 def differing_cells(spark, sf):
     names = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
     left = fr.orders_text(spark, sf)
-    blank = F.when(F.col(ORD)["o_orderkey"] % 5 == 0, "").otherwise(F.col("o_orderpriority"))
+    blank = F.when(F.col(ORD) % 5 == 0, "").otherwise(F.col("o_orderpriority"))
     right = left.where("o_orderstatus <> 'P'").withColumn("o_orderpriority", blank)
     return cell_diff(left.select(*names), right.select(*names), ["o_orderkey"])
 
@@ -301,7 +301,7 @@ def run_log(spark, sf, edited=True):
     """What an earlier run recorded; some quantities differed, some rows were absent."""
     ready = con.consolidated(spark, sf).where("status = 'Ready'")
     if edited:
-        i = F.col(ORD)["base"]["o_orderkey"]
+        i = F.col(ORD)["base"]
         older = F.when(i % 5 == 0, "1").otherwise(F.col("Quantity"))
         ready = ready.where(i % 7 != 0).withColumn("Quantity", older)
     rows = lg.append_records(ready, RUN_LOG, RUN_LOG, "2026/10/01 08:00:00")

@@ -228,7 +228,7 @@ EVENT_RULE = ImportRule(
 def staged_events(spark, sf):
     """Some values blank, some properties blank, some rows blank throughout."""
     df = fr.events_text(spark, sf)
-    i = F.col(ORD)["event_id"]
+    i = F.col(ORD)
     hollow = i % 101 == 0
 
     def cell(name, gap, text):

@@ -23,6 +23,10 @@ _SPACE_CLASS = (
 )
 INVISIBLE_PATTERN = r"\A[" + _SPACE_CLASS + r"\p{Cf}]*\z"
 NUMBER_PATTERN = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+DATE_PATTERN = (
+    r"\A(?:([0-9]{4})(?:-([0-9]{1,2})-([0-9]{1,2})|/([0-9]{1,2})/([0-9]{1,2})"
+    r"|\.([0-9]{2})\.([0-9]{2})|([0-9]{2})([0-9]{2}))|[\s\S]*)\z"
+)
 INFINITY_PATTERN = r"\A[+-]?(?i:inf|infinity)\z"
 
 
@@ -31,11 +35,24 @@ def trim_text(c: Column) -> Column:
 
     ``trim`` with an explicit character list walks in from both ends, which is
     cheaper than a regular expression and, unlike plain ``trim``, knows more
-    than U+0020.
+    than U+0020. It mentions ``c`` once, so it nests without growing.
     """
     return F.trim(F.coalesce(c, F.lit("")), F.lit(WHITESPACE))
 
 
+def trim_key(c: Column) -> Column:
+    """The same value as :func:`trim_text`, faster on a plain column.
+
+    A first and a last character in the visible ASCII range settle nearly every
+    key. It mentions ``c`` several times: meant for stored key columns, which
+    every row evaluates, not for nesting.
+    """
+    text = F.coalesce(c, F.lit(""))
+    last = F.substring(text, -1, 1)
+    tidy = text.between("!", "~") & last.between("!", "~")
+    return F.when(tidy, text).otherwise(F.trim(text, F.lit(WHITESPACE)))
+
+
 def is_blank(c: Column) -> Column:
     """No visible character: null, white space, or invisible format characters.
 
@@ -44,7 +61,7 @@ def is_blank(c: Column) -> Column:
     """
     return (
         F.when(c.isNull() | (c == ""), True)
-        .when(F.substring(c, 1, 1).between("!", "~"), False)
+        .when(c.between("!", "~"), False)
         .otherwise(c.rlike(INVISIBLE_PATTERN))
     )
 
@@ -71,20 +88,13 @@ def to_number(c: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """Date part of y-m-d, y/m/d, y.mm.dd or yyyymmdd; null when unparsable."""
+    """Date part of y-m-d, y/m/d, y.mm.dd or yyyymmdd; null when unparsable.
+
+    One replacement writes any of the four spellings as y-m-d and everything
+    else as something that is no date.
+    """
     head = F.substring_index(F.substring_index(trim_text(c), " ", 1), "T", 1)
-    text = trim_text(head)
-    dashed = (
-        F.when(text.rlike(r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"), text)
-        .when(text.rlike(r"\A[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}\z"), F.translate(text, "/", "-"))
-        .when(text.rlike(r"\A[0-9]{4}\.[0-9]{2}\.[0-9]{2}\z"), F.translate(text, ".", "-"))
-        .when(
-            text.rlike(r"\A[0-9]{8}\z"),
-            F.concat_ws(
-                "-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)
-            ),
-        )
-    )
+    dashed = F.regexp_replace(trim_text(head), DATE_PATTERN, "$1-$2$4$6$8-$3$5$7$9")
     return dashed.try_cast("date")
 
 

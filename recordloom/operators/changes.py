@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.columns import col, data_columns, record
-from recordloom.functions.text import trim_text
+from recordloom.functions.text import trim_key, trim_text
 from recordloom.rules import (
     CONFLICT,
     DUPLICATE,
@@ -39,7 +39,7 @@ def classify(result: DataFrame, latest: DataFrame, rule: ChangeRule) -> DataFram
     per result row and a crowded identity may be split on the left side.
     """
     compared = comparable_columns(rule, data_columns(latest))
-    marks = [trim_text(col(f)).alias(f"_id_{i}") for i, f in enumerate(rule.identity)]
+    marks = [trim_key(col(f)).alias(f"_id_{i}") for i, f in enumerate(rule.identity)]
     ids = [f"_id_{i}" for i in range(len(rule.identity))]
     stored = latest.select(
         *marks,
@@ -47,15 +47,17 @@ def classify(result: DataFrame, latest: DataFrame, rule: ChangeRule) -> DataFram
         *[trim_text(col(c)).alias(f"_old_{i}") for i, c in enumerate(compared)],
     )
     joined = result.select("*", *marks).join(stored, ids, "left")
+    none = F.array().cast("array<string>")
     differing = [
-        F.when(trim_text(col(c)) != F.col(f"_old_{i}"), F.lit(c)) for i, c in enumerate(compared)
+        F.when(trim_text(col(c)) != F.col(f"_old_{i}"), F.array(F.lit(c))).otherwise(none)
+        for i, c in enumerate(compared)
     ]
-    changed = F.array_compact(F.array(*differing)) if differing else F.array().cast("array<string>")
+    changed = F.flatten(F.array(*differing)) if differing else none
     known = F.col("_known").isNotNull()
     with_lists = joined.select(
         *[col(c) for c in result.columns],
         known.alias("stored"),
-        F.when(known, changed).otherwise(F.array().cast("array<string>")).alias("changed_columns"),
+        F.when(known, changed).otherwise(none).alias("changed_columns"),
     )
     kind = (
         F.when(~F.col("stored"), NEW)
@@ -176,9 +178,8 @@ def latest_records(
     missing = [f for f in identity if f not in names]
     if missing:
         raise ValueError(f"log is missing identity columns: {', '.join(missing)}")
-    marks = [trim_text(col(f)).alias(f"_id_{i}") for i, f in enumerate(identity)]
+    marks = [trim_key(col(f)).alias(f"_id_{i}") for i, f in enumerate(identity)]
     time = F.coalesce(col(time_column), F.lit("")) if time_column in names else F.lit("")
-    newest = F.struct(time.alias("time"), F.col(ORD).alias("ord"))
-    row = F.struct(record(names).alias("row"), F.col(ORD).alias("ord"))
-    grouped = log.groupBy(*marks).agg(F.max_by(row, newest).alias("_new"))
+    newest = F.struct(time.alias("time"), F.col(ORD).alias("ord"), record(names).alias("row"))
+    grouped = log.groupBy(*marks).agg(F.max(newest).alias("_new"))
     return grouped.select("_new.row.*", F.col("_new.ord").alias(ORD))

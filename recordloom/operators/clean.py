@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.columns import col, data_columns, record
-from recordloom.functions.text import trim_text
+from recordloom.functions.text import trim_key, trim_text
 from recordloom.operators.validate import BatchRejected
 from recordloom.rules import ORD, CleanRule
 
@@ -26,10 +26,12 @@ def latest_per_key(df: DataFrame, by: Sequence[str], latest_by: str) -> DataFram
 
     ``_first`` keeps where the key first appeared, for the order of groups.
     """
-    keys = [trim_text(col(f)).alias(f"_by_{i}") for i, f in enumerate(by)]
-    newest = F.struct(trim_text(col(latest_by)).alias("latest"), F.col(ORD).alias("ord"))
-    row = F.struct(record(data_columns(df)).alias("row"), F.col(ORD).alias("ord"))
-    grouped = df.groupBy(*keys).agg(F.max_by(row, newest).alias("_new"), F.min(ORD).alias("_first"))
+    keys = [trim_key(col(f)).alias(f"_by_{i}") for i, f in enumerate(by)]
+    newest = F.struct(
+        trim_text(col(latest_by)).alias("latest"), F.col(ORD).alias("ord"),
+        record(data_columns(df)).alias("row"),
+    )
+    grouped = df.groupBy(*keys).agg(F.max(newest).alias("_new"), F.min(ORD).alias("_first"))
     return grouped.select("_new.row.*", F.col("_new.ord").alias(ORD), "_first")
 
 
@@ -37,9 +39,12 @@ def collapse_groups(latest: DataFrame, rule: CleanRule, joined: DataFrame | None
     """One row per group: the newest row's raw values, joined columns replaced."""
     groups = _groups(rule)
     names = [c for c in data_columns(latest) if c != "_first"]
-    newest = F.struct(trim_text(col(rule.latest_by)).alias("latest"), F.col(ORD).alias("ord"))
+    newest = F.struct(
+        trim_text(col(rule.latest_by)).alias("latest"), F.col(ORD).alias("ord"),
+        record(names).alias("row"),
+    )
     head = latest.groupBy(*_group_columns(rule)).agg(
-        F.max_by(record(names), newest).alias("_row"), F.min("_first").alias("_at")
+        F.max(newest).alias("_new"), F.min("_first").alias("_at")
     )
     joins = [*rule.join_comma, *rule.join_backslash]
     if joined is not None and joins:
@@ -48,7 +53,7 @@ def collapse_groups(latest: DataFrame, rule: CleanRule, joined: DataFrame | None
         (
             F.coalesce(F.col("_joined").getField(f"c{joins.index(name)}"), F.lit(""))
             if joined is not None and name in joins
-            else F.col("_row").getField(name)
+            else F.col("_new.row").getField(name)
         ).alias(name)
         for name in names
     ]
@@ -129,7 +134,7 @@ def unique_conflict_summary(conflicts: DataFrame, latest: DataFrame, rule: Clean
     )
     examples = ranked.groupBy("field").agg(
         F.array_join(
-            F.array_sort(F.collect_list(F.struct("_rank", text.alias("text"))))["text"], "；"
+            F.sort_array(F.collect_list(F.struct("_rank", text.alias("text"))))["text"], "；"
         ).alias("examples")
     )
     counts = conflicts.groupBy("field").agg(F.count("*").alias("groups"))
@@ -169,4 +174,4 @@ def _groups(rule: CleanRule) -> list[str]:
 
 
 def _group_columns(rule: CleanRule):
-    return [trim_text(col(f)).alias(f"_group_{i}") for i, f in enumerate(rule.group_by)]
+    return [trim_key(col(f)).alias(f"_group_{i}") for i, f in enumerate(rule.group_by)]

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.columns import col, data_columns, record
+from recordloom.columns import col, data_columns, record, rows_differ
 from recordloom.functions.text import trim_text
 from recordloom.operators.match import MATCH, key_names, matchable
 from recordloom.rules import ORD
@@ -34,7 +34,7 @@ def content_conflicts(
     differing = (
         matchable(src, match, expand_by)
         .groupBy(*keys)
-        .agg((F.min(record(names)) != F.max(record(names))).alias("_differs"))
+        .agg(rows_differ(names).alias("_differs"))
         .where("_differs")
         .drop("_differs")
     )
@@ -95,7 +95,7 @@ def value_conflicts(
         .groupBy(MATCH)
         .agg(F.count("*").alias("n"), F.collect_list(text).alias("values"))
         .where("n > 1")
-        .select(MATCH, F.concat(head, F.array_join(F.array_sort("values"), ", ")).alias("detail"))
+        .select(MATCH, F.concat(head, F.array_join(F.sort_array("values"), ", ")).alias("detail"))
     )
 
 
@@ -145,7 +145,7 @@ def cell_notes(
         F.lit(label + LABEL_MARK),
         F.concat_ws("+", *keys),
         F.lit(CANDIDATES),
-        F.array_join(F.array_sort(F.collect_list("value")), ", "),
+        F.array_join(F.sort_array(F.collect_list("value")), ", "),
     )
     return (
         shown.groupBy(*keys, "column")
@@ -159,7 +159,9 @@ def row_conflict_text(details: Sequence[Column]) -> Column:
     """The row's conflict lines, sorted, one per line; ``''`` when there are none."""
     if not details:
         return F.lit("")
-    return F.array_join(F.array_sort(F.array_compact(F.array(*details))), "\n")
+    if len(details) == 1:
+        return F.coalesce(details[0], F.lit(""))
+    return F.concat_ws("\n", F.sort_array(F.array(*details)))
 
 
 def conflict_list(result: DataFrame, column: str = "row_conflict") -> DataFrame:

@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.columns import col, data_columns, record
-from recordloom.functions.text import is_empty, trim_text
+from recordloom.columns import col, data_columns, record, rows_differ
+from recordloom.functions.text import is_empty, trim_key, trim_text
 from recordloom.rules import ORD, MergeRecords, NoMatch
 from recordloom.sources.tables import keyed_table
 
@@ -27,8 +27,8 @@ class NoExpansionError(ValueError):
 
 def match_keys(match: str, expand_by: Sequence[str] = ()) -> list[Column]:
     """Trimmed key columns ``_match``, ``_expand_0``, ``_expand_1``, …"""
-    keys = [trim_text(col(match)).alias(MATCH)]
-    keys += [trim_text(col(f)).alias(f"_expand_{i}") for i, f in enumerate(expand_by)]
+    keys = [trim_key(col(match)).alias(MATCH)]
+    keys += [trim_key(col(f)).alias(f"_expand_{i}") for i, f in enumerate(expand_by)]
     return keys
 
 
@@ -70,12 +70,10 @@ def pick_per_key(
 ) -> DataFrame:
     """``(_match, name)``: one record per trimmed key."""
     fields = list(fields if fields is not None else data_columns(src))
-    chosen = F.max_by if pick == "last" else F.min_by
-    return (
-        matchable(src, key)
-        .groupBy(MATCH)
-        .agg(chosen(record(fields), F.col(ORD)).alias(name))
-    )
+    chosen = F.max if pick == "last" else F.min
+    placed = F.struct(F.col(ORD).alias("at"), record(fields).alias("row"))
+    grouped = matchable(src, key).groupBy(MATCH).agg(chosen(placed).alias("_row"))
+    return grouped.select(MATCH, F.col("_row.row").alias(name))
 
 
 def attach(base: DataFrame, base_key: str, keyed: DataFrame) -> DataFrame:
@@ -93,14 +91,14 @@ def expansion_records(
     """
     names = data_columns(src)
     fields = list(fields if fields is not None else names)
-    aggregates = [
-        F.min_by(record(fields), F.col(ORD)).alias(name),
-        F.min(ORD).alias("_first"),
-    ]
-    if conflicts:
-        differs = F.min(record(names)) != F.max(record(names))
-        aggregates.append(differs.alias("_differs"))
-    return matchable(src, match, expand_by).groupBy(*key_names(expand_by)).agg(*aggregates)
+    keys = key_names(expand_by)
+    head = F.min(F.struct(F.col(ORD).alias("at"), record(fields).alias("row"))).alias("_head")
+    differs = [rows_differ(names).alias("_differs")] if conflicts else []
+    grouped = matchable(src, match, expand_by).groupBy(*keys).agg(head, *differs)
+    return grouped.select(
+        *keys, F.col("_head.row").alias(name), F.col("_head.at").alias("_first"),
+        *(["_differs"] if conflicts else []),
+    )
 
 
 def expand_one_to_many(
@@ -171,7 +169,7 @@ def join_records(
     outputs = []
     for i, (name, (_, _, record_separator)) in enumerate(cells.items()):
         wanted = (F.col("cell") == i) & (F.col("item") != "")
-        gathered = F.array_sort(F.collect_list(F.when(wanted, place)))
+        gathered = F.sort_array(F.collect_list(F.when(wanted, place)))
         outputs.append(F.array_join(gathered["item"], record_separator).alias(name))
     return distinct.groupBy(MATCH).agg(*outputs)
 

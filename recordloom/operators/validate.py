@@ -155,7 +155,7 @@ def _mapped_spec(spec, rule: ImportRule):
 
 
 def _violations(df: DataFrame, row: str, checks: Sequence[tuple]) -> DataFrame:
-    """One pass: an array of the violations of each row, exploded."""
+    """One pass: failing rows first, then the array of their violations, exploded."""
     if not checks:
         empty = F.array().cast(
             "array<struct<position:int,field:string,label:string,condition:string,"
@@ -174,6 +174,7 @@ def _violations(df: DataFrame, row: str, checks: Sequence[tuple]) -> DataFrame:
             ],
         )
         found.append(F.when(failed, entry))
-    return df.select(
+    failing = df.where(reduce(Column.__or__, [failed for _, failed, _ in checks]))
+    return failing.select(
         col(row).alias("row_number"), F.inline(F.array_compact(F.array(*found)))
     )

@@ -196,7 +196,7 @@ def run_record(
     )
     used = versions.where("version <> ''").agg(
         F.array_join(
-            F.array_sort(F.collect_list(F.concat_ws("=", "source", "version"))), ","
+            F.sort_array(F.collect_list(F.concat_ws("=", "source", "version"))), ","
         ).alias("versions")
     )
     both = counts.withColumn("_one", F.lit(1)).join(used.withColumn("_one", F.lit(1)), "_one")

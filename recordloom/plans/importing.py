@@ -17,7 +17,7 @@ from recordloom.operators.validate import batch_gate
 from recordloom.rules import ORD, ImportRule
 from recordloom.session import stable
 from recordloom.sources.delimited import read_headed
-from recordloom.sources.tables import append_rows, next_batch, stamp_order, write_table
+from recordloom.sources.tables import append_rows, next_start, stamp_order, write_table
 
 
 @dataclass(frozen=True)
@@ -79,12 +79,12 @@ def _store(spark: SparkSession, rows: DataFrame, rule: ImportRule, path: str) ->
     if stored is None:
         write_table(stamp_order(rows, 0), path, rule.fields)
     elif set(rule.fields) <= set(stored.columns):
-        fresh = stamp_order(rows, next_batch(stored))
+        fresh = stamp_order(rows, next_start(stored))
         blank = [c for c in stored.columns if c not in fresh.columns]
         whole = fresh.select("*", *[F.lit("").alias(c) for c in blank])
         whole.select(*[col(c) for c in stored.columns]).write.mode("append").parquet(path)
     else:
-        fresh = stamp_order(rows, next_batch(stored))
+        fresh = stamp_order(rows, next_start(stored))
         widened = stable(append_rows(stored, fresh))
         write_table(widened, path, [c for c in widened.columns if c != ORD])
 

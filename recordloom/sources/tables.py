@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from recordloom.columns import col, data_columns
 from recordloom.rules import ORD
 
+_LAST_START = 2**62
+
 
 def as_text(
     df: DataFrame,
@@ -21,14 +23,17 @@ def as_text(
     """Every column as a string, null as ``''``.
 
     ``order_by`` names the columns that give the rows a total order; they are
-    kept, still typed, in the row-order column.
+    kept, still typed, in the row-order column (one column as itself, several as
+    a struct).
     """
     cells = [
         F.coalesce(_text(f, decimals, timestamp_format), F.lit("")).alias(f.name)
         for f in df.schema.fields
         if f.name != ORD
     ]
-    if order_by:
+    if len(order_by) == 1:
+        cells.append(col(order_by[0]).alias(ORD))
+    elif order_by:
         cells.append(F.struct(*[col(name) for name in order_by]).alias(ORD))
     elif ORD in df.columns:
         cells.append(F.col(ORD))
@@ -44,22 +49,22 @@ def _text(f: T.StructField, decimals: int, timestamp_format: str) -> Column:
     return c.cast("string")
 
 
-def stamp_order(df: DataFrame, batch: int) -> DataFrame:
-    """Replace the row order by ``(batch, position)`` for storage.
+def stamp_order(df: DataFrame, start: int = 0) -> DataFrame:
+    """Replace the row order by one growing number for storage.
 
-    One range shuffle by the old order; ids then grow along it, and a later
-    batch sorts after every earlier one.
+    One range shuffle by the old order; ids then grow along it. ``start`` puts a
+    later batch after everything stored. The numbers have gaps, so a table takes
+    thousands of very large batches before it would have to be numbered again.
     """
-    at = F.struct(
-        F.lit(batch).cast("long").alias("batch"),
-        F.monotonically_increasing_id().alias("pos"),
-    )
+    if start > _LAST_START:
+        raise OverflowError("row numbers are used up: stamp the whole table again")
+    at = F.lit(start).cast("long") + F.monotonically_increasing_id()
     return df.orderBy(ORD).withColumn(ORD, at)
 
 
-def next_batch(stored: DataFrame) -> int:
-    """The batch number that follows everything stored (one small aggregate)."""
-    newest = stored.agg(F.max(F.col(ORD)["batch"])).first()[0]
+def next_start(stored: DataFrame) -> int:
+    """The number that follows everything stored (one small aggregate)."""
+    newest = stored.agg(F.max(ORD)).first()[0]
     return 0 if newest is None else newest + 1
 
 
@@ -84,8 +89,8 @@ def keyed_table(df: DataFrame, key: str | None = None) -> DataFrame:
     if key is None:
         return df
     others = [name for name in data_columns(df) if name != key]
-    last = F.max_by(F.struct(*[col(name) for name in others]), ORD) if others else F.lit(None)
-    grouped = df.groupBy(col(key)).agg(last.alias("_last"), F.min(ORD).alias("_first"))
+    placed = F.struct(F.col(ORD), *[col(name) for name in others])
+    grouped = df.groupBy(col(key)).agg(F.max(placed).alias("_last"), F.min(ORD).alias("_first"))
     values = {name: F.col("_last").getField(name) for name in others}
     values[key] = col(key)
     return grouped.select(
