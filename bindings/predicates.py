@@ -22,15 +22,14 @@ from recordloom.operators import filters, validate
 from recordloom.rules import ORD, ColumnRule, ImportRule
 
 WORDS = ("NA", "N/A", "nan")
-V = F.col("v")
 
 
 @query("text_normalization", f"""with {fr.PARTS}
 select p_partkey, {fr.trim('v')} as trimmed, {fr.blank('v')} as blank, {fr.empty('v')} as empty from parts""")
 def text_normalization(spark, sf):
     return fr.untidy_parts(spark, sf).select(
-        "p_partkey", trim_text(V).alias("trimmed"), is_blank(V).alias("blank"),
-        is_empty(V, WORDS).alias("empty"),
+        "p_partkey", trim_text(F.col("v")).alias("trimmed"), is_blank(F.col("v")).alias("blank"),
+        is_empty(F.col("v"), WORDS).alias("empty"),
     )
 
 
@@ -38,7 +37,7 @@ def text_normalization(spark, sf):
 select p_partkey, cast({fr.number('v')} as decimal(12,2)) as parsed from parts""")
 def number_parsing(spark, sf):
     return fr.untidy_parts(spark, sf).select(
-        "p_partkey", to_number(V).cast("decimal(12,2)").alias("parsed")
+        "p_partkey", to_number(F.col("v")).cast("decimal(12,2)").alias("parsed")
     )
 
 
@@ -133,7 +132,7 @@ def value_mapping(spark, sf):
 @query("accepted_values", f"""with {fr.PARTS}
 select p_partkey, ({fr.trim('v')} = '' or lower({fr.trim('v')}) in ('na', 'brand#7', 'red widget')) as ok from parts""")
 def accepted_values(spark, sf):
-    ok = accepted(V, ["na", " BRAND#7", "Red Widget"])
+    ok = accepted(F.col("v"), ["na", " BRAND#7", "Red Widget"])
     return fr.untidy_parts(spark, sf).select("p_partkey", ok.alias("ok"))
 
 

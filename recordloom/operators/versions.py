@@ -199,10 +199,11 @@ def run_record(
             F.sort_array(F.collect_list(F.concat_ws("=", "source", "version"))), ","
         ).alias("versions")
     )
-    both = counts.withColumn("_one", F.lit(1)).join(used.withColumn("_one", F.lit(1)), "_one")
-    return both.select(
-        F.lit(run_id).alias("run_id"), F.lit(at).alias("at"), F.lit(by).alias("by"), "versions",
-        *[s.lower() for s in STATUSES],
+    names = ["versions", *[s.lower() for s in STATUSES]]
+    both = counts.unionByName(used, allowMissingColumns=True)
+    one = both.agg(*[F.max(name).alias(name) for name in names])
+    return one.select(
+        F.lit(run_id).alias("run_id"), F.lit(at).alias("at"), F.lit(by).alias("by"), *names
     )
 
 
