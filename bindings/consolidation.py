@@ -198,9 +198,7 @@ def value_conflicts(spark, sf):
 
 def line_cells(spark, sf):
     lines = fr.order_lines(spark, sf)
-    keys = ["l_orderkey", "l_linenumber"]
-    found = cf.content_conflicts(lines, "l_orderkey", ["l_linenumber"], keys, "Lines")
-    return cf.conflict_cells(lines, "l_orderkey", ["l_linenumber"], found, FIELD_COLUMNS)
+    return cf.conflict_cells(lines, "l_orderkey", ["l_linenumber"], FIELD_COLUMNS)
 
 
 def _field(name: str, column: str) -> str:

@@ -1,13 +1,13 @@
 """Contradictions inside one source: per row, and per output cell.
 
-Row texts come from small per-key aggregates. Cell candidates are computed in a
-second step that only sees rows of contradictory keys, as distinct (key, field,
-value) rows; nothing gathers a whole group.
+Row texts come from small per-key aggregates. Cell candidates are distinct (key,
+field, value) rows of contradictory keys only; nothing gathers a whole group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from recordloom.columns import col, data_columns, record, rows_differ
 from recordloom.functions.text import trim_text
 from recordloom.operators.match import MATCH, key_names, matchable
+from recordloom.operators.skew import PART, cut, repeat
 from recordloom.rules import ORD
 
 # Wording and the number of candidates a note shows.
@@ -100,33 +101,41 @@ def value_conflicts(
 
 
 def conflict_cells(
-    src: DataFrame, match: str, expand_by: Sequence[str], conflicted: DataFrame,
+    src: DataFrame, match: str, expand_by: Sequence[str],
     field_columns: Mapping[str, Sequence[str]], only_filled: Sequence[str] = (),
 ) -> DataFrame:
     """``(keys, column, value)``: candidates of cells with several distinct values.
 
     ``field_columns`` maps a source field to the output columns it feeds.
-    ``only_filled`` leaves out rows whose listed fields are all blank.
+    ``only_filled`` leaves out rows whose listed fields are all blank. A field
+    with several values makes its key contradictory, so the keys need no other
+    test. Fixed-width aggregates find the fields; only rows of those keys are
+    turned into cells, those of a crowded key in many tasks.
     """
     keys = key_names(expand_by)
-    rows = matchable(src, match, expand_by).join(conflicted.select(*keys), keys, "left_semi")
+    names = [f"f{i}" for i in range(len(field_columns))]
+    rows = matchable(src, match, expand_by)
     if only_filled:
         rows = rows.where(F.concat(*[trim_text(col(f)) for f in only_filled]) != "")
+    rows = rows.select(*keys, *[trim_text(col(f)).alias(n) for f, n in zip(field_columns, names)])
+    sizes = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), *[rows_differ([n]).alias(f"{n}_several") for n in names]
+    )
+    found = sizes.where(reduce(Column.__or__, [F.col(f"{n}_several") for n in names]))
+    parts = cut(rows, sizes.select(*keys, "n"), keys, [F.col(n) for n in names])
+    copies = repeat(found, sizes.select("n"))
+    hit = parts.join(copies.drop("n"), [*keys, PART])
     cells = F.array(*[
-        F.struct(F.lit(i).alias("field"), trim_text(col(f)).alias("value"))
-        for i, f in enumerate(field_columns)
+        F.when(
+            F.col(f"{n}_several"), F.struct(F.lit(i).alias("field"), F.col(n).alias("value"))
+        )
+        for i, n in enumerate(names)
     ])
-    distinct = rows.select(*keys, F.inline(cells)).distinct()
-    several = (
-        distinct.groupBy(*keys, "field")
-        .agg((F.min("value") < F.max("value")).alias("_several"))
-        .where("_several")
-    )
-    by_field = distinct.join(several, [*keys, "field"], "left_semi")
-    targets = F.array(*[F.array(*map(F.lit, names)) for names in field_columns.values()])
+    distinct = hit.select(*keys, F.inline(cells)).where("field is not null").distinct()
+    targets = F.array(*[F.array(*map(F.lit, columns)) for columns in field_columns.values()])
     column = F.explode(F.element_at(targets, F.col("field") + 1)).alias("column")
-    spread = by_field.select(*keys, column, "value")
-    shared = [c for names in field_columns.values() for c in names]
+    spread = distinct.select(*keys, column, "value")
+    shared = [c for columns in field_columns.values() for c in columns]
     return spread.distinct() if len(shared) > len(set(shared)) else spread
 
 

@@ -1,9 +1,8 @@
 """Lookups on the base key.
 
 Every source is reduced to one record per key (or per key and expansion key)
-before it meets the base, so the joins themselves never multiply a hot key; the
-expansion join is an inner join, which the adaptive planner may split on either
-side.
+before it meets the base, so lookups never multiply a crowded key; the expansion,
+where one base key may meet very many records, is cut into parts by key size.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from recordloom.columns import col, data_columns, record, rows_differ
 from recordloom.functions.text import is_empty, trim_key, trim_text
+from recordloom.operators.skew import PART, cut, repeat
 from recordloom.rules import ORD, MergeRecords, NoMatch
 from recordloom.sources.tables import keyed_table
 
@@ -108,28 +108,34 @@ def expand_one_to_many(
     """One row per expansion key of each base row, in first-appearance order.
 
     Base keys without a record follow ``no_match``: ``skip`` drops them,
-    ``error`` raises, anything else leaves one row with a null record. Those keys
-    are found on key columns only and added to the records before the one wide
-    join. The row order becomes (base order, expansion order).
+    ``error`` raises, anything else leaves one row with a null record. The row
+    order becomes (base order, expansion order).
+
+    ``records`` holds the result of :func:`expansion_records` and may carry more
+    columns. Row counts per key, read from the key columns alone, tell unmatched
+    base keys and crowded ones; the wide join then runs on (key, part), so the
+    records of one crowded key are spread over many tasks.
     """
     if records is None:
         records = expansion_records(src, match, expand_by, name)
     action = no_match.action if no_match else "emit_incomplete"
-    if action != "skip":
-        known = matchable(src, match, expand_by).select(MATCH).distinct()
-        alone = base.select(col(base_key).alias(MATCH)).join(known, MATCH, "left_anti")
-        if action == "error":
-            found = alone.limit(1).collect()
-            if found:
-                raise NoExpansionError(f"No expansion record found for {found[0][0]}")
-        else:
-            records = records.unionByName(alone, allowMissingColumns=True)
-    kept = [F.col(c) for c in records.columns if c not in (MATCH, "_first")]
-    joined = base.join(records, col(base_key) == records[MATCH], "inner")
-    order = F.struct(base[ORD].alias("base"), records["_first"].alias("expansion"))
-    return joined.select(
-        *[base[f"`{c}`"] for c in data_columns(base)], *kept, order.alias(ORD)
-    )
+    keys = key_names(expand_by)
+    sizes = matchable(src, match, expand_by).groupBy(MATCH).agg(F.count("*").alias("n"))
+    sized = base.join(
+        sizes, col(base_key) == sizes[MATCH], "inner" if action == "skip" else "left"
+    ).drop(MATCH)
+    if action == "error":
+        found = sized.where("n is null").select(col(base_key)).limit(1).collect()
+        if found:
+            raise NoExpansionError(f"No expansion record found for {found[0][0]}")
+    copies = repeat(sized, sizes)
+    parts = cut(records, sizes, [MATCH], [F.col(k) for k in keys[1:]])
+    kept = [F.col(c) for c in records.columns if c not in (*keys, "_first")]
+    on = (col(base_key) == parts[MATCH]) & (copies[PART] == parts[PART])
+    joined = copies.join(parts, on, "inner" if action == "skip" else "left")
+    real = joined.where(F.col("_first").isNotNull() | F.col("n").isNull())
+    order = F.struct(F.col(ORD).alias("base"), F.col("_first").alias("expansion"))
+    return real.select(*[col(c) for c in data_columns(base)], *kept, order.alias(ORD))
 
 
 def collect_many_to_one(

@@ -31,7 +31,8 @@ def consolidate(
 
     Plan: the base and every other source are reduced to one record per key and
     joined on the base key, one exchange each; the expansion comes last, so the
-    wide rows are built once, after every narrow join.
+    wide rows are built once, after every narrow join, and the records of a
+    crowded key are spread over many tasks.
     """
     absent = [s.name for s in rule.sources if s.name not in tables]
     if absent:
@@ -171,9 +172,7 @@ def _one_per_key(
         keyed = keyed.join(found.withColumnRenamed("detail", f"__detail_{i}"), m.MATCH, "left")
         targets = _field_columns(source, rule, source.compare_by)
         if notes and targets:
-            cells = cf.conflict_cells(
-                df, source.match, (), found, targets, only_filled=source.compare_by
-            )
+            cells = cf.conflict_cells(df, source.match, (), targets, source.compare_by)
             noted = cf.cell_notes(cells, (), source.title)
             keyed = keyed.join(noted.withColumnRenamed("notes", f"__notes_{i}"), m.MATCH, "left")
     return keyed
@@ -189,7 +188,7 @@ def _expansion(
         df, source.match, source.expand_by, f"__src_{i}", fields, source.conflicts
     )
     if not source.conflicts:
-        return records.drop(*keys[1:])
+        return records
     text = cf.content_text(source.match, source.expand_by, source.compare_by, source.title)
     if text is None:
         found = cf.content_conflicts(
@@ -200,11 +199,10 @@ def _expansion(
         records = records.withColumn(f"__detail_{i}", F.when(F.col("_differs"), text))
     targets = _field_columns(source, rule, data_columns(df))
     if notes and targets:
-        differing = records.where("_differs").select(*keys)
-        cells = cf.conflict_cells(df, source.match, source.expand_by, differing, targets)
+        cells = cf.conflict_cells(df, source.match, source.expand_by, targets)
         noted = cf.cell_notes(cells, source.expand_by, source.title)
         records = records.join(noted.withColumnRenamed("notes", f"__notes_{i}"), keys, "left")
-    return records.drop("_differs", *keys[1:])
+    return records.drop("_differs")
 
 
 def _merged_columns(source: MatchRule, rule: ConsolidationRule):
