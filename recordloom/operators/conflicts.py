@@ -122,8 +122,9 @@ def conflict_cells(
         F.count("*").alias("n"), *[rows_differ([n]).alias(f"{n}_several") for n in names]
     )
     found = sizes.where(reduce(Column.__or__, [F.col(f"{n}_several") for n in names]))
-    parts = cut(rows, sizes.select(*keys, "n"), keys, [F.col(n) for n in names])
-    copies = repeat(found, sizes.select("n"))
+    total = rows.agg(F.count("*")).scalar()
+    parts = cut(rows, found, keys, [F.col(n) for n in names], total)
+    copies = repeat(found, total)
     hit = parts.join(copies.drop("n"), [*keys, PART])
     cells = F.array(*[
         F.when(

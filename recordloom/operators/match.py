@@ -128,8 +128,9 @@ def expand_one_to_many(
         found = sized.where("n is null").select(col(base_key)).limit(1).collect()
         if found:
             raise NoExpansionError(f"No expansion record found for {found[0][0]}")
-    copies = repeat(sized, sizes)
-    parts = cut(records, sizes, [MATCH], [F.col(k) for k in keys[1:]])
+    total = sizes.agg(F.sum("n")).scalar()
+    copies = repeat(sized, total)
+    parts = cut(records, sizes, [MATCH], [F.col(k) for k in keys[1:]], total)
     kept = [F.col(c) for c in records.columns if c not in (*keys, "_first")]
     on = (col(base_key) == parts[MATCH]) & (copies[PART] == parts[PART])
     joined = copies.join(parts, on, "inner" if action == "skip" else "left")

@@ -18,27 +18,31 @@ SHARES = 1000
 PART, PARTS = "_part", "_parts"
 
 
-def crowded(sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``(keys, _parts)`` of the crowded keys in ``sizes`` (``keys`` and ``n``)."""
-    return sizes.select(*keys, _parts(sizes).alias(PARTS)).where(F.col(PARTS) > 1)
+def crowded(sizes: DataFrame, keys: Sequence[str], total: Column) -> DataFrame:
+    """``(keys, _parts)`` of the crowded keys in ``sizes`` (``keys`` and ``n``).
 
+    ``total`` is the number of all rows, usually a scalar subquery.
+    """
+    return sizes.select(*keys, _parts(total).alias(PARTS)).where(F.col(PARTS) > 1)
 
-def cut(rows: DataFrame, sizes: DataFrame, keys: Sequence[str], by: Sequence[Column]) -> DataFrame:
+
+def cut(
+    rows: DataFrame, sizes: DataFrame, keys: Sequence[str], by: Sequence[Column], total: Column
+) -> DataFrame:
     """Adds the part of every row: 0 unless its key is crowded."""
-    few = F.broadcast(crowded(sizes, keys))
+    few = F.broadcast(crowded(sizes, keys, total))
     part = F.coalesce(F.pmod(F.xxhash64(*by), F.col(PARTS)), F.lit(0).cast("long"))
     marked = rows.join(few, list(keys), "left")
     return marked.select(*[f"`{c}`" for c in rows.columns], part.alias(PART))
 
 
-def repeat(sized: DataFrame, sizes: DataFrame) -> DataFrame:
+def repeat(sized: DataFrame, total: Column) -> DataFrame:
     """One copy per part of rows that carry their key's size ``n`` (null counts as 0)."""
-    parts = F.coalesce(_parts(sizes), F.lit(1).cast("long"))
+    parts = F.coalesce(_parts(total), F.lit(1).cast("long"))
     numbers = F.sequence(F.lit(0).cast("long"), parts - 1)
     return sized.select("*", F.explode(numbers).alias(PART))
 
 
-def _parts(sizes: DataFrame) -> Column:
+def _parts(total: Column) -> Column:
     """Thousandths held by a key of size ``n``, at least one."""
-    total = sizes.agg(F.sum("n")).scalar()
     return F.greatest(F.ceil(F.col("n") * SHARES / total), F.lit(1).cast("long"))
