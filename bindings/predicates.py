@@ -34,10 +34,11 @@ def text_normalization(spark, sf):
 
 
 @query("number_parsing", f"""with {fr.PARTS}
-select p_partkey, cast({fr.number('v')} as decimal(12,2)) as parsed from parts""")
+select p_partkey, coalesce(cast(cast({fr.number('v')} as decimal(12,2)) as varchar), 'none') as parsed from parts""")
 def number_parsing(spark, sf):
+    parsed = to_number(F.col("v")).cast("decimal(12,2)").cast("string")
     return fr.untidy_parts(spark, sf).select(
-        "p_partkey", to_number(F.col("v")).cast("decimal(12,2)").alias("parsed")
+        "p_partkey", F.coalesce(parsed, F.lit("none")).alias("parsed")
     )
 
 

@@ -44,7 +44,7 @@ def import_source(
     """
     table = read_headed(spark, paths, rule, **read_options)
     both = table.rows.select(
-        *[col(c.field).alias(f"raw_{i}") for i, c in enumerate(rule.columns)],
+        *[col(c.field).alias(f"__raw_{i}") for i, c in enumerate(rule.columns)],
         *[map_values(col(c.field), c.value_map).alias(c.field) for c in rule.columns],
         F.col(ORD),
     )
@@ -57,7 +57,7 @@ def import_source(
         staged = stable(both)
     rows = staged.select(*[col(f) for f in rule.fields], F.col(ORD))
     raw = staged.select(
-        *[F.col(f"raw_{i}").alias(c.field) for i, c in enumerate(rule.columns)], F.col(ORD)
+        *[F.col(f"__raw_{i}").alias(c.field) for i, c in enumerate(rule.columns)], F.col(ORD)
     )
     cleaned = stable(clean(rows, rule.clean, keep_dropped=True)) if rule.clean else None
     batch_gate(table.present, rows, raw, rows if cleaned is None else cleaned, rule, ORD)

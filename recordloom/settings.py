@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
+from recordloom.functions.conditions import check_condition
 from recordloom.rules import (
     ChangeRule,
     CleanRule,
@@ -85,6 +86,9 @@ def _import(name: str, source: Mapping[str, Any], words: tuple[str, ...]) -> Imp
         )
         for c in source["columns"]
     )
+    for c in columns:
+        if c.required_when is not None:
+            check_condition(c.required_when, [x.field for x in columns], c.field)
     return ImportRule(
         name=name,
         label=source.get("chinese_name") or source.get("display_name") or name,

@@ -55,7 +55,7 @@ def read_headed(
         title_row = _one_header([next(csv.reader([t], delimiter=sep), []) for t in text])
         schema = ", ".join(f"c{i} string" for i in range(len(title_row)))
         cells = F.from_csv("value", F.lit(schema), options)
-        parsed = lines.select("file", "line", cells.alias("cells"))
+        parsed = lines.select("file", "block", "line", cells.alias("cells"))
     positions = _positions(title_row, rule)
     return HeadedTable(_data_rows(parsed, len(title_row), positions, rule), tuple(positions))
 
@@ -111,7 +111,7 @@ def _number(lines: DataFrame) -> DataFrame:
         (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first_id") + 1).alias("shift"),
     )
     joined = lines.join(starts, ["file", "block"])
-    return joined.withColumn("line", F.col("id") + F.col("shift")).drop("shift", "id", "block")
+    return joined.withColumn("line", F.col("id") + F.col("shift")).drop("shift", "id")
 
 
 def _one_header(heads: list[list]) -> list:
@@ -135,13 +135,21 @@ def _positions(titles: Sequence[str], rule: ImportRule) -> dict[str, int]:
 
 
 def _data_rows(parsed: DataFrame, width: int, positions: dict[str, int], rule: ImportRule) -> DataFrame:
+    """Data lines up to the last filled one of their file.
+
+    Joined per file block, a few rows each, so that one very large file is not
+    one task's work.
+    """
     cell = F.col("cells")
     filled = reduce(
         Column.__or__,
         [F.coalesce(cell.getField(f"c{i}"), F.lit("")) != "" for i in range(width)],
     )
-    ends = parsed.groupBy("file").agg(F.max(F.when(filled, F.col("line"))).alias("last"))
-    kept = parsed.where(F.col("line") >= rule.data_row).join(ends, "file")
+    ends = parsed.groupBy("file", "block").agg(F.max(F.when(filled, F.col("line"))).alias("end"))
+    last = F.max("end").over(Window.partitionBy("file")).alias("last")
+    kept = parsed.where(F.col("line") >= rule.data_row).join(
+        ends.select("file", "block", last), ["file", "block"]
+    )
     values = [
         (
             F.coalesce(cell.getField(f"c{positions[f]}"), F.lit("")) if f in positions else F.lit("")

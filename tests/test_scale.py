@@ -153,6 +153,25 @@ def test_sources_are_pruned_to_the_columns_in_use(spark):
     assert event_scans and not any("props" in line or "user_id" in line for line in event_scans)
 
 
+@pytest.mark.parametrize("name", ["cell_notes", "unique_conflicts", "unique_conflict_summary", "retention"])
+def test_ranked_filters_apply_before_the_shuffle(spark, name):
+    text = plan(QUERIES[name](spark, SMALL))
+    assert "WindowGroupLimit" in text and "Partial" in text
+
+
+def test_a_crowded_key_is_cut_into_parts(spark, table):
+    from recordloom.operators.skew import PART, cut
+
+    rows = table("k v", [("hot", str(i)) for i in range(3000)] + [(f"k{i}", "x") for i in range(6000)])
+    sizes = rows.groupBy("k").agg(F.count("*").alias("n"))
+    total = rows.agg(F.count("*")).scalar()
+    found = cut(rows, sizes, ["k"], [F.col("v")], total)
+    assert found.count() == 9000
+    parts = found.where("k = 'hot'").groupBy(PART).count()
+    assert parts.count() > 300 and parts.agg(F.max("count")).first()[0] < 60
+    assert found.where(f"k <> 'hot' and {PART} <> 0").count() == 0
+
+
 def test_text_range_reaches_the_scan(spark, table, tmp_path):
     from recordloom.operators.filters import time_range
 
