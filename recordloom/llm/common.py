@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,7 +111,7 @@ def cut_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = PORTIO
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         for a, b in portions(offsets, most):
             yield batch.slice(a, b - a)

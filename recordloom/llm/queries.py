@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.bpe import encode_decode
+from recordloom.llm.suffixes import remove_repeated_strings
+from recordloom.llm.windows import remove_repeated_windows
 
 #: Where the public vocabularies lie; a parameter of the operators.
 TOKENIZERS = os.environ.get("LLM_TOKENIZERS", "/opt/tokenizers")
@@ -34,3 +36,17 @@ def op6_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op3_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return remove_repeated_strings(docs, 400).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return remove_repeated_windows(docs, 35).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
