@@ -20,6 +20,7 @@ PORTION = 1 << 20
 BROADCAST_BOUND = 64 << 20
 
 _STAGED: list[str] = []
+_LOCAL: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,8 +32,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="llm-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="llm-shared-"))
+        found = _LOCAL[0]
     return found
 
 
