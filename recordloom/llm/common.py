@@ -140,3 +140,29 @@ def appended(
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*kept, *names])
 
     return inner.mapInArrow(run, out)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[pa.Table]:
+    """Rows sorted by ``key`` in tables of about ``most`` bytes that never part a key."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for whole in batches:
+        for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+            held.append(batch)
+            size += batch.nbytes
+            if size < most:
+                continue
+            rows = pa.Table.from_batches(held)
+            keys = rows.column(key).to_numpy()
+            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+            if cut:
+                yield rows.slice(0, cut)
+                held = rows.slice(cut).combine_chunks().to_batches()
+                size = sum(b.nbytes for b in held)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_bounds(keys: np.ndarray) -> np.ndarray:
+    """Starts of the groups of sorted keys, and the end."""
+    return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.bpe import encode_decode
+from recordloom.llm.jaccard import near_duplicate_classes
 from recordloom.llm.suffixes import remove_repeated_strings
 from recordloom.llm.windows import remove_repeated_windows
 
@@ -38,6 +39,12 @@ def op6_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op2_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return near_duplicate_classes(docs).select("doc_id", "class_id", "n_links")
+
+
 @query
 def op3_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
