@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from recordloom.llm.bpe import encode_decode
 from recordloom.llm.jaccard import near_duplicate_classes
 from recordloom.llm.suffixes import remove_repeated_strings
+from recordloom.llm.toxicity import held_out, toxicity_scores
 from recordloom.llm.windows import remove_repeated_windows
 
 #: Where the public vocabularies lie; a parameter of the operators.
@@ -29,6 +30,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    return toxicity_scores(docs, labels, keep=["doc_id"]).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 @query
 def op6_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
