@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.bpe import encode_decode
+from recordloom.llm.decontamination import benchmark_leaks
 from recordloom.llm.jaccard import near_duplicate_classes
 from recordloom.llm.suffixes import remove_repeated_strings
 from recordloom.llm.toxicity import held_out, toxicity_scores
@@ -47,6 +48,13 @@ def op6_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op1_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    leaks = benchmark_leaks(docs, items, keep=["doc_id"])
+    return leaks.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 @query
 def op2_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
