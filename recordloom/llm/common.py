@@ -130,16 +130,20 @@ def appended(
     """
     names = [n for n, _ in fields]
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
-    inner = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string").alias("_text"))
-    out = T.StructType([*inner.schema.fields[:-1], *(T.StructField(n, t) for n, t in fields)])
+    inner = df.select(as_row(kept), F.col(f"`{text}`").cast("string").alias("_text"))
+    out = T.StructType([inner.schema.fields[0], *(T.StructField(n, t) for n, t in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = compute()
         for batch in cut_batches(batches, "_text"):
-            made = work(batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*kept, *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *work(batch.column(1))], names=["_row", *names])
 
-    return inner.mapInArrow(run, out)
+    return inner.mapInArrow(run, out).select(*(F.col(f"_row.`{c}`") for c in kept), *names)
+
+
+def as_row(columns: Sequence[str]) -> Column:
+    """The columns packed in one, ``_row``, so that no name can clash with an operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns), *(() if columns else (F.lit(0).alias("_"),))).alias("_row")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[pa.Table]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import cut_batches, row_keys, text_buffers
+from recordloom.llm.common import as_row, cut_batches, row_keys, text_buffers
 from recordloom.llm.pieces import Unit, covered
 
 #: Pairs of neighbours whose prefixes are compared at once.
@@ -135,11 +135,11 @@ def _trim(batches):
     for batch in cut_batches(batches, "_text"):
         column = batch.schema.get_field_index
         data, offsets = text_buffers(batch.column(column("_text")))
-        texts, sizes, removed, runs = [], [], [], []
+        texts, readable, sizes, removed, runs = [], [], [], [], []
         for i, spans in enumerate(batch.column(column("_spans")).to_pylist()):
             own = data[offsets[i]: offsets[i + 1]]
-            gone = 0
-            count = 0
+            gone = count = 0
+            split = np.empty(0, np.uint8)
             if spans:
                 edge = np.zeros(len(own) + 1, np.int32)
                 at = np.array([(s["a"], s["b"]) for s in spans], np.int64)
@@ -148,38 +148,45 @@ def _trim(batches):
                 out = np.cumsum(edge[:-1]) > 0
                 gone = int(out.sum())
                 count = int((out & ~np.concatenate([[False], out[:-1]])).sum())
+                # a letter that a cut takes in part is left out of the readable text
+                lead = np.maximum.accumulate(np.where(own & 0xC0 != 0x80, np.arange(len(own)), 0))
+                broken = np.zeros(len(own), bool)
+                broken[lead[out]] = True
+                split = own[~out & ~broken[lead]]
                 own = own[~out]
             texts.append(own.tobytes())
+            readable.append(split.tobytes() if spans else texts[-1])
             sizes.append(int(offsets[i + 1] - offsets[i]))
             removed.append(gone)
             runs.append(count)
-        kept = [c for c in batch.schema.names if c not in ("_text", "_spans")]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(column(c)) for c in kept), pa.array(texts, pa.binary()), pa.array(sizes, pa.int64()),
+            [batch.column(column("_row")), pa.array(texts, pa.binary()),
+             pa.array(readable, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int64()),
              pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
-            names=[*kept, "kept_bytes", "n_bytes", "n_removed", "n_spans"])
+            names=["_row", "kept_bytes", "kept_text", "n_bytes", "n_removed", "n_spans"])
 
 
 def remove_repeated_strings(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Remove every byte that a ``length``-byte string covers which also starts elsewhere.
 
     Texts are judged as UTF-8 bytes, whole, on the input; matches do not cross rows.
-    Adds ``kept_bytes`` (binary), ``n_bytes``, ``n_removed`` and ``n_spans`` (maximal
+    Adds ``kept_bytes`` (binary), ``kept_text`` (the same without letters that a cut
+    leaves in part), ``n_bytes``, ``n_removed`` and ``n_spans`` (maximal
     removed runs) to all columns; columns of these names are replaced. A null or
     short text loses nothing. Rows repeated with the same id and text, also rows
     without an id, are copies of each other and lose everything a window covers.
     """
-    keyed = docs.select("*", *row_keys(doc_id, text), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
+    made = ("kept_bytes", "kept_text", "n_bytes", "n_removed", "n_spans")
+    kept = [c for c in docs.columns if c not in made]
+    keyed = docs.select(as_row(kept), *row_keys(doc_id, text), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
     unit = Unit(words=False, window=length, grams=_grams(length))
     spans = covered(keyed.select("_k", "_h", "_text"), unit, repeated_strings)
     per_row = spans.groupBy("_k", "_h").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
-    made = ("kept_bytes", "n_bytes", "n_removed", "n_spans")
-    kept = [c for c in docs.columns if c not in made]
-    rows = keyed.join(per_row, ["_k", "_h"], "left").select(*(f"`{c}`" for c in kept), "_text", "_spans")
+    rows = keyed.join(per_row, ["_k", "_h"], "left").select("_row", "_text", "_spans")
     schema = T.StructType([
-        *(f for f in rows.schema.fields if f.name in kept), T.StructField("kept_bytes", T.BinaryType()),
-        *(T.StructField(c, T.LongType()) for c in made[1:])])
-    return rows.mapInArrow(_trim, schema)
+        rows.schema["_row"], T.StructField("kept_bytes", T.BinaryType()),
+        T.StructField("kept_text", T.StringType()), *(T.StructField(c, T.LongType()) for c in made[2:])])
+    return rows.mapInArrow(_trim, schema).select(*(F.col(f"_row.`{c}`") for c in kept), *made)
 
 
 def _grams(length: int) -> tuple[int, ...]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import cut_batches, row_keys, text_buffers
+from recordloom.llm.common import as_row, cut_batches, row_keys, text_buffers
 from recordloom.llm.hashing import ranges, word_bounds
 from recordloom.llm.pieces import Unit, covered
 
@@ -61,11 +61,10 @@ def _trim(batches):
                 s, e = s[stay], e[stay]
             removed.append(sizes[-1] - len(s))
             texts.append(packed(data, s, e)[0][:-1])
-        kept = [c for c in batch.schema.names if c not in ("_text", "_spans")]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(column(c)) for c in kept), pa.array(texts, pa.binary()).cast(pa.string()),
+            [batch.column(column("_row")), pa.array(texts, pa.binary()).cast(pa.string()),
              pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())],
-            names=[*kept, "kept_words", "n_words", "n_removed"])
+            names=["_row", "kept_words", "n_words", "n_removed"])
 
 
 def remove_repeated_windows(docs: DataFrame, window: int = 35, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -78,17 +77,17 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, doc_id: str = "do
     one loses none. Rows repeated with the same id and text, also rows without an
     id, are copies of each other and lose everything a window covers.
     """
-    keyed = docs.select("*", *row_keys(doc_id, text), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
+    made = ("kept_words", "n_words", "n_removed")
+    kept = [c for c in docs.columns if c not in made]
+    keyed = docs.select(as_row(kept), *row_keys(doc_id, text), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
     unit = Unit(words=True, window=window, grams=_grams(window))
     spans = covered(keyed.select("_k", "_h", "_text"), unit, repeated_windows)
     per_row = spans.groupBy("_k", "_h").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
-    made = ("kept_words", "n_words", "n_removed")
-    kept = [c for c in docs.columns if c not in made]
-    rows = keyed.join(per_row, ["_k", "_h"], "left").select(*(f"`{c}`" for c in kept), "_text", "_spans")
+    rows = keyed.join(per_row, ["_k", "_h"], "left").select("_row", "_text", "_spans")
     schema = T.StructType([
-        *(f for f in rows.schema.fields if f.name in kept), T.StructField("kept_words", T.StringType()),
+        rows.schema["_row"], T.StructField("kept_words", T.StringType()),
         *(T.StructField(c, T.LongType()) for c in made[1:])])
-    return rows.mapInArrow(_trim, schema)
+    return rows.mapInArrow(_trim, schema).select(*(F.col(f"_row.`{c}`") for c in kept), *made)
 
 
 def _grams(window: int) -> tuple[int, ...]:
