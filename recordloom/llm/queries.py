@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.llm import language
 from recordloom.llm.bpe import encode_decode
 from recordloom.llm.decontamination import benchmark_leaks
 from recordloom.llm.jaccard import near_duplicate_classes
@@ -73,3 +74,11 @@ def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return remove_repeated_windows(docs, 35).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    found = language.identify_language(docs, keep=["doc_id"])
+    return found.withColumn("held_out", language.held_out(F.col("doc_id"))).select(
+        "doc_id", "held_out", "lang_pred", "score", "margin", "doubtful")
