@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm import language
 from recordloom.llm.bpe import encode_decode
+from recordloom.llm.covertree import top_inner_products
 from recordloom.llm.decontamination import benchmark_leaks
 from recordloom.llm.jaccard import near_duplicate_classes
 from recordloom.llm.suffixes import remove_repeated_strings
@@ -76,6 +77,24 @@ def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query
+def op9_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return top_inner_products(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+SQL["op9_exact_top_k"] = """
+with held as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as e from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+  from held q join held c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 20 = 0)
+select query_id, cast(rank as integer) as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 20
+"""
+
+
 @query
 def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
