@@ -14,6 +14,7 @@ from recordloom.llm.covertree import top_inner_products
 from recordloom.llm.decontamination import benchmark_leaks
 from recordloom.llm.jaccard import near_duplicate_classes
 from recordloom.llm.suffixes import remove_repeated_strings
+from recordloom.llm.tokenfiles import token_counts
 from recordloom.llm.toxicity import held_out, toxicity_scores
 from recordloom.llm.windows import remove_repeated_windows
 
@@ -33,6 +34,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return token_counts(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken").select("doc_id", "n_tokens")
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
