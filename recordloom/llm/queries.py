@@ -13,6 +13,7 @@ from recordloom.llm.bpe import encode_decode
 from recordloom.llm.covertree import top_inner_products
 from recordloom.llm.decontamination import benchmark_leaks
 from recordloom.llm.jaccard import near_duplicate_classes
+from recordloom.llm.licenses import LICENCE_FILE, SIMILAR, SPEAKS, TEMPLATES, scan_licenses
 from recordloom.llm.suffixes import remove_repeated_strings
 from recordloom.llm.tokenfiles import token_counts
 from recordloom.llm.toxicity import held_out, toxicity_scores
@@ -77,6 +78,90 @@ def op3_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def as_files(docs: DataFrame) -> DataFrame:
+    """Documents as files in a tree: two levels of directories below each source, some named as licence files.
+
+    Of the documents of a source, taken 20 ids at a time, every 64th lot lies above the
+    directories of its group and every 8th above those of its subgroup.
+    """
+    lot = F.floor(F.col("doc_id") / 20)
+    top = F.concat(F.coalesce("source", F.lit("none")), F.lit("/g"), F.floor(lot / 64).cast("string"))
+    sub = F.concat(top, F.lit("/s"), F.floor(lot / 8).cast("string"))
+    name = F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))
+    path = (
+        F.when(lot % 64 == 0, F.concat_ws("/", top, name)).when(lot % 8 == 0, F.concat_ws("/", sub, name))
+        .otherwise(F.concat_ws("/", sub, F.concat(F.lit("file-"), F.col("doc_id").cast("string")))))
+    return docs.select(path.alias("path"), "text")
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = scan_licenses(as_files(table(spark, sf, "documents")))
+    return found.withColumn("doc_id", F.regexp_extract("path", "-(\\d+)$", 1).cast("long"))
+
+
+def _license_sql() -> str:
+    rows = ", ".join("(" + ", ".join([str(i), *("'" + x.replace("'", "''") + "'" for x in t)]) + ")" for i, t in enumerate(TEMPLATES))
+    split = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda w: w <> '')"
+    return f"""
+with templates(template, license, body) as (values {rows}),
+terms as (
+  select license, template, term, count(*) as n from (
+    select license, template, unnest({split.format('body')}) as term from templates) group by all),
+files as (
+  select doc_id, text, case when lot % 64 = 0 then top || '/LICENSE-' || doc_id
+    when lot % 8 = 0 then top || '/s' || lot // 8 || '/LICENSE-' || doc_id
+    else top || '/s' || lot // 8 || '/file-' || doc_id end as path
+  from (select *, coalesce(source, 'none') || '/g' || lot // 64 as top from (select *, doc_id // 20 as lot from documents))),
+seen as (
+  select term, count(*) as n from (
+    select unnest(list_distinct({split.format("coalesce(text, '')")})) as term from files)
+  where term in (select term from terms) group by term),
+total as (select cast(count(*) as double) as n from files),
+idf as (
+  select t.term, ln((1 + total.n) / (1 + coalesce(seen.n, 0))) + 1 as idf
+  from (select distinct term from terms) t left join seen using (term), total),
+spoken as (
+  select distinct doc_id, line from (select doc_id, unnest(string_split(text, chr(10))) as line from files)
+  where regexp_matches(lower(line), '{SPEAKS}')),
+tokens as (
+  select line, term, count(*) as n from (
+    select line, unnest({split.format('line')}) as term from (select distinct line from spoken)) group by all),
+weighted as (
+  select line, term, tokens.n * coalesce(idf, ln(1 + total.n) + 1) as w from tokens left join idf using (term), total),
+norms as (select line, sqrt(sum(w * w)) as norm from weighted group by line),
+own as (select license, template, term, n * idf as tw from terms join idf using (term)),
+lengths as (select template, sqrt(sum(tw * tw)) as length from own group by template),
+scored as (
+  select line, license, round(sum(w * tw / length) / any_value(norm), 6) as cosine
+  from weighted join own using (term) join lengths using (template) join norms using (line) group by line, license, template),
+best as (
+  select doc_id, license as own_license, cosine from (
+    select *, row_number() over (partition by doc_id order by cosine desc, license) as turn
+    from spoken join scored using (line) where cosine >= {SIMILAR}) where turn = 1),
+held as (
+  select files.doc_id, path, own_license, cosine, regexp_extract(path, '^(.*)/', 1) as directory,
+    regexp_extract(path, '([^/]*)$', 1) as name
+  from files left join best using (doc_id)),
+lent as (
+  select directory as lender, own_license as lent from (
+    select *, row_number() over (partition by directory order by cosine desc, own_license) as turn from held
+    where own_license is not null and regexp_matches(name, '{LICENCE_FILE}')) where turn = 1),
+nearest as (
+  select directory, lender, lent from (
+    select d.directory, lender, lent, row_number() over (partition by d.directory order by length(lender) desc) as turn
+    from (select distinct directory from held) d join lent
+      on d.directory = lender or starts_with(d.directory, lender || '/')) where turn = 1)
+select doc_id, path, own_license, cosine, coalesce(own_license, lent) as license,
+  case when own_license is not null then 'own' when lent is not null then 'inherited' end as origin,
+  case when own_license is null then lender end as inherited_from
+from held left join nearest using (directory)
+"""
+
+
+SQL["op7_license_scan"] = _license_sql()
+
+
 @query
 def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
