@@ -88,12 +88,12 @@ conflicts as (select l_partkey, field, position, string_agg(value, ' / ' order b
   from ranked where rn <= 2 group by l_partkey, field, position having count(*) > 1)"""
 
 
-@query("unique_conflicts", f"with {CONFLICTS} select l_partkey, field, shown from conflicts")
+@query("unique_conflicts", f"""with {CONFLICTS}
+select l_partkey, field, value, several from (
+  select l_partkey, field, value, count(*) over (partition by l_partkey, field) as several from ranked) where several > 1""")
 def unique_conflicts(spark, sf):
     found = cl.unique_conflicts(latest_lines(spark, sf), RULE)
-    return found.select(
-        F.col("_group_0").alias("l_partkey"), "field", F.array_join("values", " / ").alias("shown")
-    )
+    return found.select(F.col("_group_0").alias("l_partkey"), "field", "value", "several")
 
 
 @query("unique_conflict_totals", f"""with {CONFLICTS}

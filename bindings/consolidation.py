@@ -80,10 +80,9 @@ RULE = ConsolidationRule(
 
 def sources(spark, sf):
     lines = fr.order_lines(spark, sf)
-    recent = fr.orders_text(spark, sf).where("o_orderdate >= '2001-05-01'")
     return {
         "orders": fr.base_orders(spark, sf), "lines": lines, "events": fr.events_text(spark, sf),
-        "flags": lines, "priorities": recent,
+        "flags": lines, "priorities": fr.orders_text(spark, sf),
     }
 
 
@@ -103,8 +102,7 @@ EXPANDED = f"""{KEYED}, expanded as (
     arg_min(l_linenumber, ord) as l_linenumber, arg_min(l_partkey, ord) as l_partkey,
     arg_min(l_quantity, ord) as l_quantity, arg_min(l_discount, ord) as l_discount, arg_min(l_tax, ord) as l_tax
   from keyed where k <> '' and n <> '' group by k, n)"""
-RECENT = "recent as (select * from orders_t where o_orderdate >= '2001-05-01')"
-TUPLES = f"""{RECENT}, tuples as (select distinct o_custkey as k, o_orderpriority as p, o_orderstatus as s from recent
+TUPLES = """tuples as (select distinct o_custkey as k, o_orderpriority as p, o_orderstatus as s from orders_t
   where o_orderpriority || o_orderstatus <> ''),
 several as (select k, 'Priorities：o_custkey=' || k || ' 存在多个不同值：' || string_agg(p || '+' || s, ', ' order by p || '+' || s) as detail
   from tuples group by k having count(*) > 1)"""
@@ -124,7 +122,7 @@ matched as (select b.o_orderkey as key, b.o_custkey as customer, x.k is not null
   left join events_t e on e.event_id = b.o_orderkey
   left join {_merged('l_returnflag', ',')} f on f.k = b.o_orderkey
   left join {_merged("l_returnflag || '-' || l_linestatus", ';')} g on g.k = b.o_orderkey
-  left join (select o_custkey, arg_max(o_orderpriority, ord) as o_orderpriority from recent group by 1) p on p.o_custkey = b.o_orderkey
+  left join (select o_custkey, arg_max(o_orderpriority, ord) as o_orderpriority from orders_t group by 1) p on p.o_custkey = b.o_orderkey
   left join several s on s.k = b.o_orderkey),
 cells as (select *, {fr.trim('key')} || '::' || coalesce(n, 'NONE') as result_key,
     has_line and coalesce(try_cast(l_discount as double) > 0.05, false) and l_tax = '' as tax_missing,

@@ -29,11 +29,11 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def orders_text(spark: SparkSession, sf: str) -> DataFrame:
-    return as_text(load(spark, sf, "orders"), ["o_orderkey"])
+    return as_text(load(spark, sf, "orders"), ["o_orderkey"], decimals=2)
 
 
 def customer_text(spark: SparkSession, sf: str) -> DataFrame:
-    return as_text(load(spark, sf, "customer"), ["c_custkey"])
+    return as_text(load(spark, sf, "customer"), ["c_custkey"], decimals=2)
 
 
 def events_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,7 +41,7 @@ def events_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lineitem_text(spark: SparkSession, sf: str) -> DataFrame:
-    return as_text(load(spark, sf, "lineitem"), LINE_ORDER)
+    return as_text(load(spark, sf, "lineitem"), LINE_ORDER, decimals=2)
 
 
 def base_orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,7 +117,7 @@ def money(x: str) -> str:
 
 
 def stamp(x: str) -> str:
-    return f"strftime({x}, '%Y-%m-%d %H:%M:%S')"
+    return f"cast({x} as varchar)"
 
 
 ORDERS = f"""orders_t as (
@@ -131,7 +131,7 @@ CUSTOMER = f"""customer_t as (
 
 EVENTS = f"""events_t as (
   select cast(event_id as varchar) as event_id, {stamp('ts')} as ts, cast(user_id as varchar) as user_id,
-    event_type, {money('value')} as value, props, event_id as ord from events)"""
+    event_type, cast(value as varchar) as value, props, event_id as ord from events)"""
 
 LINES = f"""lineitem_t as (
   select cast(l_orderkey as varchar) as l_orderkey, cast(l_partkey as varchar) as l_partkey,

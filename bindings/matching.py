@@ -15,7 +15,7 @@ DATED = ["o_orderdate", "o_orderkey"]
 
 def dated_orders(spark, sf):
     """Orders in date order."""
-    return as_text(fr.load(spark, sf, "orders"), DATED)
+    return as_text(fr.load(spark, sf, "orders"), DATED, decimals=2)
 
 
 def final_orders(spark, sf):

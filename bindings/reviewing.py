@@ -14,7 +14,7 @@ from recordloom.sources.tables import as_text
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-    "documents", "pages", "benchmark", "labels", "conversations",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
 
@@ -22,7 +22,12 @@ TABLES = (
 select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag,
   l_linestatus, l_shipdate from lineitem_t""")
 def text_table(spark, sf):
-    return as_text(fr.load(spark, sf, "lineitem"))
+    return as_text(fr.load(spark, sf, "lineitem"), decimals=2)
+
+
+@query("exact_text", f"""with {fr.EVENTS} select event_id, ts, user_id, event_type, value, props from events_t""")
+def exact_text(spark, sf):
+    return as_text(fr.load(spark, sf, "events"))
 
 
 def _page(found):

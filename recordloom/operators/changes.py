@@ -22,7 +22,11 @@ from recordloom.rules import (
 
 
 class MissingDescriptionError(ValueError):
-    """A changed row has no description and the rule asks for one."""
+    """A changed row has no description and the rule asks for one; ``rows`` holds all of them."""
+
+    def __init__(self, key: str, rows: DataFrame):
+        super().__init__(f"no change description for {key}")
+        self.rows = rows
 
 
 def comparable_columns(rule: ChangeRule, stored: Sequence[str]) -> list[str]:
@@ -83,15 +87,18 @@ def describe_auto(changed: Column, rule: ChangeRule) -> Column:
 
 
 def describe_source(df: DataFrame, rule: ChangeRule, key: str) -> Column:
-    """The description the source supplied; ``error`` raises when a changed row has none."""
+    """The description the source supplied; ``error`` raises when a changed row has none.
+
+    The error names the first such row in row order and carries all of them as ``rows``.
+    """
     text = trim_text(col(rule.description_field))
     if rule.missing_action != "empty":
         undescribed = df.where(
             (F.col("record_kind") == MODIFIED) & (F.col("status") != CONFLICT) & (text == "")
         )
-        found = undescribed.select(col(key)).limit(20).collect()
-        if found:
-            raise MissingDescriptionError(", ".join(row[0] for row in found))
+        first = undescribed.agg(F.min_by(col(key), F.col(ORD))).first()[0]
+        if first is not None:
+            raise MissingDescriptionError(first, undescribed)
     return text
 
 

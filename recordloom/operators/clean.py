@@ -93,34 +93,33 @@ def distinct_values(latest: DataFrame, rule: CleanRule, fields: Sequence[str]) -
 
 
 def unique_conflicts(latest: DataFrame, rule: CleanRule) -> DataFrame:
-    """``(groups, field, position, values)``: groups with several values, up to two shown.
+    """``(groups, field, position, value, newest, several)``: every value of cells with several.
 
-    The two newest values of each cell are ranked, never the whole group gathered.
+    Long form, one row for each distinct value, so that nothing is cut and no group
+    is gathered; ``several`` is the number of values of the cell.
     """
     groups = _groups(rule)
-    order = Window.partitionBy(*groups, "field").orderBy(F.desc("newest"))
     values = distinct_values(latest, rule, rule.unique)
-    top = values.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= EXAMPLES)
-    shown = F.sort_array(F.collect_list(F.struct("newest", "value")), asc=False)
+    counts = values.groupBy(*groups, "field").agg(F.count("*").alias("several")).where("several > 1")
     names = F.array(*map(F.lit, rule.unique))
-    return (
-        top.groupBy(*groups, "field")
-        .agg(F.count("*").alias("n"), shown.alias("shown"))
-        .where("n > 1")
-        .select(
-            *groups,
-            F.element_at(names, F.col("field") + 1).alias("field"),
-            F.col("field").alias("position"),
-            F.col("shown.value").alias("values"),
-        )
+    return values.join(counts, [*groups, "field"]).select(
+        *groups,
+        F.element_at(names, F.col("field") + 1).alias("field"),
+        F.col("field").alias("position"), "value", "newest", "several",
     )
 
 
 def unique_conflict_summary(conflicts: DataFrame, latest: DataFrame, rule: CleanRule) -> DataFrame:
-    """Per column: number of groups and the first two examples, in group order."""
+    """Per column: number of groups and the first two examples, in group order.
+
+    An example shows the two newest values; the cut is made here, for the message.
+    """
     groups = _groups(rule)
     first = latest.groupBy(*_group_columns(rule)).agg(F.min("_first").alias("_at"))
-    placed = conflicts.join(first, groups)
+    newest = Window.partitionBy(*groups, "field").orderBy(F.desc("newest"))
+    top = conflicts.withColumn("_nth", F.row_number().over(newest)).where(F.col("_nth") <= EXAMPLES)
+    two = F.transform(F.array_sort(F.collect_list(F.struct("_nth", "value"))), lambda x: x["value"])
+    placed = top.groupBy(*groups, "field").agg(two.alias("values")).join(first, groups)
     order = Window.partitionBy("field").orderBy("_at")
     ranked = placed.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= EXAMPLES)
     short = F.transform(
@@ -137,15 +136,15 @@ def unique_conflict_summary(conflicts: DataFrame, latest: DataFrame, rule: Clean
             F.sort_array(F.collect_list(F.struct("_rank", text.alias("text"))))["text"], "；"
         ).alias("examples")
     )
-    counts = conflicts.groupBy("field").agg(F.count("*").alias("groups"))
+    counts = placed.groupBy("field").agg(F.count("*").alias("groups"))
     return counts.join(examples, "field")
 
 
 def conflict_totals(conflicts: DataFrame, rule: CleanRule) -> DataFrame:
     """One row: conflicting groups and conflicting cells."""
-    return conflicts.agg(
-        F.countDistinct(*_groups(rule)).alias("groups"), F.count("*").alias("cells")
-    )
+    groups = _groups(rule)
+    cells = conflicts.groupBy(*groups, "field").agg(F.lit(1).alias("one"))
+    return cells.agg(F.countDistinct(*groups).alias("groups"), F.count("*").alias("cells"))
 
 
 def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -12,10 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.columns import col, data_columns, record, rows_differ
+from recordloom.columns import col, data_columns, rows_differ
 from recordloom.functions.text import trim_text
 from recordloom.operators.match import MATCH, key_names, matchable
-from recordloom.operators.skew import PART, cut, repeat
 from recordloom.rules import ORD
 
 # Wording and the number of candidates a note shows.
@@ -32,17 +31,11 @@ def content_conflicts(
     """``(keys, detail)`` for keys whose raw rows differ anywhere."""
     names = data_columns(src)
     keys = key_names(expand_by)
-    differing = (
-        matchable(src, match, expand_by)
-        .groupBy(*keys)
-        .agg(rows_differ(names).alias("_differs"))
-        .where("_differs")
-        .drop("_differs")
-    )
     text = content_text(match, expand_by, compare_by, label)
-    if text is not None:
-        return differing.select(*keys, text.alias("detail"))
-    return _last_difference(src, match, expand_by, compare_by, label, differing)
+    if text is None:
+        return _last_difference(src, match, expand_by, compare_by, label)
+    differing = matchable(src, match, expand_by).groupBy(*keys).agg(rows_differ(names).alias("_differs"))
+    return differing.where("_differs").select(*keys, text.alias("detail"))
 
 
 def content_text(
@@ -60,20 +53,25 @@ def _content_text(label: str, values: Mapping[str, Column]) -> Column:
     return F.concat(F.lit(label + LABEL_MARK), F.concat_ws(", ", *parts), F.lit(ROW_DIFFERS))
 
 
-def _last_difference(src, match, expand_by, compare_by, label, differing) -> DataFrame:
-    """Fields outside the key: taken from the last row that differs from the first."""
-    names = data_columns(src)
+def _last_difference(src, match, expand_by, compare_by, label) -> DataFrame:
+    """Fields outside the key: taken from the last row that differs from the first.
+
+    Rows are reduced to distinct ones with their first and last place, so a key that
+    repeats a few rows shrinks before any shuffle; a key's first row is the distinct
+    row with its least place.
+    """
     keys = key_names(expand_by)
-    rows = matchable(src, match, expand_by).join(differing, keys, "left_semi")
-    first = rows.groupBy(*keys).agg(F.min_by(record(names), F.col(ORD)).alias("_row"))
-    trimmed = F.struct(*[trim_text(col(f)).alias(f) for f in compare_by])
+    cells = [F.coalesce(col(f), F.lit("")).alias(f"c{i}") for i, f in enumerate(data_columns(src))]
+    trimmed = [trim_text(col(f)).alias(f"t{i}") for i, f in enumerate(compare_by)]
+    rows = matchable(src, match, expand_by).select(*keys, *trimmed, F.struct(*cells).alias("_row"), ORD)
+    names = [f"t{i}" for i in range(len(compare_by))]
+    distinct = rows.groupBy(*keys, *names, "_row").agg(F.min(ORD).alias("_first"), F.max(ORD).alias("_last"))
+    begins = distinct.groupBy(*keys).agg(F.min("_first").alias("_begin"))
     last = (
-        rows.join(first, keys)
-        .where(record(names) != F.col("_row"))
-        .groupBy(*keys)
-        .agg(F.max_by(trimmed, F.col(ORD)).alias("_cmp"))
+        distinct.join(begins, keys).where(F.col("_first") != F.col("_begin"))
+        .groupBy(*keys).agg(F.max_by(F.struct(*names), F.col("_last")).alias("_cmp"))
     )
-    values = {f: F.col("_cmp").getField(f) for f in compare_by}
+    values = {f: F.col("_cmp").getField(n) for f, n in zip(compare_by, names)}
     return last.select(*keys, _content_text(label, values).alias("detail"))
 
 
@@ -91,11 +89,10 @@ def value_conflicts(
     """``(_match, detail)`` for keys with several distinct tuples."""
     text = F.concat_ws("+", *[F.col(f"v{i}") for i in range(len(compare_by))])
     head = F.concat(F.lit(f"{label}{LABEL_MARK}{match}="), F.col(MATCH), F.lit(SEVERAL_VALUES))
+    tuples = value_tuples(src, match, compare_by)
+    several = tuples.groupBy(MATCH).agg(F.count("*").alias("_several")).where("_several > 1")
     return (
-        value_tuples(src, match, compare_by)
-        .groupBy(MATCH)
-        .agg(F.count("*").alias("n"), F.collect_list(text).alias("values"))
-        .where("n > 1")
+        tuples.join(several, MATCH).groupBy(MATCH).agg(F.collect_list(text).alias("values"))
         .select(MATCH, F.concat(head, F.array_join(F.sort_array("values"), ", ")).alias("detail"))
     )
 
@@ -110,7 +107,7 @@ def conflict_cells(
     ``only_filled`` leaves out rows whose listed fields are all blank. A field
     with several values makes its key contradictory, so the keys need no other
     test. Fixed-width aggregates find the fields; only rows of those keys are
-    turned into cells, those of a crowded key in many tasks.
+    turned into cells, each distinct row once.
     """
     keys = key_names(expand_by)
     names = [f"f{i}" for i in range(len(field_columns))]
@@ -118,14 +115,10 @@ def conflict_cells(
     if only_filled:
         rows = rows.where(F.concat(*[trim_text(col(f)) for f in only_filled]) != "")
     rows = rows.select(*keys, *[trim_text(col(f)).alias(n) for f, n in zip(field_columns, names)])
-    sizes = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), *[rows_differ([n]).alias(f"{n}_several") for n in names]
-    )
-    found = sizes.where(reduce(Column.__or__, [F.col(f"{n}_several") for n in names]))
-    total = rows.agg(F.count("*")).scalar()
-    parts = cut(rows, found, keys, [F.col(n) for n in names], total)
-    copies = repeat(found, total)
-    hit = parts.join(copies.drop("n"), [*keys, PART])
+    found = rows.groupBy(*keys).agg(*[rows_differ([n]).alias(f"{n}_several") for n in names]).where(
+        reduce(Column.__or__, [F.col(f"{n}_several") for n in names]))
+    # repeated rows fall together before the shuffle; distinct ones of a key are spread by their values
+    hit = rows.distinct().join(found, keys)
     cells = F.array(*[
         F.when(
             F.col(f"{n}_several"), F.struct(F.lit(i).alias("field"), F.col(n).alias("value"))

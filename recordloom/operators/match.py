@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from recordloom.columns import col, data_columns, record, rows_differ
 from recordloom.functions.text import is_empty, trim_key, trim_text
-from recordloom.operators.skew import PART, cut, repeat
+from recordloom.operators.skew import PART, PARTS, SIZE, cut, repeat
 from recordloom.rules import ORD, MergeRecords, NoMatch
 from recordloom.sources.tables import keyed_table
 
@@ -116,25 +116,28 @@ def expand_one_to_many(
     base keys and crowded ones; the wide join then runs on (key, part), so the
     records of one crowded key are spread over many tasks.
     """
+    clash = {PART, PARTS, SIZE, "_first", *key_names(expand_by)} & set(base.columns)
+    if clash:
+        raise ValueError(f"the base has reserved columns: {', '.join(sorted(clash))}")
     if records is None:
         records = expansion_records(src, match, expand_by, name)
     action = no_match.action if no_match else "emit_incomplete"
     keys = key_names(expand_by)
-    sizes = matchable(src, match, expand_by).groupBy(MATCH).agg(F.count("*").alias("n"))
+    sizes = matchable(src, match, expand_by).groupBy(MATCH).agg(F.count("*").alias(SIZE))
     sized = base.join(
         sizes, col(base_key) == sizes[MATCH], "inner" if action == "skip" else "left"
     ).drop(MATCH)
     if action == "error":
-        found = sized.where("n is null").select(col(base_key)).limit(1).collect()
+        found = sized.where(F.col(SIZE).isNull()).select(col(base_key)).limit(1).collect()
         if found:
             raise NoExpansionError(f"No expansion record found for {found[0][0]}")
-    total = sizes.agg(F.sum("n")).scalar()
+    total = sizes.agg(F.sum(SIZE)).scalar()
     copies = repeat(sized, total)
     parts = cut(records, sizes, [MATCH], [F.col(k) for k in keys[1:]], total)
     kept = [F.col(c) for c in records.columns if c not in (*keys, "_first")]
     on = (col(base_key) == parts[MATCH]) & (copies[PART] == parts[PART])
     joined = copies.join(parts, on, "inner" if action == "skip" else "left")
-    real = joined.where(F.col("_first").isNotNull() | F.col("n").isNull())
+    real = joined.where(F.col("_first").isNotNull() | F.col(SIZE).isNull())
     order = F.struct(F.col(ORD).alias("base"), F.col("_first").alias("expansion"))
     return real.select(*[col(c) for c in data_columns(base)], *kept, order.alias(ORD))
 

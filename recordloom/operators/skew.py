@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHARES = 1000
-PART, PARTS = "_part", "_parts"
+PART, PARTS, SIZE = "_part", "_parts", "_size"
 
 
 def crowded(sizes: DataFrame, keys: Sequence[str], total: Column) -> DataFrame:
-    """``(keys, _parts)`` of the crowded keys in ``sizes`` (``keys`` and ``n``).
+    """``(keys, _parts)`` of the crowded keys in ``sizes`` (``keys`` and ``_size``).
 
     ``total`` is the number of all rows, usually a scalar subquery.
     """
@@ -37,12 +37,12 @@ def cut(
 
 
 def repeat(sized: DataFrame, total: Column) -> DataFrame:
-    """One copy per part of rows that carry their key's size ``n`` (null counts as 0)."""
+    """One copy per part of rows that carry their key's ``_size`` (null counts as 0)."""
     parts = F.coalesce(_parts(total), F.lit(1).cast("long"))
     numbers = F.sequence(F.lit(0).cast("long"), parts - 1)
     return sized.select("*", F.explode(numbers).alias(PART))
 
 
 def _parts(total: Column) -> Column:
-    """Thousandths held by a key of size ``n``, at least one."""
-    return F.greatest(F.ceil(F.col("n") * SHARES / total), F.lit(1).cast("long"))
+    """Thousandths held by a key of that ``_size``, at least one."""
+    return F.greatest(F.ceil(F.col(SIZE) * SHARES / total), F.lit(1).cast("long"))

@@ -17,11 +17,15 @@ _LAST_START = 2**62
 def as_text(
     df: DataFrame,
     order_by: Sequence[str] = (),
-    decimals: int = 2,
-    timestamp_format: str = "yyyy-MM-dd HH:mm:ss",
+    decimals: int | None = None,
+    timestamp_format: str | None = None,
 ) -> DataFrame:
     """Every column as a string, null as ``''``.
 
+    The text is exact: all digits of a number, the fraction of a timestamp.
+    ``decimals`` rounds floating numbers to a fixed number of places instead,
+    ``timestamp_format`` writes timestamps in a narrower format.
+
     ``order_by`` names the columns that give the rows a total order; they are
     kept, still typed, in the row-order column (one column as itself, several as
     a struct).
@@ -40,11 +44,12 @@ def as_text(
     return df.select(*cells)
 
 
-def _text(f: T.StructField, decimals: int, timestamp_format: str) -> Column:
+def _text(f: T.StructField, decimals: int | None, timestamp_format: str | None) -> Column:
     c = col(f.name)
-    if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-        return c.cast(T.DecimalType(18 + decimals, decimals)).cast("string")
-    if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+    if decimals is not None and isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        # beyond the decimal type's width a number has no fraction to round
+        return F.coalesce(c.try_cast(T.DecimalType(36, decimals)).cast("string"), c.cast("string"))
+    if timestamp_format is not None and isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(c, timestamp_format)
     return c.cast("string")
 
