@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom.rules import ORD, ImportRule
 from recordloom.session import stable
 
-_HEAD_WIDTH = 512
-
 
 class HeaderError(ValueError):
     """No header row, or files of one read that do not share it."""
@@ -35,29 +33,30 @@ def read_headed(
     """Header at ``rule.header_row``, data from ``rule.data_row``, everything text.
 
     Titles match exactly and the first of a repeated title wins; unknown titles
-    are ignored, an absent column reads ``''``. Blank rows at the end of a file
-    are cut, those in between stay. The row order is (file, line).
+    are ignored, an absent column reads ``''``. Rows count from 1, blank ones too.
+    Blank rows at the end of a file are cut, those in between stay; a row with a
+    cell beyond the header is not blank. The row order is (file, row).
 
     Lines are written once to the checkpoint folder with the ids they were read
-    with; line numbers are then the id within its file block plus the lines of
-    the blocks before, so files stay splittable. ``multi_line`` (quoted line
-    breaks) reads each file as one split.
+    with; numbers are then the id within its file block plus the lines of the blocks
+    before, so files stay splittable. ``multi_line`` lets a quoted cell hold line
+    breaks: a line that leaves a quote open goes on in the next, and counts as one
+    row with it. A quote that is never closed makes the rest of its file one row.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": str(multi_line).lower()}
+    lines = _number(_text_lines(spark, paths))
     if multi_line:
-        title_row = _one_header(_csv_head(spark, paths, rule, options))
-        parsed = _csv_rows(spark, paths, len(title_row), options)
-    else:
-        lines = _number(_text_lines(spark, paths))
-        heads = lines.where(F.col("line") == rule.header_row).select("value").distinct()
-        text = [row.value for row in heads.limit(2).collect()]
-        title_row = _one_header([next(csv.reader([t], delimiter=sep), []) for t in text])
-        schema = ", ".join(f"c{i} string" for i in range(len(title_row)))
-        cells = F.from_csv("value", F.lit(schema), options)
-        parsed = lines.select("file", "block", "line", cells.alias("cells"))
+        lines = _join_open_quotes(lines)
+    heads = lines.where(F.col("line") == rule.header_row).select("value").distinct()
+    text = [row.value for row in heads.limit(2).collect()]
+    title_row = _one_header([next(csv.reader(io.StringIO(t), delimiter=sep), []) for t in text])
+    schema = ", ".join(f"c{i} string" for i in range(len(title_row)))
+    cells = F.from_csv("value", F.lit(schema), options)
+    filled = F.coalesce(F.translate("value", sep + '"\r\n', ""), F.lit("")) != ""
+    parsed = lines.select("file", "block", "line", filled.alias("filled"), cells.alias("cells"))
     positions = _positions(title_row, rule)
-    return HeadedTable(_data_rows(parsed, len(title_row), positions, rule), tuple(positions))
+    return HeadedTable(_data_rows(parsed, positions, rule), tuple(positions))
 
 
 def _text_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -69,36 +68,6 @@ def _text_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
-def _csv_rows(spark: SparkSession, paths: list[str], width: int, options: dict) -> DataFrame:
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    rows = spark.read.options(**options, multiLine=True).schema(schema).csv(paths)
-    return _number(rows.select(
-        F.struct(*[f"c{i}" for i in range(width)]).alias("cells"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("id"),
-    ))
-
-
-def _csv_head(spark: SparkSession, paths: list[str], rule: ImportRule, options: dict) -> list[list]:
-    """Header rows of all files, without the empty cells to the right."""
-    wide = ", ".join(f"c{i} string" for i in range(_HEAD_WIDTH))
-    rows = spark.read.options(**options, multiLine=True).schema(wide).csv(paths)
-    numbered = rows.select(
-        F.array(*[F.coalesce(f"c{i}", F.lit("")) for i in range(_HEAD_WIDTH)]).alias("cells"),
-        F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("id"),
-    )
-    order = Window.partitionBy("file").orderBy("id")
-    ranked = numbered.withColumn("line", F.row_number().over(order))
-    top = ranked.where(F.col("line") <= rule.header_row).where(F.col("line") == rule.header_row)
-    heads = [row.cells for row in top.select("cells").distinct().limit(2).collect()]
-    for head in heads:
-        while head and head[-1] == "":
-            head.pop()
-    return heads
-
-
 def _number(lines: DataFrame) -> DataFrame:
     """Adds ``line``, 1-based within its file."""
     lines = stable(lines)
@@ -114,6 +83,34 @@ def _number(lines: DataFrame) -> DataFrame:
     return joined.withColumn("line", F.col("id") + F.col("shift")).drop("shift", "id")
 
 
+def _join_open_quotes(lines: DataFrame) -> DataFrame:
+    """Lines that a quoted break parts, joined again and numbered as rows.
+
+    An odd number of quotes before a line means that it continues a cell. Counts of
+    quotes and rows are summed up per file block first, so no file is one task's work;
+    ``block`` becomes that of a row's first line.
+    """
+    own = lines.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    sums = own.groupBy("file", "block").agg(F.sum("quotes").alias("sum"))
+    opened = sums.select("file", "block", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("opened"))
+    odd = (F.col("opened") + F.coalesce(F.sum("quotes").over(inside), F.lit(0))) % 2
+    marked = stable(own.join(opened, ["file", "block"]).select(
+        "file", "block", "line", "value", F.when(odd == 0, F.col("line")).alias("start")))
+    ends = marked.groupBy("file", "block").agg(F.max("start").alias("last"), F.count("start").alias("rows"))
+    carried = ends.select(
+        "file", "block", F.max("last").over(before).alias("last"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows"))
+    upto = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    placed = marked.join(carried, ["file", "block"]).select(
+        "file", "block", "line", "value", F.coalesce(F.max("start").over(upto), "last").alias("start"),
+        (F.col("rows") + F.count("start").over(upto)).alias("row"))
+    parts = F.array_sort(F.collect_list(F.struct("line", "value")))
+    return placed.groupBy("file", "start").agg(
+        F.min("block").alias("block"), F.max("row").alias("line"),
+        F.array_join(F.transform(parts, lambda x: x["value"]), "\n").alias("value"))
+
+
 def _one_header(heads: list[list]) -> list:
     if not heads or not heads[0]:
         raise HeaderError("no header row")
@@ -134,18 +131,14 @@ def _positions(titles: Sequence[str], rule: ImportRule) -> dict[str, int]:
     return found
 
 
-def _data_rows(parsed: DataFrame, width: int, positions: dict[str, int], rule: ImportRule) -> DataFrame:
-    """Data lines up to the last filled one of their file.
+def _data_rows(parsed: DataFrame, positions: dict[str, int], rule: ImportRule) -> DataFrame:
+    """Data rows up to the last filled one of their file.
 
     Joined per file block, a few rows each, so that one very large file is not
     one task's work.
     """
     cell = F.col("cells")
-    filled = reduce(
-        Column.__or__,
-        [F.coalesce(cell.getField(f"c{i}"), F.lit("")) != "" for i in range(width)],
-    )
-    ends = parsed.groupBy("file", "block").agg(F.max(F.when(filled, F.col("line"))).alias("end"))
+    ends = parsed.groupBy("file", "block").agg(F.max(F.when(F.col("filled"), F.col("line"))).alias("end"))
     last = F.max("end").over(Window.partitionBy("file")).alias("last")
     kept = parsed.where(F.col("line") >= rule.data_row).join(
         ends.select("file", "block", last), ["file", "block"]

@@ -128,3 +128,22 @@ def test_import_cleans_and_checks_the_cleaned_rows(spark, write, tmp_path):
     assert (result.rows, result.cleaned_rows) == (2, 1)
     stored = spark.read.parquet(f"{tmp_path}/clean")
     assert "until" not in stored.columns and stored.first().quantity == "1"
+
+
+def test_both_modes_read_the_same_rows(spark, write):
+    width = 600
+    titles = ",".join(f"t{i}" for i in range(width))
+    body = [",".join(f"{r}.{i}" for i in range(width)) for r in range(3)]
+    path = write("\n".join(["", titles, body[0], "", body[1], "", "", body[2], "," * (width - 1) + ",beyond", ",,", ""]) + "\n")
+    rule = ImportRule("wide", tuple(ColumnRule(f"f{i}", f"t{i}") for i in range(width)), header_row=2, data_row=3)
+    found = [ordered(read_headed(spark, path, rule, multi_line=m).rows) for m in (False, True)]
+    assert found[0] == found[1] and len(found[0][0]) == width
+    assert [r["f599"] for r in found[0]] == ["0.599", "", "1.599", "", "", "2.599", ""]
+
+
+def test_quoted_breaks_keep_blank_rows_and_row_numbers(spark, write):
+    path = write('A,B,C\n1,"x\n\ny",3\n\n4,"say ""hi""",6\n,"",\n')
+    rule = ImportRule("q", tuple(ColumnRule(c.lower(), c) for c in "ABC"))
+    table = read_headed(spark, path, rule, multi_line=True)
+    rows = table.rows.select(f"{ORD}.line", "a", "b", "c").orderBy("line").collect()
+    assert [tuple(r) for r in rows] == [(2, "1", "x\n\ny", "3"), (3, "", "", ""), (4, "4", 'say "hi"', "6")]
