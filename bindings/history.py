@@ -308,13 +308,15 @@ def run_log(spark, sf, edited=True):
     return rows
 
 
-@query("consolidate_with_history", f"""with {con.RESULT}, log as (select "Order Number" as o, "Line Number" as l,
-    case when cast(k as bigint) % 5 = 0 then '1' else "Quantity" end as q from result
+@query("consolidate_with_history", f"""with {con.RESULT.replace("result as (", "result as materialized (")},
+prepared as materialized (select *, {fr.trim('"Order Number"')} as o from result),
+log as materialized (select o as logged, "Line Number" as l,
+    case when cast(k as bigint) % 5 = 0 then '1' else "Quantity" end as q from prepared
   where status = 'Ready' and cast(k as bigint) % 7 <> 0)
-select result_key, case when status = 'Conflict' or o is null or q <> "Quantity" then status else 'Duplicate' end as status,
-  "Part", "Quantity", case when o is null then 'Add' else 'Modify' end as "Choose Action",
+select result_key, case when status = 'Conflict' or logged is null or q <> "Quantity" then status else 'Duplicate' end as status,
+  "Part", "Quantity", case when logged is null then 'Add' else 'Modify' end as "Choose Action",
   case when status <> 'Conflict' and q <> "Quantity" then 'Quantity变更' else '' end as "Change Description"
-from result left join log on {fr.trim('o')} = {fr.trim('"Order Number"')} and l = "Line Number" """)
+from prepared left join log on logged = o and l = "Line Number" """)
 def consolidate_with_history_query(spark, sf):
     rows = consolidate_with_history(
         con.sources(spark, sf), con.RULE, con.RUN_DATE, RUN_CHANGES, run_log(spark, sf), notes=False
