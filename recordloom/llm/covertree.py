@@ -24,8 +24,12 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.common import bounded
 
-#: Rows of one tree, points below which a node is not divided, queries' bytes in a block.
-TREE, LEAF, QUERIES = 8192, 48, 24 << 20
+#: Rows of one tree, queries' bytes in a block, and points below which a node of rows or
+#: of queries is not divided: a group of queries is held back by its worst score.
+TREE, QUERIES, LEAF, GROUP = 8192, 24 << 20, 64, 16
+#: Points that a child must have on average, or its parent stays undivided: among points
+#: that all lie far apart, a centre covers nothing but itself and no bound would prune.
+WORTH = 12
 
 
 class Node:
@@ -43,20 +47,27 @@ def distances(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", d, d))
 
 
-def build(x: np.ndarray, points: np.ndarray | None = None, first: int | None = None) -> Node:
-    """A cover tree of the rows of ``x``: children cover their points within half the radius."""
+def build(x: np.ndarray, points: np.ndarray | None = None, first: int | None = None, leaf: int = LEAF) -> Node:
+    """A cover tree of the rows of ``x``: children cover their points within half the radius.
+
+    A node whose first centres cover too little is left whole.
+    """
     points = np.arange(len(x)) if points is None else points
     first = int(points[0]) if first is None else first
     away = distances(x[points], x[first])
     node = Node(x[first], float(away.max()) * (1 + 1e-12), points)
-    if len(points) <= LEAF or node.radius == 0:
+    if len(points) <= leaf or node.radius == 0:
         return node
     half, left, centre = node.radius / 2, points, first
+    covers: list[tuple[np.ndarray, int]] = []
     while len(left):
         near = distances(x[left], x[centre]) <= half
-        node.children.append(build(x, left[near], centre))
+        covers.append((left[near], centre))
         left = left[~near]
         centre = int(left[0]) if len(left) else -1
+        if len(covers) % 16 == 0 and len(points) - len(left) < WORTH * len(covers):
+            return node
+    node.children = [build(x, own, at, leaf) for own, at in covers]
     return node
 
 
@@ -65,7 +76,7 @@ class Search:
 
     def __init__(self, queries: np.ndarray, query_ids: np.ndarray, k: int):
         self.x, self.ids, self.k = queries, query_ids, k
-        self.tree = build(queries)
+        self.tree = build(queries, leaf=GROUP)
         n = len(queries)
         self.worst = np.full(n, -np.inf)
         self.found = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))  # query, score, row id
@@ -119,14 +130,16 @@ class Search:
             for some in range(0, len(a.points), 1024):
                 asked = a.points[some: some + 1024]
                 scores = self.x[asked] @ rows[own].T
-                good = (scores >= self.worst[asked][:, None]) & (self.ids[asked][:, None] != ids[own][None, :])
-                i, j = np.nonzero(good)
+                theirs = np.flatnonzero(np.isin(ids[own], self.ids[asked]))
+                scores[:, theirs] = np.where(self.ids[asked][:, None] == ids[own[theirs]][None, :], -np.inf, scores[:, theirs])
+                least = self.worst[asked]
+                if scores.shape[1] > self.k and not np.isfinite(least).all():
+                    # a first meeting: only each query's best can count
+                    least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
+                i, j = np.nonzero(scores >= np.maximum(least, np.finfo(float).min)[:, None])
                 if not len(i):
                     continue
-                if len(i) > 8 * self.k * len(asked):  # a first meeting: only each query's best can count
-                    kth = -np.partition(-np.where(good, scores, -np.inf), min(self.k, scores.shape[1]) - 1, axis=1)[:, min(self.k, scores.shape[1]) - 1]
-                    good &= scores >= kth[:, None]
-                    i, j = np.nonzero(good)
+                if len(i) > 8 * self.k * len(asked):  # very many ties
                     tied = self._smallest(i, scores[i, j], ids[own[j]])
                     i, j = i[tied], j[tied]
                 self.held.append((asked[i], scores[i, j], ids[own[j]]))
