@@ -37,6 +37,9 @@ def consolidate(
     absent = [s.name for s in rule.sources if s.name not in tables]
     if absent:
         raise SourceNotReady(f"missing source tables: {', '.join(absent)}")
+    empty = [s.name for s in rule.sources if tables[s.name].isEmpty()]
+    if empty:
+        raise SourceNotReady(f"source tables without rows: {', '.join(empty)}")
     names = {s.name: i for i, s in enumerate(rule.sources)}
     base_rule = next(s for s in rule.sources if s.name == rule.base_source)
     expansion = rule.expansion

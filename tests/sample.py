@@ -1,4 +1,4 @@
-"""A small device catalogue in the shape of a real configuration document."""
+"""A plant nursery: four small sources, one line of data for each case the tests need."""
 
 from __future__ import annotations
 
@@ -9,103 +9,86 @@ from recordloom.settings import change_rule, consolidation_rule, import_rules
 RUN_DATE = dt.date(2026, 10, 13)
 
 
-def column(field, header, status="optional", **more):
-    return {"db_field": field, "chinese_name": header, "mandatory_status": status, **more}
+def column(field, status="optional", **more):
+    return {"db_field": field, "chinese_name": field.title(), "mandatory_status": status, **more}
 
 
-IMPORTS = {
-    "global_settings": {"empty_values": ["", None, "NA", "N/A", "nan"]},
-    "sources": {
-        "ra": {"chinese_name": "RA信息", "columns": [
-            column("material_code", "规格型号", "required"), column("product_name", "产品名称", "required"),
-            column("certificate", "注册证编号", "required"),
-        ]},
-        "udi": {"chinese_name": "UDI团队信息", "columns": [
-            column("material_code", "产品代码", "required"), column("di", "最小销售单元产品标识", "required"),
-            column("quantity", "使用单元数量", "required"),
-            column("use_unit", "使用单元产品标识", "required_if_applicable", required_when={
-                "column": "quantity", "operator": "greater_than", "value": 1, "value_type": "number"}),
-            column("internal", "内部", "optional"),
-        ]},
-        "insurance": {"chinese_name": "医保编码", "columns": [
-            column("material_code", "型号", "required"), column("insurance_code", "医用耗材代码", "required"),
-            column("serial", "流水号", "required"),
-        ]},
-        "category": {"chinese_name": "产品类别", "columns": [
-            column("material_code", "规格型号", "required"), column("product_type", "产品类别", "required"),
-        ]},
-    },
-}
+def source(label, *columns):
+    return {"chinese_name": label, "columns": [column("plant", "required"), *columns]}
 
 
 def output(status, file="", field=None, kind="direct", **transform):
-    source = {"file": file, "field": field} if file else {}
-    return {"mandatory_status": status, "source": source, "transform": {"type": kind, **transform}}
+    held = {"file": file, "field": field} if file else {}
+    return {"mandatory_status": status, "source": held, "transform": {"type": kind, **transform}}
 
 
+SEVERAL_TRAYS = {"column": "trays", "operator": "greater_than", "value": 1, "value_type": "number"}
+IMPORTS = {
+    "global_settings": {"empty_values": ["", None, "NA", "N/A", "nan"]},
+    "sources": {
+        "species": source("Species list", column("title", "required"), column("permit", "required")),
+        "lots": source(
+            "Sowing book", column("lot", "required"), column("trays", "required"),
+            column("shelf", "required_if_applicable", required_when=SEVERAL_TRAYS), column("remark")),
+        "growers": source("Growers", column("grower", "required"), column("rank")),
+        "zones": source("Zones", column("zone", "required")),
+    },
+}
+BY_PLANT = {"match": {"plant": "plant"}}
 MAPPING = {"target_dataset": {
-    "duplicate_check": {"identity_fields": ["Catalog", "Primary DI"]},
+    "duplicate_check": {"identity_fields": ["Name", "Lot"]},
     "merge_rules": {
-        "base_source": {"source": "ra", "key": ["material_code"]},
-        "result_identity": {"fields": ["material_code", "di"], "separator": "::"},
+        "base_source": {"source": "species", "key": ["plant"]},
+        "result_identity": {"fields": ["plant", "lot"], "separator": "/"},
         "sources": {
-            "ra": {"cardinality": "one_to_one", "match": {"material_code": "material_code"}},
-            "udi": {
-                "cardinality": "one_to_many", "match": {"material_code": "material_code"}, "expand_by": ["di"],
+            "species": {"cardinality": "one_to_one", **BY_PLANT},
+            "zones": {"cardinality": "one_to_one", **BY_PLANT},
+            "growers": {
+                "cardinality": "many_to_one", **BY_PLANT, "no_match": {"action": "empty", "value": ""},
+                "merge_records": {"deduplicate": True, "order": "source"}},
+            "lots": {
+                "cardinality": "one_to_many", **BY_PLANT, "expand_by": ["lot"],
                 "no_match": {"action": "emit_incomplete", "value": "MISSING"},
-                "duplicates": {"compare_by": ["material_code", "di"], "different_content": "conflict"},
-            },
-            "insurance": {
-                "cardinality": "many_to_one", "match": {"material_code": "material_code"},
-                "no_match": {"action": "empty", "value": ""},
-                "merge_records": {"deduplicate": True, "order": "source"},
-            },
-            "category": {"cardinality": "one_to_one", "match": {"material_code": "material_code"}},
+                "duplicates": {"compare_by": ["plant", "lot"], "different_content": "conflict"}},
         },
     },
     "fields": {
-        "Primary DI": output("required", "udi", "di"),
-        "Scope": {"mandatory_status": "user_defined", "source": {"key": "data_scope"}},
-        "Choose Action": output("required", kind="record_action", on_new_record="Add", on_stored_record="Modify"),
-        "Publish Date": output("required", kind="date_offset", offset_days_from="lead"),
-        "Change Description": output(
-            "required_if_applicable", kind="change_description", compare_fields="all",
-            ignore_fields=["Choose Action", "Publish Date"],
-            on_other_change={"mode": "auto", "template": "{column}变更", "separator": "；"},
-        ),
-        "Product Name": output("required", "ra", "product_name"),
-        "Quantity": output("required", "udi", "quantity"),
-        "Use Unit": output("required_if_applicable", "udi", "use_unit"),
-        "Certificate": output("required", "ra", ["certificate"], "first_not_null"),
-        "Catalog": output("required", "ra", "material_code"),
-        "Product Type": output("required", "category", "product_type"),
-        "Insurance": output("required_if_applicable", "insurance", ["insurance_code"], "concatenate", record_separator=","),
-        "Channel": output("optional"),
+        "Name": output("required", "species", "plant"),
+        "Lot": output("required", "lots", "lot"),
+        "Title": output("required", "species", "title"),
+        "Permit": output("required", "species", ["permit"], "first_not_null"),
+        "Trays": output("required", "lots", "trays"),
+        "Shelf": output("required_if_applicable", "lots", "shelf"),
+        "Zone": output("required", "zones", "zone"),
+        "Growers": output("required_if_applicable", "growers", ["grower"], "concatenate", record_separator=","),
+        "Season": {"mandatory_status": "user_defined", "source": {"key": "season"}},
+        "Due": output("required", kind="date_offset", offset_days_from="lead"),
+        "Action": output("required", kind="record_action", on_new_record="Add", on_stored_record="Modify"),
+        "Changes": output(
+            "required_if_applicable", kind="change_description", compare_fields="all", ignore_fields=["Action", "Due"],
+            on_other_change={"mode": "auto", "template": "new {column}", "separator": "; "}),
+        "Spare": output("optional"),
     },
 }}
-LOG_COLUMNS = ["log_time", "status", *MAPPING["target_dataset"]["fields"], "material_code", "operation", "details"]
+LOG_COLUMNS = ["log_time", "status", *MAPPING["target_dataset"]["fields"], "plant", "operation", "details"]
 
 RULES = import_rules(IMPORTS)
-RULE = consolidation_rule(MAPPING, RULES, {"data_scope": "China-udi", "lead": 5})
+RULE = consolidation_rule(MAPPING, RULES, {"season": "autumn", "lead": 3})
 CHANGES = change_rule(MAPPING)
 
+PLANTS = ("fern", "moss", "ivy", "bare")
+
 
-def rows(count=5):
-    """``count`` codes, one code without an identifier, two identifiers for even codes."""
-    codes = [f"000MAT-{i:03d}" for i in range(1, count + 2)]
-    udi = []
-    for i in range(1, count + 1):
-        quantity, unit = {1: ("1", ""), 2: ("3", f"U{i}"), 3: (" 2 ", f"U{i}"), 0: ("多套", "")}[i % 4]
-        udi.append((codes[i - 1], f"0{i:06d}", quantity, unit, "x"))
-        if i % 2 == 0:
-            udi.append((codes[i - 1], f"5{i:06d}", "1", f"U{i}", "x"))
-    first = udi[0]
-    udi += [first, (first[0], str(int(first[1])), *first[2:])]
+def rows():
+    """Four plants: one lot, two lots, a padded number of trays, and no lot at all."""
     return {
-        "ra": [(c, f"name {c}", f"REG-{c}") for c in codes],
-        "udi": udi,
-        "insurance": [(c, f"INS-{c}", "1") for c in codes],
-        "category": [(c, "耗材") for c in codes],
+        "species": [(p, p.upper(), f"permit of {p}") for p in PLANTS],
+        "lots": [
+            ("fern", "spring", "1", "", "x"), ("moss", "spring", "3", "low", "x"), ("moss", "late", "1", "", "x"),
+            ("ivy", "07", " 2 ", "high", "x"),
+        ],
+        "growers": [(p, f"{p} & sons", "1") for p in PLANTS],
+        "zones": [(p, "wet") for p in PLANTS],
     }
 
 

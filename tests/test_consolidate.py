@@ -33,43 +33,37 @@ def counts(df):
 
 def test_sample_shape(table):
     found = run(table, sample.rows())
-    assert counts(found) == {"Ready": 8, "Incomplete": 1, "Duplicate": 0, "Conflict": 0}
+    assert counts(found) == {"Ready": 4, "Incomplete": 1, "Duplicate": 0, "Conflict": 0}
     rows = ordered(found)
-    assert [r["result_key"] for r in rows][:3] == [
-        "000MAT-001::0000001", "000MAT-001::1", "000MAT-002::0000002",
-    ]
-    alone = rows[-1]
-    assert alone["result_key"] == "000MAT-006::MISSING" and alone["status"] == "Incomplete"
-    assert alone["Primary DI"] == "MISSING" and alone["Quantity"] == "MISSING" and alone["Product Name"] == "name 000MAT-006"
-    first = rows[0]
-    assert first["Publish Date"] == "2026-10-18" and first["Scope"] == "China-udi"
-    assert first["Channel"] == "" and first["Use Unit"] == "" and first["Insurance"] == "INS-000MAT-001"
-    assert first["conflict_notes"] == {} and first["row_conflict"] == ""
+    assert [r["result_key"] for r in rows] == ["fern/spring", "moss/spring", "moss/late", "ivy/07", "bare/MISSING"]
+    fern, bare = rows[0], rows[-1]
+    assert (bare["status"], bare["Lot"], bare["Trays"], bare["Title"]) == ("Incomplete", "MISSING", "MISSING", "BARE")
+    assert (fern["Due"], fern["Season"], fern["Spare"], fern["Shelf"]) == ("2026-10-16", "autumn", "", "")
+    assert (fern["Growers"], fern["Permit"]) == ("fern & sons", "permit of fern")
+    assert fern["conflict_notes"] == {} and fern["row_conflict"] == ""
 
 
 def test_contradicting_rows_conflict_with_notes(table):
     data = sample.rows()
-    data["udi"].append((*data["udi"][0][:2], "999", *data["udi"][0][3:]))
+    data["lots"].append(("ivy", "07", "9", "high", "x"))
     rows = {r["result_key"]: r for r in ordered(run(table, data))}
-    hit = rows["000MAT-001::0000001"]
-    assert hit["status"] == "Conflict"
-    assert hit["row_conflict"] == "UDI团队信息：material_code=000MAT-001, di=0000001 存在内容不同的重复记录"
-    assert hit["conflict_notes"] == {"Quantity": "UDI团队信息：000MAT-001+0000001 有多个候选值：1, 999"}
-    assert sum(r["status"] == "Conflict" for r in rows.values()) == 1
+    assert {k for k, r in rows.items() if r["status"] == "Conflict"} == {"ivy/07"}
+    assert rows["ivy/07"]["row_conflict"] == "Sowing book：plant=ivy, lot=07 存在内容不同的重复记录"
+    assert rows["ivy/07"]["conflict_notes"] == {"Trays": "Sowing book：ivy+07 有多个候选值：2, 9"}
 
 
-def test_white_space_only_difference_conflicts_without_notes(table):
+@pytest.mark.parametrize("other", [("fern", "spring", "1 ", "", "x"), ("fern", "spring", "1", "", "another")])
+def test_white_space_and_unused_fields_conflict_without_notes(table, other):
     data = sample.rows()
-    data["udi"].append((*data["udi"][0][:2], "1 ", *data["udi"][0][3:]))
-    hit = ordered(run(table, data))[0]
-    assert hit["status"] == "Conflict" and hit["conflict_notes"] == {}
+    data["lots"].append(other)
+    fern = ordered(run(table, data))[0]
+    assert fern["status"] == "Conflict" and fern["conflict_notes"] == {}
 
 
-def test_conflict_on_a_field_without_column_has_no_notes(table):
+def test_repeated_rows_are_no_conflict(table):
     data = sample.rows()
-    data["udi"].append((*data["udi"][0][:4], "other"))
-    hit = ordered(run(table, data))[0]
-    assert hit["status"] == "Conflict" and hit["conflict_notes"] == {}
+    data["lots"] += data["lots"]
+    assert counts(run(table, data))["Conflict"] == 0
 
 
 def test_text_of_other_fields_comes_from_the_last_differing_row(table):
@@ -78,83 +72,85 @@ def test_text_of_other_fields_comes_from_the_last_differing_row(table):
     assert [(r._match, r.detail) for r in found] == [("k", "S：k=k, v=c 存在内容不同的重复记录")]
 
 
-def test_insurance_rows_merge(table):
+def test_merged_cells(table):
     data = sample.rows()
-    code = data["insurance"][0][0]
-    data["insurance"] += [(code, "code-B", "2"), data["insurance"][0], (code, "INS-" + code, "9"), (code, "NA", "3")]
-    hit = ordered(run(table, data))[0]
-    assert hit["Insurance"] == f"INS-{code},code-B" and hit["status"] == "Ready"
-    by_text = change_source(sample.RULE, "insurance", merge=MergeRecords(order="sorted"))
-    data["insurance"].append((code, "A-1", "4"))
-    assert ordered(run(table, data, by_text))[0]["Insurance"] == f"A-1,INS-{code},code-B"
+    data["growers"] += [("moss", "Lee", "2"), ("moss", "moss & sons", "1"), ("moss", "moss & sons", "5"), ("moss", "NA", "3"), ("moss", "Abt", "4")]
+    moss = ordered(run(table, data))[1]
+    assert moss["Growers"] == "moss & sons,Lee,Abt" and moss["status"] == "Ready"
+    by_text = change_source(sample.RULE, "growers", merge=MergeRecords(order="sorted"))
+    assert ordered(run(table, data, by_text))[1]["Growers"] == "Abt,Lee,moss & sons"
 
 
 def test_value_conflict_lists_every_value_and_notes_three(table):
     data = sample.rows()
-    code = data["insurance"][0][0]
-    data["insurance"] = [(code, f"C{i}", "1") for i in (4, 2, 3, 1, 2)] + [(code, "", "")]
-    rule = change_source(
-        sample.RULE, "insurance", merge=None, conflicts=True, compare_by=("insurance_code",)
-    )
-    hit = ordered(run(table, data, rule))[0]
-    assert hit["row_conflict"] == f"医保编码：material_code={code} 存在多个不同值：C1, C2, C3, C4"
-    assert hit["conflict_notes"] == {"Insurance": f"医保编码：{code} 有多个候选值：C1, C2, C3"}
-    assert hit["Insurance"] == "C4"
-    last = change_source(rule, "insurance", selected="last", conflicts=False)
-    data["insurance"].pop()
-    assert ordered(run(table, data, last))[0]["Insurance"] == "C2"
+    data["growers"] = [("ivy", g, "1") for g in ("Dee", "Bob", "Cat", "Ann", "Bob", "")]
+    rule = change_source(sample.RULE, "growers", merge=None, conflicts=True, compare_by=("grower",))
+    ivy = ordered(run(table, data, rule))[3]
+    assert ivy["row_conflict"] == "Growers：plant=ivy 存在多个不同值：Ann, Bob, Cat, Dee"
+    assert ivy["conflict_notes"] == {"Growers": "Growers：ivy 有多个候选值：Ann, Bob, Cat"}
+    assert ivy["Growers"] == "Dee"
+    data["growers"].pop()
+    last = change_source(rule, "growers", selected="last", conflicts=False)
+    assert ordered(run(table, data, last))[3]["Growers"] == "Bob"
 
 
 def test_no_match_actions(table):
     data = sample.rows()
-    data["insurance"].pop()
-    data["category"].pop(0)
+    data["zones"] = data["zones"][1:]
+    data["growers"] = data["growers"][:3]
     rows = ordered(run(table, data))
-    assert rows[0]["Product Type"] == "MISSING" and rows[0]["status"] == "Incomplete"
-    assert rows[-1]["Insurance"] == ""
-    skip = change_source(sample.RULE, "udi", no_match=NoMatch("skip"))
-    assert len(ordered(run(table, data, skip))) == 8
-    empty = change_source(sample.RULE, "udi", no_match=NoMatch("empty", "NONE"))
-    last = ordered(run(table, data, empty))[-1]
-    # a required cell left empty is then filled by the completeness check
-    assert last["Primary DI"] == "NONE" and last["Use Unit"] == "" and last["status"] == "Incomplete"
-    error = change_source(sample.RULE, "udi", no_match=NoMatch("error"))
-    with pytest.raises(m.NoExpansionError, match="000MAT-006"):
-        run(table, data, error)
+    assert (rows[0]["Zone"], rows[0]["status"]) == ("MISSING", "Incomplete") and rows[4]["Growers"] == ""
+    assert rows[1]["status"] == "Ready"
+    skip = change_source(sample.RULE, "lots", no_match=NoMatch("skip"))
+    assert [r["Name"] for r in ordered(run(table, data, skip))] == ["fern", "moss", "moss", "ivy"]
+    empty = change_source(sample.RULE, "lots", no_match=NoMatch("empty", "none"))
+    bare = ordered(run(table, data, empty))[-1]
+    assert (bare["Lot"], bare["Shelf"], bare["status"]) == ("none", "", "Incomplete")
+    with pytest.raises(m.NoExpansionError, match="bare"):
+        run(table, data, change_source(sample.RULE, "lots", no_match=NoMatch("error")))
 
 
 def test_required_if_applicable_uses_the_source_condition(table):
     data = sample.rows()
-    data["udi"][1] = (*data["udi"][1][:3], " ", "x")
-    hit = {r["result_key"]: r for r in ordered(run(table, data))}["000MAT-002::0000002"]
-    assert hit["Use Unit"] == "MISSING" and hit["status"] == "Incomplete"
+    data["lots"] = [(p, lot, trays, " ", remark) for p, lot, trays, _, remark in data["lots"]]
+    shelves = [(r["Shelf"].strip(), r["status"]) for r in ordered(run(table, data))[:4]]
+    assert shelves == [("", "Ready"), ("MISSING", "Incomplete"), ("", "Ready"), ("MISSING", "Incomplete")]
 
 
-def test_key_trimming_is_asymmetric(table):
-    data = sample.rows(2)
-    data["ra"][0] = (" 000MAT-001", *data["ra"][0][1:])
-    data["udi"] = [(f" {r[0]} ", *r[1:]) for r in data["udi"]]
+def test_lookup_keys_are_trimmed_and_base_keys_are_not(table):
+    data = sample.rows()
+    data["species"][0] = (" fern", "FERN", "p")
+    data["lots"] = [(f" {r[0]} ", *r[1:]) for r in data["lots"]]
     rows = ordered(run(table, data))
-    assert rows[0]["result_key"] == "000MAT-001::MISSING" and rows[0]["Product Type"] == "MISSING"
-    assert rows[1]["result_key"] == "000MAT-002::0000002" and rows[1]["status"] == "Ready"
+    assert rows[0]["Lot"] == "MISSING" and rows[0]["Zone"] == "MISSING"
+    assert [(r["Lot"], r["status"]) for r in rows[1:4]] == [("spring", "Ready"), ("late", "Ready"), ("07", "Ready")]
 
 
 def test_base_and_lookup_keep_the_last_row(table):
-    data = sample.rows(2)
-    data["ra"].append(("000MAT-001", "newer", "R"))
-    data["category"].append(("000MAT-001", "设备"))
-    rows = ordered(run(table, data))
-    assert rows[0]["Product Name"] == "newer" and rows[0]["Product Type"] == "设备"
-    assert rows[0]["result_key"].startswith("000MAT-001")
-
-
-def test_missing_table_and_parameter(table):
-    tables = sample.tables(table, sample.rows(1))
-    tables.pop("category")
-    with pytest.raises(SourceNotReady):
+    data = sample.rows()
+    data["species"].append(("fern", "Fern, renamed", "q"))
+    data["zones"] = [("fern", "dry"), *data["zones"]]
+    fern = ordered(run(table, data))[0]
+    assert (fern["Title"], fern["Permit"], fern["Zone"]) == ("Fern, renamed", "q", "wet")
+
+
+def test_a_base_column_with_a_reserved_name_is_refused(table):
+    base, lots = table("plant _size n", [("a", "1", "2")]), table("plant lot", [("a", "1")])
+    with pytest.raises(ValueError, match="_size"):
+        m.expand_one_to_many(base, "plant", lots, "plant", ["lot"], "src")
+    found = m.expand_one_to_many(base.drop("_size"), "plant", lots, "plant", ["lot"], "src")
+    assert found.first().n == "2"
+
+
+def test_missing_and_empty_tables_and_parameter(table):
+    tables = sample.tables(table, sample.rows())
+    with pytest.raises(SourceNotReady, match="zones"):
+        consolidate({**tables, "zones": tables["zones"].limit(0)}, sample.RULE, sample.RUN_DATE)
+    tables.pop("zones")
+    with pytest.raises(SourceNotReady, match="zones"):
         consolidate(tables, sample.RULE, sample.RUN_DATE)
     with pytest.raises(UnknownParameterError):
-        run(table, sample.rows(1), dataclasses.replace(sample.RULE, parameters={}))
+        run(table, sample.rows(), dataclasses.replace(sample.RULE, parameters={}))
 
 
 def history(table, result, changes=sample.CHANGES):
@@ -172,22 +168,22 @@ def test_second_run_is_all_duplicates_then_a_change_shows(table):
     data = sample.rows()
     log = history(table, run(table, data)).cache()
     second = again(table, data, log)
-    assert counts(second) == {"Ready": 0, "Incomplete": 1, "Duplicate": 8, "Conflict": 0}
-    assert {r.x for r in second.select(F.col("Change Description").alias("x")).collect()} == {""}
-    forced = again(table, data, log, force=True)
-    assert counts(forced)["Ready"] == 8
-    data["ra"][0] = (data["ra"][0][0], "新名字", data["ra"][0][2])
+    assert counts(second) == {"Ready": 0, "Incomplete": 1, "Duplicate": 4, "Conflict": 0}
+    assert {r.Changes for r in second.select("Changes").collect()} == {""}
+    assert counts(again(table, data, log, force=True))["Ready"] == 4
+    data["zones"][1] = ("moss", "dry")
+    data["species"][1] = ("moss", "Moss", "permit of moss")
     changed = [r for r in ordered(again(table, data, log)) if r["status"] == "Ready"]
-    assert {r["result_key"] for r in changed} == {"000MAT-001::0000001", "000MAT-001::1"}
-    assert {(r["Choose Action"], r["Change Description"]) for r in changed} == {("Modify", "Product Name变更")}
+    assert [(r["result_key"], r["Action"], r["Changes"]) for r in changed] == [
+        (key, "Modify", "new Title; new Zone") for key in ("moss/spring", "moss/late")]
 
 
 def test_conflict_rows_keep_status_but_get_an_action(table):
     data = sample.rows()
     log = history(table, run(table, data)).cache()
-    data["udi"].append((*data["udi"][0][:2], "999", *data["udi"][0][3:]))
-    hit = ordered(again(table, data, log))[0]
-    assert (hit["status"], hit["Choose Action"], hit["Change Description"]) == ("Conflict", "Modify", "")
+    data["lots"].append(("fern", "spring", "4", "low", "x"))
+    fern = ordered(again(table, data, log))[0]
+    assert (fern["status"], fern["Action"], fern["Changes"]) == ("Conflict", "Modify", "")
 
 
 def test_unstored_column_cannot_prove_a_change(table):

@@ -8,8 +8,10 @@ import sample
 from conftest import ordered
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
+import __spark_entry__  # noqa: F401  (registers the queries)
 from bindings import consolidation as con
+from bindings.registry import QUERIES
+from recordloom.columns import rows_differ
 from recordloom.operators import clean as cl
 from recordloom.operators import conflicts as cf
 from recordloom.operators import match as m
@@ -19,7 +21,6 @@ from recordloom.plans.consolidating import consolidate
 from recordloom.rules import CleanRule, MergeRecords
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES = queries()
 
 
 def skewed(n, seed):
@@ -153,17 +154,17 @@ def test_sources_are_pruned_to_the_columns_in_use(spark):
     assert event_scans and not any("props" in line or "user_id" in line for line in event_scans)
 
 
-@pytest.mark.parametrize("name", ["cell_notes", "unique_conflicts", "unique_conflict_summary", "retention"])
+@pytest.mark.parametrize("name", ["cell_notes", "unique_conflict_summary", "retention"])
 def test_ranked_filters_apply_before_the_shuffle(spark, name):
     text = plan(QUERIES[name](spark, SMALL))
     assert "WindowGroupLimit" in text and "Partial" in text
 
 
 def test_a_crowded_key_is_cut_into_parts(spark, table):
-    from recordloom.operators.skew import PART, cut
+    from recordloom.operators.skew import PART, SIZE, cut
 
     rows = table("k v", [("hot", str(i)) for i in range(3000)] + [(f"k{i}", "x") for i in range(6000)])
-    sizes = rows.groupBy("k").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("k").agg(F.count("*").alias(SIZE))
     total = rows.agg(F.count("*")).scalar()
     found = cut(rows, sizes, ["k"], [F.col("v")], total)
     assert found.count() == 9000
@@ -172,6 +173,41 @@ def test_a_crowded_key_is_cut_into_parts(spark, table):
     assert found.where(f"k <> 'hot' and {PART} <> 0").count() == 0
 
 
+def test_a_crowded_key_of_few_values_shrinks_before_the_join(spark, table):
+    rows = table("k e v", [("hot", "1", str(i % 2)) for i in range(4000)] + [(f"k{i}", "1", "x") for i in range(4000)])
+    found = cf.conflict_cells(rows, "k", ["e"], {"v": ["V"]})
+    text = plan(found)
+    assert sorted(r.value for r in found.collect()) == ["0", "1"]
+    assert text.count("ExistingRDD") <= 2 and "Broadcast" not in text.replace("BroadcastHashJoin", "")
+    last = cf.content_conflicts(rows, "k", ["e"], ["k", "v"], "S").collect()
+    assert [(r._match, r.detail) for r in last] == [("hot", "S：k=hot, v=1 存在内容不同的重复记录")]
+
+
+def test_null_and_blank_rows_are_told_apart_from_values(spark):
+    rows = spark.createDataFrame([("a", None, "x"), ("a", "x", None), ("b", None, "x"), ("b", "", "x")], "k string, p string, q string")
+    found = {r.k: r.d for r in rows.groupBy("k").agg(rows_differ(["p", "q"]).alias("d")).collect()}
+    assert found == {"a": True, "b": False}
+
+
+def test_late_pages_come_by_range(spark):
+    from recordloom.operators import review
+
+    df = spark.range(25_000).withColumn("v", 25_000 - F.col("id"))
+    late = review.page(df, ["v"], 10**12)
+    assert [r.v for r in late.rows.collect()] == list(range(24_901, 25_001)) and late.page_count == 250
+    assert "TakeOrdered" not in plan(late.rows.select("v"))
+    middle = review.page(df, [F.desc("v")], 150)
+    assert [r.v for r in middle.rows.collect()] == list(range(25_000 - 14_900, 25_000 - 15_000, -1))
+
+
+def test_repeated_keys_are_refused(table):
+    from recordloom.operators.review import cell_diff
+
+    rows = table("k v", [("a", "1"), ("a", "2")])
+    with pytest.raises(ValueError, match="repeat"):
+        cell_diff(rows, rows, ["k"])
+
+
 def test_text_range_reaches_the_scan(spark, table, tmp_path):
     from recordloom.operators.filters import time_range
 
@@ -180,7 +216,7 @@ def test_text_range_reaches_the_scan(spark, table, tmp_path):
     assert "GreaterThanOrEqual(log_time,2026/01/01)" in plan(found)
 
 
-def test_one_exchange_per_lookup_source(spark, table):
+def test_lookups_need_no_window(spark, table):
     """Base and lookups meet on one partitioning: an aggregate's exchange each, none for the joins."""
     data = sample.rows()
     text = plan(consolidate(sample.tables(table, data), sample.RULE, sample.RUN_DATE, notes=False))
