@@ -169,6 +169,24 @@ def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
 
 
+SQL["op8_substring_dedup"] = r"""
+with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+words as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as place from texts),
+windows as (
+  select doc_id, place, array_to_string(words[place : place + 34], ' ') as said
+  from (select doc_id, words, unnest(range(1, len(words) - 33)) as place from texts)),
+repeated as (select doc_id, place from (select *, count(*) over (partition by said) as n from windows) where n > 1),
+covered as (
+  select w.*, coalesce(w.place - max(r.place) over (partition by w.doc_id order by w.place) < 35, false) as gone
+  from words w left join repeated r using (doc_id, place)),
+kept as (
+  select doc_id, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by place) filter (not gone) as text
+  from covered group by doc_id)
+select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from texts left join kept using (doc_id)
+"""
+
+
 @query
 def op9_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return top_inner_products(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
