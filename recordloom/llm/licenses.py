@@ -102,11 +102,13 @@ def scan_licenses(
     terms = template_terms(spark, TEMPLATES if templates is None else templates)
     idf, other = term_weights(rows, terms, "text")
     speaking = F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(SPEAKS))
-    # a digest of path and lines names a file: those that share it agree in all that follows
-    named = F.when(F.size("lines") > 0, F.md5(F.concat_ws("\n", F.coalesce("path", F.lit("\0")), "lines"))).alias("file")
-    lines = rows.select("path", F.coalesce(F.array_distinct(speaking), F.array().cast("array<string>")).alias("lines"))
+    # a digest of path and lines names a file: those that share it agree in all that follows;
+    # silent files are spread by path and text, as they meet nothing
+    named = F.md5(F.concat_ws("\n", F.coalesce("path", F.lit("\0")), "lines", F.when(F.size("lines") == 0, F.col("mark")))).alias("file")
+    lines = rows.select(
+        "path", F.coalesce(F.array_distinct(speaking), F.array().cast("array<string>")).alias("lines"), F.xxhash64("text").cast("string").alias("mark"))
     keyed = lines.select("path", named, "lines")
-    said = keyed.where(F.col("file").isNotNull())
+    said = keyed.where(F.size("lines") > 0)
     contents = said.select(F.explode("lines").alias("content")).distinct().select(F.md5("content").alias("line"), "content")
     scores = line_licenses(contents, terms, idf, other)
     scores = scores.where(F.col("cosine") >= similar)
