@@ -14,7 +14,7 @@ from recordloom.operators import conflicts as cf
 from recordloom.operators import match as m
 from recordloom.operators.changes import apply_changes, latest_records
 from recordloom.operators.project import derived_fill, project_rows, resolve_status
-from recordloom.operators.validate import SourceNotReady
+from recordloom.operators.validate import SourceNotReady, source_completeness
 from recordloom.rules import ORD, ChangeRule, ConsolidationRule, MatchRule
 from recordloom.sources.tables import keyed_table
 
@@ -37,9 +37,8 @@ def consolidate(
     absent = [s.name for s in rule.sources if s.name not in tables]
     if absent:
         raise SourceNotReady(f"missing source tables: {', '.join(absent)}")
-    empty = [s.name for s in rule.sources if tables[s.name].isEmpty()]
-    if empty:
-        raise SourceNotReady(f"source tables without rows: {', '.join(empty)}")
+    base = tables[rule.base_source]
+    source_completeness(base.sparkSession, {s.name: tables[s.name] for s in rule.sources})
     names = {s.name: i for i, s in enumerate(rule.sources)}
     base_rule = next(s for s in rule.sources if s.name == rule.base_source)
     expansion = rule.expansion

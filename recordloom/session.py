@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,18 +16,29 @@ def stable(df: DataFrame) -> DataFrame:
     is the session's ``spark.checkpoint.dir``; only a local session without one
     gets a scratch folder.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            configured = tempfile.mkdtemp(prefix="recordloom-checkpoint-")
-        context.setCheckpointDir(configured)
+    folder = shared_folder(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session, or the folder set on its context."""
+    context = spark.sparkContext
+    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        found = tempfile.mkdtemp(prefix="recordloom-checkpoint-")
+        context.setCheckpointDir(found)
+    return found
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing is at yet."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def session(name: str = "recordloom") -> SparkSession:
     """A session with the settings the operators rely on."""
     return (
