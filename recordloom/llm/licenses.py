@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import staged
+
 #: What licenses say of themselves. Any number of texts for a license.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -107,7 +109,7 @@ def scan_licenses(
     named = F.md5(F.concat_ws("\n", F.coalesce("path", F.lit("\0")), "lines", F.when(F.size("lines") == 0, F.col("mark")))).alias("file")
     lines = rows.select(
         "path", F.coalesce(F.array_distinct(speaking), F.array().cast("array<string>")).alias("lines"), F.xxhash64("text").cast("string").alias("mark"))
-    keyed = lines.select("path", named, "lines")
+    keyed = staged(lines.select("path", named, "lines"), "speaking")  # the texts are read for it once
     said = keyed.where(F.size("lines") > 0)
     contents = said.select(F.explode("lines").alias("content")).distinct().select(F.md5("content").alias("line"), "content")
     scores = line_licenses(contents, terms, idf, other)
