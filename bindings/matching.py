@@ -109,8 +109,10 @@ select {fr.trim('l_orderkey')} as l_orderkey, l_returnflag, l_linestatus from (
   select distinct l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
     l_returnflag, l_linestatus, l_shipdate from lines) where {fr.trim('l_orderkey')} <> ''""")
 def collect_many_to_one(spark, sf):
+    """Every line comes twice, so that removing repeats shows."""
+    twice = fr.order_lines(spark, sf).unionByName(fr.order_lines(spark, sf))
     rows = m.collect_many_to_one(
-        fr.order_lines(spark, sf), "l_orderkey", ["l_returnflag", "l_linestatus"], deduplicate=True
+        twice, "l_orderkey", ["l_returnflag", "l_linestatus"], deduplicate=True
     )
     return rows.select(F.col(m.MATCH).alias("l_orderkey"), "l_returnflag", "l_linestatus")
 
