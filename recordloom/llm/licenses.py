@@ -62,7 +62,9 @@ def term_weights(files: DataFrame, terms: DataFrame, text: str) -> tuple[DataFra
     total = files.count()
     idf = F.log((1 + F.lit(float(total))) / (1 + F.coalesce("files", F.lit(0)))) + 1
     counted = terms.select("term").distinct().join(F.broadcast(seen.groupBy("term").agg(F.count("*").alias("files"))), "term", "left")
-    return counted.select("term", idf.alias("idf")), math.log(1 + total) + 1
+    weights = counted.select("term", idf.alias("idf")).collect()  # as many as the templates have terms
+    known = files.sparkSession.createDataFrame(weights, "term string, idf double")
+    return known, math.log(1 + total) + 1
 
 
 def line_licenses(lines: DataFrame, terms: DataFrame, idf: DataFrame, other: float) -> DataFrame:
