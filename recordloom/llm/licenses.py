@@ -8,8 +8,6 @@ aggregates.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,33 +49,30 @@ def template_terms(spark: SparkSession, templates: list[tuple[str, str]]) -> Dat
     return rows.select("license", "template", F.explode(words(F.col("body"))).alias("term")).groupBy("license", "template", "term").agg(F.count("*").alias("n"))
 
 
-def term_weights(files: DataFrame, terms: DataFrame, text: str) -> tuple[DataFrame, float]:
-    """(term, idf) of the templates' terms, over all files, and the weight of any other word.
-
-    There are as many rows as the templates have terms, whatever the files' size.
-    """
-    vocabulary = [r.term for r in terms.select("term").distinct().collect()]
-    listed = F.array(*map(F.lit, vocabulary))
-    seen = files.select(F.explode(F.array_intersect(words(F.coalesce(text, F.lit(""))), listed)).alias("term"))
-    total = files.count()
-    idf = F.log((1 + F.lit(float(total))) / (1 + F.coalesce("files", F.lit(0)))) + 1
-    counted = terms.select("term").distinct().join(F.broadcast(seen.groupBy("term").agg(F.count("*").alias("files"))), "term", "left")
-    weights = counted.select("term", idf.alias("idf")).collect()  # as many as the templates have terms
-    known = files.sparkSession.createDataFrame(weights, "term string, idf double")
-    return known, math.log(1 + total) + 1
+def line_terms(lines: DataFrame) -> DataFrame:
+    """(line, term, n) of lines, given with the digest ``line`` and the ``content``, which no later row carries."""
+    return lines.select("line", F.explode(words(F.col("content"))).alias("term")).groupBy("line", "term").agg(F.count("*").alias("n"))
 
 
-def line_licenses(lines: DataFrame, terms: DataFrame, idf: DataFrame, other: float) -> DataFrame:
-    """(line, license, cosine): the most similar template of each distinct line.
+def term_weights(files: DataFrame, tokens: DataFrame, terms: DataFrame, text: str) -> DataFrame:
+    """(term, idf) of all terms of the lines and the templates, over all files.
 
-    ``lines`` has the digest ``line`` and its ``content``, which no later row carries.
+    Every file counts a term once; each task adds up its own files first.
     """
-    known = F.broadcast(idf)
-    weight = F.col("n") * F.coalesce("idf", F.lit(other))
-    tokens = lines.select("line", F.explode(words(F.col("content"))).alias("term")).groupBy("line", "term").agg(F.count("*").alias("n"))
-    weighted = tokens.join(known, "term", "left").select("line", "term", weight.alias("w"))
+    total = float(files.count())
+    seen = files.select(F.explode(F.array_distinct(words(F.coalesce(text, F.lit(""))))).alias("term"))
+    counted = seen.groupBy("term").agg(F.count("*").alias("files"))
+    wanted = tokens.select("term").union(terms.select("term")).distinct()
+    idf = F.log((1 + F.lit(total)) / (1 + F.coalesce("files", F.lit(0)))) + 1
+    return wanted.join(counted, "term", "left").select("term", idf.alias("idf"))
+
+
+def line_licenses(tokens: DataFrame, terms: DataFrame, idf: DataFrame) -> DataFrame:
+    """(line, license, cosine): the most similar template of each distinct line."""
+    weight = F.col("n") * F.col("idf")
+    weighted = staged(tokens.join(idf, "term").select("line", "term", weight.alias("w")), "weighted")
     norms = weighted.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    own = terms.join(known, "term").select("license", "template", "term", weight.alias("tw"))
+    own = F.broadcast(terms).join(idf, "term").select("license", "template", "term", weight.alias("tw"))
     lengths = own.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("length"))
     unit = F.broadcast(own.join(lengths, "template").select("license", "template", "term", (F.col("tw") / F.col("length")).alias("tw")))
     dots = weighted.join(unit, "term").groupBy("line", "license", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
@@ -104,7 +99,6 @@ def scan_licenses(
     spark = files.sparkSession
     rows = files.select(F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
     terms = template_terms(spark, TEMPLATES if templates is None else templates)
-    idf, other = term_weights(rows, terms, "text")
     speaking = F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(SPEAKS))
     # a digest of path and lines names a file: those that share it agree in all that follows;
     # silent files are spread by path and text, as they meet nothing
@@ -114,7 +108,9 @@ def scan_licenses(
     keyed = staged(lines.select("path", named, "lines"), "speaking")  # the texts are read for it once
     said = keyed.where(F.size("lines") > 0)
     contents = said.select(F.explode("lines").alias("content")).distinct().select(F.md5("content").alias("line"), "content")
-    scores = line_licenses(contents, terms, idf, other)
+    tokens = line_terms(contents)
+    idf = staged(term_weights(rows, tokens, terms, "text"), "idf")
+    scores = line_licenses(tokens, terms, idf)
     scores = scores.where(F.col("cosine") >= similar)
     digests = said.select("file", F.explode(F.transform("lines", lambda x: F.md5(x))).alias("line")).distinct()
     own = digests.join(scores, "line").groupBy("file").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "license")).alias("best")).select(

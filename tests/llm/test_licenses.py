@@ -1,10 +1,14 @@
 """op7 against its SQL and by hand."""
 
+import math
+import re
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.llm.licenses import scan_licenses
+from recordloom.llm.licenses import TEMPLATES, scan_licenses
 from recordloom.llm.queries import QUERIES, SQL
 
 TABLES = "/root/testdata/sf0.01"
@@ -44,3 +48,25 @@ def test_inheritance_and_odd_rows(spark):
         ("ab/q", None, None, None), ("top", None, None, None), (None, "MIT", "own", None), (None, None, None, None),
         ("a/license.txt", "MIT", "inherited", "a"), ("e/" * 200 + "deep", None, None, None)}
     assert scan_licenses(df.limit(0)).collect() == []
+
+
+def test_every_term_has_its_own_frequency(spark):
+    """Cosines by hand, with the document frequency of every word, not only of the templates'."""
+    said = "This project is released under the MIT License."
+    texts = [said, "this project is released", "project of the day", None, *["project is this"] * 3000]
+    df = spark.createDataFrame([(f"d{i}/f", t) for i, t in enumerate(texts)], "path string, text string")
+
+    def split(t):
+        return [w for w in re.split("[^a-z0-9]+", (t or "").lower()) if w]
+
+    files = Counter(w for t in texts for w in set(split(t)))
+
+    def weights(t):
+        return {w: n * (math.log((1 + len(texts)) / (1 + files[w])) + 1) for w, n in Counter(split(t)).items()}
+
+    def cosine(a, b):
+        return sum(w * b.get(k, 0) for k, w in a.items()) / math.hypot(*a.values()) / math.hypot(*b.values())
+
+    want = max((round(cosine(weights(said), weights(body)), 6), name) for name, body in TEMPLATES)
+    got = scan_licenses(df).where("own_license is not null").collect()
+    assert [(r.path, r.cosine, r.own_license) for r in got] == [("d0/f", pytest.approx(want[0], abs=2e-6), want[1])]
