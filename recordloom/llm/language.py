@@ -20,6 +20,9 @@ from recordloom.llm.common import appended, bounded
 #: Sample of labelled rows per language, chosen by a hash of the id, and characters of
 #: each that enter the dictionary: many texts speak for a language better than one long one.
 SAMPLED, CHARACTERS_EACH = 400, 512
+#: A longer text is cut into so many equal parts, each of which gives a stretch at a place
+#: chosen by a hash: what the texts open with is no more likely to enter than the rest.
+STRETCHES = 4
 #: Languages that a model may hold; bounds what is sent to every task.
 LANGUAGES = 200
 #: Bytes that are compressed at once: a piece is small, so that the dictionary counts.
@@ -35,6 +38,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def stretches(text: str, order: str) -> Column:
+    """A text of up to CHARACTERS_EACH characters, or stretches of a longer one spread over all of it."""
+    n, each = F.length(text), CHARACTERS_EACH // STRETCHES
+
+    def stretch(i: int) -> Column:
+        start = F.floor(n * i / STRETCHES)
+        room = F.floor(n * (i + 1) / STRETCHES) - start - each + 1
+        place = start + F.pmod(F.xxhash64(order, F.lit(i)), room)
+        return F.substr(F.col(text), (place + 1).cast("int"), F.lit(each))
+
+    return F.when(n <= CHARACTERS_EACH, F.col(text)).otherwise(F.concat_ws(" ", *map(stretch, range(STRETCHES))))
+
+
 def dictionaries(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sampled: int = SAMPLED,
 ) -> dict[str, bytes]:
@@ -47,9 +63,8 @@ def dictionaries(
         F.col("_lang").isNotNull() & F.coalesce(F.col("_text"), F.lit("")).rlike(r"\p{L}") & ~held_out(F.col("_id")))
     order = F.xxhash64(F.col("_id").cast("string"), "_text")
     turn = W.partitionBy("_lang").orderBy("_order", "_text")
-    # the beginning of each sampled text enters the dictionary, rejoined at a space
     taken = (
-        rows.select("_lang", order.alias("_order"), F.lower(F.substring("_text", 1, CHARACTERS_EACH)).alias("_text"))
+        rows.select("_lang", order.alias("_order"), "_text").select("_lang", "_order", F.lower(stretches("_text", "_order")).alias("_text"))
         .withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= sampled)
         .groupBy("_lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_turn", "_text"))), lambda x: x["_text"]), "\n").alias("content"))
         .orderBy("_lang").limit(LANGUAGES + 1)

@@ -47,3 +47,15 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in identify_language(df, df.limit(0)).collect()} == {"und"}
     assert identify_language(df.limit(0)).collect() == []
     assert dictionaries(df) == dictionaries(df.repartition(5))
+
+
+def test_texts_that_open_alike(spark):
+    """A common opening longer than what a text gives to a dictionary does not hide the language."""
+    notice = "This notice stands before every text of this source and says nothing of its language. " * 8
+    said = {"de": "der schnelle braune fuchs springt über den faulen hund ", "fr": "le renard brun saute par dessus le chien paresseux "}
+    rows = [(i, notice + text * 40, lang) for k, (lang, text) in enumerate(said.items()) for i in range(100 * k, 100 * k + 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    short = spark.createDataFrame([(-1, said["de"], None), (-2, said["fr"], None)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in identify_language(short, df).collect()} == {-1: "de", -2: "fr"}
+    held = dictionaries(df)
+    assert all(said[x].encode()[:20] in held[x] for x in said)
