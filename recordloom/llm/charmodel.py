@@ -38,11 +38,19 @@ _SIGNS = re.escape("".join(LOOKALIKES))
 _FILL = re.escape(FILLERS)
 #: Single letters or signs with fillers between them.
 SPACED = re.compile(rf"(?<!\w)[\w{_SIGNS}](?:[{_FILL}]{{1,3}}[\w{_SIGNS}]){{3,}}(?!\w)")
+#: Three of them: too often a plain list to be replaced, but another reading.
+SHORT = re.compile(rf"(?<!\w)[\w{_SIGNS}](?:[{_FILL}]{{1,3}}[\w{_SIGNS}]){{2}}(?!\w)")
+#: Words with a letter twice in a row.
+DOUBLED = re.compile(r"([^\W\d_])\1")
+WORD = re.compile(r"[^\W\d_]+")
 #: Where a token is worth a search: a sign next to a letter and not at the end, or three equal letters.
 TRIGGER = re.compile(rf"[{_SIGNS}](?=[^\W\d_])|(?<=[^\W\d_])[{_SIGNS}](?=[\w@])|([^\W\d_])\1\1")
 #: The token around such a place; signs that end it are punctuation unless they are digits.
 _BEFORE = re.compile(rf"[\w{_SIGNS}]")
 _TOKEN = re.compile(rf"[\w{_SIGNS}]*\w")
+#: Tokens that end in signs, which may be punctuation or letters.
+FINAL = re.compile(rf"(?<![\w{_SIGNS}])[\w{_SIGNS}]*[^\W\d_][{_SIGNS}]+(?![\w{_SIGNS}])")
+_FILLER_POINTS = np.array([ord(x) for x in FILLERS], np.uint32)
 
 
 @functools.cache
@@ -85,7 +93,8 @@ class CharModel:
         p1 = (c1 + 1) / (c1.sum() + SYMBOLS)
         p2 = (c2 + 5 * p1) / (c2.sum(axis=1, keepdims=True) + 5)
         p3 = (c3 + 5 * p2[None]) / (c3.sum(axis=2, keepdims=True) + 5)
-        self.log = np.log(p3).ravel().tolist()
+        self.table = np.log(p3).ravel()
+        self.log = self.table.tolist()
         self.known: dict[str, str] = {}
 
     def restore(self, span: str) -> str:
@@ -94,11 +103,14 @@ class CharModel:
         if got is None:
             if len(self.known) > 50_000:
                 self.known.clear()
-            got = self.known[span] = self._search(span.lower(), bool(SPACED.fullmatch(span)))
+            low = span.lower()
+            got = self._search(low, bool(SPACED.fullmatch(span) or SHORT.fullmatch(span)))
+            got = self.known[span] = span if got == low else got
         return got
 
     def _search(self, span: str, spaced: bool) -> str:
         log, n = self.log, len(span)
+        last = len(span.rstrip("".join(x for x in LOOKALIKES if not x.isdigit())))  # from here signs may be punctuation
         # at[i]: (last two symbols) -> (score, link), links chain the letters written
         at: list[dict[int, tuple[float, object]]] = [{} for _ in range(n + 1)]
         at[0][GAP * SYMBOLS + GAP] = (0.0, None)
@@ -128,7 +140,7 @@ class CharModel:
                 for j, letters, cost in moves:
                     total, s, chain = score + cost, state, link
                     for x in letters:
-                        code = CODE.get(x) or (OTHER if x.isalpha() else GAP if x in FILLERS else MARK)
+                        code = CODE.get(x) or (OTHER if x.isalpha() else GAP if x in FILLERS or i >= last and not x.isdigit() else MARK)
                         total += log[s * SYMBOLS + code]
                         s = s % SYMBOLS * SYMBOLS + code
                         chain = (chain, x)
@@ -143,6 +155,40 @@ class CharModel:
             out.append(x)
         return "".join(reversed(out))
 
+    def words(self, text: str) -> set[str]:
+        """The words of the plain text, and other readings that the model prefers.
+
+        Final signs, doubled letters, three spaced letters and groups between fillers are common
+        in plain texts too, so their readings are added and replace nothing.
+        """
+        plain = self.plain(text).lower()
+        found = set(WORD.findall(plain))
+        more = {self.restore(w) for w in found if DOUBLED.search(w)}
+        more |= {w for kind in (SHORT, FINAL) for m in kind.finditer(plain) for w in WORD.findall(self.restore(m[0]))}
+        return found | more | self._joined(plain)
+
+    def _joined(self, text: str) -> set[str]:
+        """Words broken into groups, where the groups are likelier as one word than apart."""
+        points = np.frombuffer(f"  {text}   ".encode("utf-32-le", "surrogatepass"), np.uint32)
+        s = np.where(points < (1 << 16), codes()[np.minimum(points, (1 << 16) - 1)], OTHER)
+        filler, letter = np.isin(points, _FILLER_POINTS), s >= OTHER
+        cuts: list[tuple[int, int]] = []
+        for k in (1, 2, 3):
+            g = np.flatnonzero(filler[2: len(s) - k - 1] & letter[1: len(s) - k - 2] & letter[2 + k: len(s) - 1]) + 2
+            for i in range(1, k):
+                g = g[filler[g + i]]
+            x, y, a, b = s[g - 2], s[g - 1], s[g + k], s[g + k + 1]
+            one = self.table[(x * SYMBOLS + y) * SYMBOLS + a] + self.table[(y * SYMBOLS + a) * SYMBOLS + b] + DROPPED
+            two = self.table[(x * SYMBOLS + y) * SYMBOLS + GAP] + self.table[(y * SYMBOLS + GAP) * SYMBOLS + a] + self.table[(GAP * SYMBOLS + a) * SYMBOLS + b]
+            cuts += [(int(i) - 2, int(i) - 2 + k) for i in g[one > two]]
+        if not cuts:
+            return set()
+        out, done = [], 0
+        for start, end in sorted(cuts):
+            out.append(text[done:start])
+            done = end
+        return set(WORD.findall("".join([*out, text[done:]])))
+
     def plain(self, text: str) -> str:
         """The text with its suspicious spans restored."""
         text = SPACED.sub(lambda m: self.restore(m[0]), text)

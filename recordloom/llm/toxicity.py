@@ -8,7 +8,6 @@ bounded sample of labelled rows.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,7 +31,6 @@ STEPS = (1, 2, 3, 5)
 ROUNDS, RIDGE = 300, 0.03
 #: Lengths of word beginnings.
 BEGINNINGS = (4, 5, 6, 7)
-WORD = re.compile(r"[^\W\d_]+")
 #: Words whose score a task remembers.
 _REMEMBERED = 200_000
 
@@ -71,7 +69,7 @@ class Scorer:
     def evidence(self, text: str) -> Counter:
         """Known words and beginnings, with the number of different words that have them."""
         known, found = self.known, []
-        for w in set(WORD.findall(self.model.plain(text).lower())):
+        for w in self.model.words(text):
             own = known.get(w)
             if own is None:
                 if len(known) >= _REMEMBERED:
@@ -112,7 +110,7 @@ def _count(model, only):
         wanted = only.value if only is not None else None
         for batch in cut_batches(batches, "_text"):
             for t in batch.column(0).to_pylist():
-                found = {f for w in set(WORD.findall(own.plain(t or "").lower())) for f in features(w)}
+                found = {f for w in own.words(t or "") for f in features(w)}
                 count.update(found if wanted is None else found & wanted)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["feature", "n"])

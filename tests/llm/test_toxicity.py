@@ -79,3 +79,18 @@ def test_odd_rows(spark):
 def test_lower_share():
     assert lower_share(np.array([3, 0]), np.array([0, 3]))[0] == pytest.approx(0.75)
     assert lower_share(np.array([0]), np.array([3]))[0] == pytest.approx(0)
+
+
+def test_planted_disguises(spark):
+    """Each kind of disguise alone, end to end, next to plain words of the same shape."""
+    plain = "the man said it is in the tin and the letter is on the table"
+    rows = [(i, f"{plain} {['stupid', 'good', 'idiot', 'book'][i % 4]} number") for i in range(400)]
+    planted = ["idio7", "iidiioott", "idioott", "id.iot", "stu pid", "id iot", "stu-pid", "i d i o t", "1d10t"]
+    clean = ["boo7", "good", "is in", "a b c", "the.man", "it!"]
+    tests = [(1000 + i, f"{plain} {x} number") for i, x in enumerate(planted + clean)]
+    docs = spark.createDataFrame(rows + tests, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 1 - i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in toxicity_scores(docs, labels, keep=["doc_id"]).collect()}
+    scores = [round(got[i], 2) for i, _ in tests]
+    assert [x for x, z in zip(planted, scores) if z < 0.5] == []
+    assert [x for x, z in zip(clean, scores[len(planted):]) if z >= 0.5] == []
