@@ -8,12 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import language
+from recordloom.llm import language, manifest_sql
 from recordloom.llm.bpe import encode_decode
 from recordloom.llm.covertree import top_inner_products
 from recordloom.llm.decontamination import benchmark_leaks
+from recordloom.llm.divergence import source_divergence
 from recordloom.llm.jaccard import near_duplicate_classes
 from recordloom.llm.licenses import LICENCE_FILE, SIMILAR, SPEAKS, TEMPLATES, scan_licenses
+from recordloom.llm.manifest import dataset_manifest
+from recordloom.llm.simhash import near_fingerprints
 from recordloom.llm.suffixes import remove_repeated_strings
 from recordloom.llm.tokenfiles import token_counts
 from recordloom.llm.toxicity import held_out, toxicity_scores
@@ -211,3 +214,59 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     found = language.identify_language(docs, keep=["doc_id"])
     return found.withColumn("held_out", language.held_out(F.col("doc_id"))).select(
         "doc_id", "held_out", "lang_pred", "score", "margin", "doubtful")
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return source_divergence(table(spark, sf, "documents"))
+
+
+SQL["op11_source_divergence"] = r"""
+with texts as (
+  select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as k,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as words from documents),
+tokens as (select lang, source, k, unnest(words) as term from texts),
+kept as (select lang, term, count(*) as n from tokens group by lang, term having count(distinct k) >= 10),
+sizes as (select lang, count(*) as v, sum(n) as total from kept group by lang),
+own as (select lang, term, 1 + 1000000000 * (n + 2)::hugeint // (total + 2 * v) as q from kept join sizes using (lang)),
+counts as (select lang, source, term, count(*) as n from tokens semi join kept using (lang, term) group by lang, source, term),
+totals as (
+  select g.lang, g.source, coalesce(sum(n), 0) as total from (select distinct lang, source from texts) g
+  left join counts c on c.lang = g.lang and c.source = g.source group by g.lang, g.source),
+shares as (
+  select t.lang, t.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000 * (coalesce(c.n, 0) + 2)::hugeint // (t.total + 2 * s.v) as p
+  from totals t join sizes s on s.lang = t.lang join kept k on k.lang = t.lang
+  left join counts c on c.lang = t.lang and c.source = t.source and c.term = k.term),
+met as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from totals a join totals b on a.lang = b.lang and a.source <> b.source
+  left join met m on m.lang = a.lang and m.source = a.source and m.item = b.source),
+words as (
+  select lang, source, 'term' as part, term as item, (p - q) * (p - q) // (p + q) as value
+  from shares join own using (lang, term) where n > 0 and p > q),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) as rank
+  from (select * from pairs union all select * from words))
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from ranked where part = 'pair' or rank <= 10
+"""
+
+
+@query
+def op12_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_fingerprints(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_dataset_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """The manifest; of documents whose id has an even crc32 the line breaks are deleted."""
+    without = F.replace("text", F.lit("\n"), F.lit(""))
+    hit = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return dataset_manifest(
+        table(spark, sf, "documents"), tampered={"text": F.when(hit, without).otherwise(F.col("text"))})
+
+
+SQL["op13_dataset_manifest"] = manifest_sql.SQL
