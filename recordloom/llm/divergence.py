@@ -2,9 +2,8 @@
 
 The counts of a group (a source in a language) over a block of term ids form a segment
 tree. Nodes are hash-consed: equal counts give the same node, in every group. Two groups
-diverge by the sum of the prices of their leaves; a walk over both trees at once
-remembers the price of each pair of nodes, so equal pairs are priced once. Spark cuts
-terms into blocks and groups into lots, and a task compares two lots over one block.
+diverge by the sum of the prices of their leaves; a walk over both trees at once keeps
+equal pairs of nodes as one, so they are priced once. Spark cuts terms into blocks and groups into lots, and a task compares two lots over one block.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +28,8 @@ TOP = 10
 BLOCK, LOT = 2048, 32
 #: (group, term) pairs that a task holds before it passes them on.
 HELD = 1 << 17
+#: Pairs of groups that are walked down at once.
+PAIRS = 256
 
 #: A-Z become a-z; what is neither a letter nor beyond ASCII parts words.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -165,78 +167,94 @@ class Trees:
         return row.get(0, self.zeros[-1])
 
 
-class Prices:
-    """What pairs of nodes of two groups cost; each different pair is worked out once."""
+def leaf_shares(trees: Trees, totals: list[int], v: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each leaf stands, by node, and the share of each group's leaves there; exact at any size."""
+    leaves = [i for i, r in enumerate(trees.right) if r < 0]
+    place = np.zeros(len(trees.left), np.int64)
+    place[leaves] = np.arange(len(leaves))
+    counts = [trees.left[i] for i in leaves]
+    # a count beyond a group's total is another group's
+    return place, np.array(
+        [[1 + SCALE * (n + 2) // (total + 2 * v) if n <= total else 0 for n in counts] for total in totals], np.int64)
 
-    def __init__(self, trees: Trees, total: int, other_total: int, v: int):
-        self.trees, self.v = trees, v
-        self.total, self.other_total = total, other_total
-        self.known: dict[tuple[int, int], int] = {}
-        self.best: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
-    def shares(self, a: int, b: int) -> tuple[int, int]:
-        v = self.v
-        return 1 + SCALE * (a + 2) // (self.total + 2 * v), 1 + SCALE * (b + 2) // (self.other_total + 2 * v)
+def priced(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Shares are at most 1 + ``SCALE``, so squares fit."""
+    return (p - q) * (p - q) // (p + q)
 
-    def price(self, a: int, b: int) -> int:
-        found = self.known.get((a, b))
-        if found is None:
-            left, right = self.trees.left, self.trees.right
-            if right[a] < 0:
-                p, q = self.shares(left[a], left[b])
-                found = (p - q) * (p - q) // (p + q)
-            else:
-                found = self.price(left[a], left[b]) + self.price(right[a], right[b])
-            self.known[a, b] = found
-        return found
 
-    def raised(self, a: int, b: int, level: int, top: int) -> list[tuple[int, int]]:
-        """(-price, place) of the ``top`` places where the first count is positive and its share larger."""
-        found = self.best.get((a, b))
+def walked(trees: Trees, pairs: np.ndarray, place: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """The price of each pair of trees, given as rows (group, group, root, root).
+
+    All pairs are walked down together, a level at a time. A pair of nodes that two groups
+    meet again and again is one entry with its number: it is gone down from, and its leaves
+    are priced, once.
+    """
+    if len(pairs) > PAIRS:
+        return np.concatenate([walked(trees, pairs[i: i + PAIRS], place, shares) for i in range(0, len(pairs), PAIRS)])
+    children, nodes = (np.array(trees.left), np.array(trees.right)), len(trees.left)
+    of, a, b = np.arange(len(pairs)), pairs[:, 2], pairs[:, 3]
+    times = np.ones(len(pairs), np.int64)
+    for _ in range(trees.levels):
+        met = np.concatenate([(of * nodes + side[a]) * nodes + side[b] for side in children])
+        order = np.argsort(met, kind="stable")
+        met, times = met[order], np.concatenate([times, times])[order]
+        starts = np.concatenate([[0], np.flatnonzero(met[1:] != met[:-1]) + 1])
+        met, times = met[starts], np.add.reduceat(times, starts)
+        met, b = np.divmod(met, nodes)
+        of, a = np.divmod(met, nodes)
+    cost = times * priced(shares[pairs[of, 0], place[a]], shares[pairs[of, 1], place[b]])
+    return np.add.reduceat(cost, np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1]))
+
+
+def raised(trees: Trees, root: int, own: int, place: np.ndarray, p: np.ndarray, q: np.ndarray, top: int) -> list[tuple[int, int]]:
+    """(-price, place) of the ``top`` leaves that are positive in the first tree and have the larger share there."""
+    known: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def best(a: int, b: int, level: int) -> list[tuple[int, int]]:
+        found = known.get((a, b))
         if found is None:
-            trees = self.trees
             if a == trees.zeros[level]:
                 found = []
             elif not level:
-                p, q = self.shares(trees.left[a], trees.left[b])
-                found = [(-self.price(a, b), 0)] if p > q else []
+                one, two = int(p[place[a]]), int(q[place[b]])
+                found = [(-((one - two) ** 2 // (one + two)), 0)] if one > two else []
             else:
                 half = 1 << level - 1
-                found = self.raised(trees.left[a], trees.left[b], level - 1, top)
-                later = self.raised(trees.right[a], trees.right[b], level - 1, top)
+                found = best(trees.left[a], trees.left[b], level - 1)
+                later = best(trees.right[a], trees.right[b], level - 1)
                 if later:
                     found = sorted([*found, *((x, at + half) for x, at in later)])[:top]
-            self.best[a, b] = found
+            known[a, b] = found
         return found
 
+    return best(root, own, trees.levels)
+
 
 def _price(top: int):
     def run(rows: pa.Table) -> pa.Table:
         held = rows.to_pylist()
         size, v, lang, block = held[0]["size"], held[0]["v"], held[0]["lang"], held[0]["block"]
         trees = Trees(max(size - 1, 0).bit_length())
-        groups, own = [], None
-        for r in held:
-            root = trees.tree(sorted((e["at"], e["n"]) for e in r["entries"] or ()))
-            if r["source"] is None:
-                own = root, r["total"]
-            else:
-                groups.append((r["source"], r["lot"], root, r["total"]))
-        groups.sort()
-        beyond = (1 << trees.levels) - size
+        groups = sorted((r for r in held if r["source"] is not None), key=lambda r: r["source"])
+        owns = [r for r in held if r["source"] is None]
+        roots = [trees.tree(sorted((e["at"], e["n"]) for e in r["entries"] or ())) for r in groups + owns]
+        place, shares = leaf_shares(trees, [r["total"] for r in groups + owns], v)
         across = held[0]["one"] != held[0]["two"]
+        pairs = np.array([
+            (i, j, roots[i], roots[j]) for i, a in enumerate(groups) for j in range(i + 1, len(groups))
+            if not across or a["lot"] != groups[j]["lot"]], np.int64).reshape(-1, 4)
         out: list[tuple[str, str | None, int | None, int]] = []
-        for i, (a, lot, root, total) in enumerate(groups):
-            for b, other_lot, other, other_total in groups[i + 1:]:
-                if across and lot == other_lot:
-                    continue
-                prices = Prices(trees, total, other_total, v)
-                # places beyond the block's terms are zero in every tree
-                value = prices.price(root, other) - beyond * prices.price(trees.zeros[0], trees.zeros[0])
+        if len(pairs):
+            # places beyond the block's terms are zero in every tree
+            zero, beyond = place[trees.zeros[0]], (1 << trees.levels) - size
+            values = walked(trees, pairs, place, shares) - beyond * priced(shares[pairs[:, 0], zero], shares[pairs[:, 1], zero])
+            for i, j, value in zip(pairs[:, 0].tolist(), pairs[:, 1].tolist(), values.tolist()):
+                a, b = groups[i]["source"], groups[j]["source"]
                 out += [(a, b, None, value), (b, a, None, value)]
-            if own is not None:
-                against = Prices(trees, total, own[1], v)
-                out += [(a, None, at, -x) for x, at in against.raised(root, own[0], trees.levels, top)]
+        for i, r in enumerate(groups if owns else ()):
+            found = raised(trees, roots[i], roots[-1], place, shares[i], shares[-1], top)
+            out += [(r["source"], None, at, -x) for x, at in found]
         n = len(out)
         columns = list(zip(*out)) or [(), (), (), ()]
         return pa.table({

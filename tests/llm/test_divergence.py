@@ -4,11 +4,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from recordloom.llm import stretches
-from recordloom.llm.divergence import Prices, Trees, source_divergence
+from recordloom.llm.divergence import PAIRS, Trees, leaf_shares, source_divergence, walked
 
 SCHEMA = "lang string, source string, text string"
 
@@ -89,12 +90,21 @@ def test_a_very_long_text_is_read_in_stretches(spark, monkeypatch):
     assert found(spark.createDataFrame(made, SCHEMA)) == plain(made)
 
 
-def test_equal_counts_are_one_node_and_priced_once():
-    trees = Trees(10)
-    one = trees.tree([(3, 5), (700, 1)])
-    assert one == trees.tree([(700, 1), (3, 5)])
+def test_equal_counts_are_one_node_and_walks_agree_with_a_plain_sum():
+    rng = random.Random(9)
+    trees = Trees(6)
+    assert trees.tree([(3, 5), (60, 1)]) == trees.tree([(60, 1), (3, 5)])
     assert trees.tree([]) == trees.zeros[-1]
-    prices = Prices(trees, 6, 1, 1024)
-    prices.price(one, trees.tree([(3, 1)]))
-    # two ways down and one pair of zero nodes a level
-    assert len(prices.known) < 40
+    held = [{rng.randrange(64): rng.randrange(1, 4) for _ in range(rng.choice([0, 3, 60]))} for _ in range(40)]
+    held.append({at: 10**13 * (at + 1) for at in range(64)})
+    roots = [trees.tree(sorted(h.items())) for h in held]
+    totals, v = [sum(h.values()) for h in held], 64
+    place, shares = leaf_shares(trees, totals, v)
+    pairs = np.array([(i, j, roots[i], roots[j]) for i in range(len(held)) for j in range(len(held)) if i != j])
+    assert len(pairs) > PAIRS
+
+    def share(i, at):
+        return 1 + 10**9 * (held[i].get(at, 0) + 2) // (totals[i] + 2 * v)
+
+    for (i, j, _, _), got in zip(pairs.tolist(), walked(trees, pairs, place, shares).tolist()):
+        assert got == sum((share(i, t) - share(j, t)) ** 2 // (share(i, t) + share(j, t)) for t in range(64))
