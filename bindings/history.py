@@ -14,6 +14,7 @@ from recordloom.operators.project import derived_fill
 from recordloom.operators.review import cell_diff, status_counts
 from recordloom.plans.consolidating import consolidate_with_history
 from recordloom.plans.recording import records_to_log
+from recordloom.session import staged
 from recordloom.rules import ORD, ChangeRule, ConsolidationRule, OutputColumn
 from recordloom.sources.tables import append_rows
 
@@ -304,8 +305,7 @@ def run_log(spark, sf, edited=True):
         i = F.col(ORD)["base"]
         older = F.when(i % 5 == 0, "1").otherwise(F.col("Quantity"))
         ready = ready.where(i % 7 != 0).withColumn("Quantity", older)
-    rows = lg.append_records(ready, RUN_LOG, RUN_LOG, "2026/10/01 08:00:00")
-    return rows
+    return staged(lg.append_records(ready, RUN_LOG, RUN_LOG, "2026/10/01 08:00:00"), "run-log")
 
 
 @query("consolidate_with_history", f"""with {con.RESULT.replace("result as (", "result as materialized (")},

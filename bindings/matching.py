@@ -18,11 +18,6 @@ def dated_orders(spark, sf):
     return as_text(fr.load(spark, sf, "orders"), DATED, decimals=2)
 
 
-def final_orders(spark, sf):
-    """Orders of status F: some customers have none."""
-    return dated_orders(spark, sf).where("o_orderstatus = 'F'")
-
-
 @query("keyed_table", f"""with {fr.ORDERS}, placed as (select *, row_number() over (order by o_orderdate, ord) as pos from orders_t),
 ranked as (select *, row_number() over (partition by o_custkey order by pos desc) as rn,
   first_value(o_orderkey) over (partition by o_custkey order by pos) as first_order from placed)
@@ -49,16 +44,19 @@ def lookup_one_to_one(spark, sf):
 
 def _picked(order: str) -> str:
     return f"""(select * from (select *, row_number() over (partition by o_custkey order by o_orderdate {order}, ord {order}) as rn
-      from orders_t where o_orderstatus = 'F') where rn = 1)"""
+      from orders_t) where rn = 1)"""
 
 
-@query("lookup_many_to_one", f"""with {fr.ORDERS}, {fr.CUSTOMER}
+@query("lookup_many_to_one", f"""with {fr.ORDERS}, {fr.CUSTOMER}, padded as (
+  select case when ord % 13 = 0 then ' ' || c_custkey else c_custkey end as c_custkey from customer_t)
 select c_custkey, a.o_orderkey as first_order, a.o_orderdate as first_date, b.o_orderkey as last_order, b.o_orderdate as last_date
-from customer_t left join {_picked('asc')} a on a.o_custkey = c_custkey
+from padded left join {_picked('asc')} a on a.o_custkey = c_custkey
 left join {_picked('desc')} b on b.o_custkey = c_custkey""")
 def lookup_many_to_one(spark, sf):
-    rows = fr.customer_text(spark, sf)
-    orders = final_orders(spark, sf)
+    """First and last order of every customer; a padded base key finds none."""
+    padded = F.when(F.col(ORD) % 13 == 0, F.concat(F.lit(" "), F.col("c_custkey"))).otherwise(F.col("c_custkey"))
+    rows = fr.customer_text(spark, sf).withColumn("c_custkey", padded)
+    orders = dated_orders(spark, sf)
     for pick in ("first", "last"):
         rows = m.lookup_many_to_one(rows, "c_custkey", orders, "o_custkey", pick, pick, ORDER_NAMES)
     return rows.select(
@@ -69,26 +67,23 @@ def lookup_many_to_one(spark, sf):
 
 
 FIRST_LINES = f"""first_lines as (
-  select k, n, arg_min(l_partkey, ord) as part, arg_min(l_quantity, ord) as quantity, min(ord) as first_ord
+  select k, n, arg_min(l_partkey, ord) as part, arg_min(l_quantity, ord) as quantity, arg_min(l_shipdate, ord) as shipped
   from (select *, {fr.trim('l_orderkey')} as k, {fr.trim('l_linenumber')} as n from lines)
   where k <> '' and n <> '' group by k, n)"""
 
 
 @query("expand_one_to_many", f"""with {fr.BASE_ORDERS}, {fr.ORDER_LINES}, {FIRST_LINES}
-select o_orderkey, n as line, part, quantity, row_number() over (partition by o_orderkey order by first_ord) as place
+select o_orderkey, n as line, part, quantity, shipped
 from base left join first_lines on k = o_orderkey""")
 def expand_one_to_many(spark, sf):
     rows = m.expand_one_to_many(
         fr.base_orders(spark, sf), "o_orderkey", fr.order_lines(spark, sf), "l_orderkey",
         ["l_linenumber"], "line", NoMatch("emit_incomplete", "MISSING"),
     )
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("o_orderkey").orderBy(ORD)).cast("long")
     return rows.select(
         "o_orderkey", F.trim(F.col("line.l_linenumber")).alias("line"),
         F.col("line.l_partkey").alias("part"), F.col("line.l_quantity").alias("quantity"),
-        place.alias("place"),
+        F.col(f"{ORD}.expansion.l_shipdate").cast("string").alias("shipped"),
     )
 
 

@@ -33,9 +33,17 @@ def rows_differ(names: Iterable[str]) -> Column:
     carries no second copy of the row. Null reads as blank, as everywhere in text
     tables. The test is by hash: rows that differ could agree with a chance of 2**-128.
     """
-    cells = [F.coalesce(col(name).cast("string"), F.lit("")) for name in names]
+    return values_differ([col(name) for name in names])
+
+
+def values_differ(values: Iterable[Column], counted: Column | None = None) -> Column:
+    """As :func:`rows_differ`, of any columns; rows for which ``counted`` is false do not count."""
+    cells = [F.coalesce(v.cast("string"), F.lit("")) for v in values]
     first = F.xxhash64(*cells)
     second = F.xxhash64(F.lit("second"), *cells)
+    if counted is not None:
+        first, second = F.when(counted, first), F.when(counted, second)
+        return F.coalesce((F.min(first) != F.max(first)) | (F.min(second) != F.max(second)), F.lit(False))
     return (F.min(first) != F.max(first)) | (F.min(second) != F.max(second))
 
 

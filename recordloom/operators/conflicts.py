@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.columns import col, data_columns, rows_differ
+from recordloom.columns import col, data_columns, rows_differ, values_differ
 from recordloom.functions.text import trim_text
 from recordloom.operators.match import MATCH, key_names, matchable
 from recordloom.rules import ORD
@@ -83,16 +83,36 @@ def value_tuples(src: DataFrame, match: str, compare_by: Sequence[str]) -> DataF
     return tuples.where(filled).distinct()
 
 
+def filled(fields: Sequence[str]) -> Column:
+    """Whether any of the fields holds text."""
+    return F.concat(*[trim_text(col(f)) for f in fields]) != ""
+
+
+def several_tuples(compare_by: Sequence[str]) -> Column:
+    """Aggregate: whether a key has several distinct trimmed tuples that are not all blank."""
+    return values_differ([trim_text(col(f)) for f in compare_by], filled(compare_by))
+
+
+def several_values(fields: Sequence[str], only_filled: Sequence[str] = ()) -> dict[str, Column]:
+    """Aggregates ``_several_i``: whether a key has several distinct trimmed values of the i-th field."""
+    counted = filled(only_filled) if only_filled else None
+    return {f"_several_{i}": values_differ([trim_text(col(f))], counted) for i, f in enumerate(fields)}
+
+
 def value_conflicts(
-    src: DataFrame, match: str, compare_by: Sequence[str], label: str
+    src: DataFrame, match: str, compare_by: Sequence[str], label: str, found: DataFrame | None = None,
 ) -> DataFrame:
-    """``(_match, detail)`` for keys with several distinct tuples."""
+    """``(_match, detail)`` for keys with several distinct tuples.
+
+    ``found`` names these keys when an earlier pass told them (:func:`several_tuples`).
+    """
     text = F.concat_ws("+", *[F.col(f"v{i}") for i in range(len(compare_by))])
     head = F.concat(F.lit(f"{label}{LABEL_MARK}{match}="), F.col(MATCH), F.lit(SEVERAL_VALUES))
     tuples = value_tuples(src, match, compare_by)
-    several = tuples.groupBy(MATCH).agg(F.count("*").alias("_several")).where("_several > 1")
+    if found is None:
+        found = tuples.groupBy(MATCH).agg(F.count("*").alias("_several")).where("_several > 1").select(MATCH)
     return (
-        tuples.join(several, MATCH).groupBy(MATCH).agg(F.collect_list(text).alias("values"))
+        tuples.join(found, MATCH, "left_semi").groupBy(MATCH).agg(F.collect_list(text).alias("values"))
         .select(MATCH, F.concat(head, F.array_join(F.sort_array("values"), ", ")).alias("detail"))
     )
 
@@ -100,30 +120,32 @@ def value_conflicts(
 def conflict_cells(
     src: DataFrame, match: str, expand_by: Sequence[str],
     field_columns: Mapping[str, Sequence[str]], only_filled: Sequence[str] = (),
+    found: DataFrame | None = None,
 ) -> DataFrame:
     """``(keys, column, value)``: candidates of cells with several distinct values.
 
     ``field_columns`` maps a source field to the output columns it feeds.
     ``only_filled`` leaves out rows whose listed fields are all blank. A field
     with several values makes its key contradictory, so the keys need no other
-    test. Fixed-width aggregates find the fields; only rows of those keys are
-    turned into cells, each distinct row once.
+    test. Fixed-width aggregates find the fields (:func:`several_values`; ``found`` has
+    them when an earlier pass did); only rows of those keys are turned into cells,
+    each distinct row once.
     """
     keys = key_names(expand_by)
     names = [f"f{i}" for i in range(len(field_columns))]
+    marks = several_values(list(field_columns), only_filled)
     rows = matchable(src, match, expand_by)
     if only_filled:
-        rows = rows.where(F.concat(*[trim_text(col(f)) for f in only_filled]) != "")
+        rows = rows.where(filled(only_filled))
+    if found is None:
+        found = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in marks.items()])
+    found = found.select(*keys, *marks).where(reduce(Column.__or__, [F.col(n) for n in marks]))
     rows = rows.select(*keys, *[trim_text(col(f)).alias(n) for f, n in zip(field_columns, names)])
-    found = rows.groupBy(*keys).agg(*[rows_differ([n]).alias(f"{n}_several") for n in names]).where(
-        reduce(Column.__or__, [F.col(f"{n}_several") for n in names]))
     # repeated rows fall together before the shuffle; distinct ones of a key are spread by their values
     hit = rows.distinct().join(found, keys)
     cells = F.array(*[
-        F.when(
-            F.col(f"{n}_several"), F.struct(F.lit(i).alias("field"), F.col(n).alias("value"))
-        )
-        for i, n in enumerate(names)
+        F.when(F.col(mark), F.struct(F.lit(i).alias("field"), F.col(n).alias("value")))
+        for i, (n, mark) in enumerate(zip(names, marks))
     ])
     distinct = hit.select(*keys, F.inline(cells)).where("field is not null").distinct()
     targets = F.array(*[F.array(*map(F.lit, columns)) for columns in field_columns.values()])

@@ -7,15 +7,16 @@ where one base key may meet very many records, is cut into parts by key size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.columns import col, data_columns, record, rows_differ
+from recordloom.columns import col, data_columns, record, rows_differ, values_differ
 from recordloom.functions.text import is_empty, trim_key, trim_text
 from recordloom.operators.skew import PART, PARTS, SIZE, cut, repeat
 from recordloom.rules import ORD, MergeRecords, NoMatch
+from recordloom.session import staged
 from recordloom.sources.tables import keyed_table
 
 MATCH = "_match"
@@ -66,14 +67,16 @@ def lookup_many_to_one(
 
 def pick_per_key(
     src: DataFrame, key: str, name: str, pick: str = "first",
-    fields: Sequence[str] | None = None,
+    fields: Sequence[str] | None = None, several: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """``(_match, name)``: one record per trimmed key."""
+    """``(_match, name)``: one record per trimmed key, and the aggregates ``several`` of the same pass."""
     fields = list(fields if fields is not None else data_columns(src))
+    several = several or {}
     chosen = F.max if pick == "last" else F.min
     placed = F.struct(F.col(ORD).alias("at"), record(fields).alias("row"))
-    grouped = matchable(src, key).groupBy(MATCH).agg(chosen(placed).alias("_row"))
-    return grouped.select(MATCH, F.col("_row.row").alias(name))
+    grouped = matchable(src, key).groupBy(MATCH).agg(
+        chosen(placed).alias("_row"), *[c.alias(n) for n, c in several.items()])
+    return grouped.select(MATCH, F.col("_row.row").alias(name), *several)
 
 
 def attach(base: DataFrame, base_key: str, keyed: DataFrame) -> DataFrame:
@@ -84,21 +87,23 @@ def attach(base: DataFrame, base_key: str, keyed: DataFrame) -> DataFrame:
 def expansion_records(
     src: DataFrame, match: str, expand_by: Sequence[str], name: str,
     fields: Sequence[str] | None = None, conflicts: bool = False,
+    several: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """First record and first position per (match, expansion) key.
 
-    With ``conflicts`` the same aggregate tells whether raw rows of a key differ.
+    With ``conflicts`` the same aggregate tells whether raw rows of a key differ;
+    ``several`` names more aggregates to carry. Store the result when it is read more
+    than once: sizes, join and conflicts then need no other pass over the source.
     """
     names = data_columns(src)
     fields = list(fields if fields is not None else names)
     keys = key_names(expand_by)
+    more = dict(several or {})
+    if conflicts:
+        more["_differs"] = rows_differ(names)
     head = F.min(F.struct(F.col(ORD).alias("at"), record(fields).alias("row"))).alias("_head")
-    differs = [rows_differ(names).alias("_differs")] if conflicts else []
-    grouped = matchable(src, match, expand_by).groupBy(*keys).agg(head, *differs)
-    return grouped.select(
-        *keys, F.col("_head.row").alias(name), F.col("_head.at").alias("_first"),
-        *(["_differs"] if conflicts else []),
-    )
+    grouped = matchable(src, match, expand_by).groupBy(*keys).agg(head, *[c.alias(n) for n, c in more.items()])
+    return grouped.select(*keys, F.col("_head.row").alias(name), F.col("_head.at").alias("_first"), *more)
 
 
 def expand_one_to_many(
@@ -111,19 +116,19 @@ def expand_one_to_many(
     ``error`` raises, anything else leaves one row with a null record. The row
     order becomes (base order, expansion order).
 
-    ``records`` holds the result of :func:`expansion_records` and may carry more
-    columns. Row counts per key, read from the key columns alone, tell unmatched
-    base keys and crowded ones; the wide join then runs on (key, part), so the
-    records of one crowded key are spread over many tasks.
+    The source is read once: its records are stored, and their number per key tells
+    unmatched base keys and crowded ones; the wide join then runs on (key, part), so the
+    records of one crowded key are spread over many tasks. ``records`` is the stored
+    result of :func:`expansion_records` and may carry more columns.
     """
     clash = {PART, PARTS, SIZE, "_first", *key_names(expand_by)} & set(base.columns)
     if clash:
         raise ValueError(f"the base has reserved columns: {', '.join(sorted(clash))}")
     if records is None:
-        records = expansion_records(src, match, expand_by, name)
+        records = staged(expansion_records(src, match, expand_by, name), "expansion")
     action = no_match.action if no_match else "emit_incomplete"
     keys = key_names(expand_by)
-    sizes = matchable(src, match, expand_by).groupBy(MATCH).agg(F.count("*").alias(SIZE))
+    sizes = records.groupBy(MATCH).agg(F.count("*").alias(SIZE))
     sized = base.join(
         sizes, col(base_key) == sizes[MATCH], "inner" if action == "skip" else "left"
     ).drop(MATCH)
@@ -159,21 +164,29 @@ def collect_many_to_one(
 def join_records(
     rows: DataFrame, cells: dict[str, tuple[Sequence[str], str, str]],
     merge: MergeRecords, empty_words: Sequence[str] = (),
+    fields: Sequence[str] = (), pick: str = "first",
 ) -> DataFrame:
     """``(_match, one text per cell)`` from long-form records.
 
     ``cells`` maps an output name to (fields, separator, record separator). Equal
     items are reduced by a partial aggregate first, so what is gathered per key
-    is the content of the cell and nothing more.
+    is the content of the cell and nothing more. With ``fields`` the same pass adds
+    ``_record``, these fields of the key's first or last record.
     """
-    items = F.array(*[
-        F.struct(F.lit(i).alias("cell"), concatenate([col(f) for f in fields], sep, empty_words).alias("item"))
-        for i, (fields, sep, _) in enumerate(cells.values())
-    ])
+    kinds = [F.struct(F.lit(i).alias("cell"), concatenate([col(f) for f in names], sep, empty_words).alias("item"))
+             for i, (names, sep, _) in enumerate(cells.values())]
+    chosen = F.max if pick == "last" else F.min
+    whole, one, best = [], [], []
+    if fields:
+        # the record travels as one more cell, of which a partial aggregate keeps one row
+        kinds.append(F.struct(F.lit(len(cells)).alias("cell"), F.lit("").alias("item")))
+        whole = [F.when(F.col("cell") == len(cells), F.struct(ORD, record(fields).alias("row"))).alias("_placed")]
+        one, best = [chosen("_placed").alias("_placed")], [chosen("_placed")["row"].alias("_record")]
+    spread = rows.select(MATCH, ORD, *[col(f) for f in fields], F.inline(F.array(*kinds)))
     distinct = (
-        rows.select(MATCH, ORD, F.inline(items))
+        spread.select(MATCH, ORD, "cell", "item", *whole)
         .groupBy(MATCH, "cell", "item")
-        .agg(F.min(ORD).alias("first"))
+        .agg(F.min(ORD).alias("first"), *one)
     )
     place = F.struct("item") if merge.order == "sorted" else F.struct("first", "item")
     outputs = []
@@ -181,7 +194,7 @@ def join_records(
         wanted = (F.col("cell") == i) & (F.col("item") != "")
         gathered = F.sort_array(F.collect_list(F.when(wanted, place)))
         outputs.append(F.array_join(gathered["item"], record_separator).alias(name))
-    return distinct.groupBy(MATCH).agg(*outputs)
+    return distinct.groupBy(MATCH).agg(*outputs, *best)
 
 
 def concatenate(cells: Sequence[Column], separator: str, empty_words: Sequence[str] = ()) -> Column:

@@ -16,6 +16,7 @@ from recordloom.operators.changes import apply_changes, latest_records
 from recordloom.operators.project import derived_fill, project_rows, resolve_status
 from recordloom.operators.validate import SourceNotReady, source_completeness
 from recordloom.rules import ORD, ChangeRule, ConsolidationRule, MatchRule
+from recordloom.session import staged
 from recordloom.sources.tables import keyed_table
 
 
@@ -157,54 +158,71 @@ def _one_per_key(
         needed = list(dict.fromkeys([source.match, *fields]))
         keyed = keyed_table(df.select(*[col(f) for f in needed], F.col(ORD)), source.match)
         return keyed.select(col(source.match).alias(m.MATCH), record(fields).alias(f"__src_{i}"))
-    keyed = m.pick_per_key(df, source.match, f"__src_{i}", source.selected, fields)
-    if source.merge is not None:
-        columns = _merged_columns(source, rule)
-        if not columns:
-            return keyed
-        cells = {
-            f"m{j}": (c.fields, c.separator, c.record_separator) for j, c in enumerate(columns)
-        }
-        long = m.collect_many_to_one(df, source.match, sorted({f for c in columns for f in c.fields}))
-        joined = m.join_records(long, cells, source.merge, rule.empty_words)
-        packed = joined.select(m.MATCH, F.struct(*cells).alias(f"__merged_{i}"))
-        return keyed.join(packed, m.MATCH, "left")
-    if source.conflicts and source.compare_by:
-        found = cf.value_conflicts(df, source.match, source.compare_by, source.title)
-        keyed = keyed.join(found.withColumnRenamed("detail", f"__detail_{i}"), m.MATCH, "left")
-        targets = _field_columns(source, rule, source.compare_by)
-        if notes and targets:
-            cells = cf.conflict_cells(df, source.match, (), targets, source.compare_by)
-            noted = cf.cell_notes(cells, (), source.title)
-            keyed = keyed.join(noted.withColumnRenamed("notes", f"__notes_{i}"), m.MATCH, "left")
-    return keyed
+    name = f"__src_{i}"
+    if source.merge is not None and (columns := _merged_columns(source, rule)):
+        cells = {f"m{j}": (c.fields, c.separator, c.record_separator) for j, c in enumerate(columns)}
+        read = sorted({f for c in columns for f in c.fields})
+        own = _own_fields(source, rule, columns)
+        long = m.collect_many_to_one(df, source.match, list(dict.fromkeys([*read, *own])))
+        joined = m.join_records(long, cells, source.merge, rule.empty_words, own, source.selected)
+        known = F.col("_record") if own else F.struct(F.lit(True).alias("_known"))
+        # the fields that only merged cells read are not needed beside them
+        blank = [F.lit("").alias(f) for f in fields if f not in own]
+        whole = F.struct(*[known.getField(f).alias(f) for f in own], *blank)
+        return joined.select(m.MATCH, whole.alias(name), F.struct(*cells).alias(f"__merged_{i}"))
+    if source.merge is not None or not (source.conflicts and source.compare_by):
+        return m.pick_per_key(df, source.match, name, source.selected, fields)
+    targets = _field_columns(source, rule, source.compare_by) if notes else {}
+    marks = {"_differs": cf.several_tuples(source.compare_by), **cf.several_values(list(targets), source.compare_by)}
+    keyed = staged(m.pick_per_key(df, source.match, name, source.selected, fields, marks), "keyed")
+    differing = keyed.where("_differs")
+    found = cf.value_conflicts(df, source.match, source.compare_by, source.title, differing.select(m.MATCH))
+    out = keyed.drop(*marks).join(found.withColumnRenamed("detail", f"__detail_{i}"), m.MATCH, "left")
+    if targets:
+        cells = cf.conflict_cells(df, source.match, (), targets, source.compare_by, differing)
+        noted = cf.cell_notes(cells, (), source.title)
+        out = out.join(noted.withColumnRenamed("notes", f"__notes_{i}"), m.MATCH, "left")
+    return out
 
 
 def _expansion(
     df: DataFrame, source: MatchRule, rule: ConsolidationRule, i: int, notes: bool
 ) -> DataFrame:
-    """Records per (match, expansion) key with conflict text and notes."""
+    """Records per (match, expansion) key with conflict text and notes.
+
+    One pass over the source is stored; the join, the sizes of keys, the contradictions
+    and the fields that contradict are all read from it. Only the candidates of notes
+    need the source's rows again.
+    """
     fields = _known(df, _fields(source, rule), source, rule)
     keys = m.key_names(source.expand_by)
-    records = m.expansion_records(
-        df, source.match, source.expand_by, f"__src_{i}", fields, source.conflicts
-    )
+    targets = _field_columns(source, rule, data_columns(df)) if source.conflicts and notes else {}
+    marks = cf.several_values(list(targets))
+    records = staged(m.expansion_records(
+        df, source.match, source.expand_by, f"__src_{i}", fields, source.conflicts, marks), "expansion")
     if not source.conflicts:
         return records
+    out = records.drop("_differs", *marks)
     text = cf.content_text(source.match, source.expand_by, source.compare_by, source.title)
     if text is None:
         found = cf.content_conflicts(
             df, source.match, source.expand_by, source.compare_by, source.title
         )
-        records = records.join(found.withColumnRenamed("detail", f"__detail_{i}"), keys, "left")
+        out = out.join(found.withColumnRenamed("detail", f"__detail_{i}"), keys, "left")
     else:
-        records = records.withColumn(f"__detail_{i}", F.when(F.col("_differs"), text))
-    targets = _field_columns(source, rule, data_columns(df))
-    if notes and targets:
-        cells = cf.conflict_cells(df, source.match, source.expand_by, targets)
+        out = records.withColumn(f"__detail_{i}", F.when(F.col("_differs"), text)).drop("_differs", *marks)
+    if targets:
+        cells = cf.conflict_cells(df, source.match, source.expand_by, targets, found=records)
         noted = cf.cell_notes(cells, source.expand_by, source.title)
-        records = records.join(noted.withColumnRenamed("notes", f"__notes_{i}"), keys, "left")
-    return records.drop("_differs")
+        out = out.join(noted.withColumnRenamed("notes", f"__notes_{i}"), keys, "left")
+    return out
+
+
+def _own_fields(source: MatchRule, rule: ConsolidationRule, merged) -> list[str]:
+    """The fields of a merged source that are read from the picked record itself."""
+    others = [f for c in rule.columns if c.source == source.name and c not in merged for f in c.fields]
+    others += [f for c in source.columns if c.required_when is not None for f in _condition_fields(c.required_when)]
+    return list(dict.fromkeys(others))
 
 
 def _merged_columns(source: MatchRule, rule: ConsolidationRule):

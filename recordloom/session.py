@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
+
 
 def stable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the reliable checkpoint folder.
@@ -39,6 +42,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back.
+
+    Unlike a checkpoint, what is read again is pruned to the columns a plan needs. The
+    files go when the driver ends.
+    """
+    if not _WRITTEN:
+        atexit.register(_remove_written)
+    path = new_path(df.sparkSession, name)
+    _WRITTEN.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove_written() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    for path in _WRITTEN:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def session(name: str = "recordloom") -> SparkSession:
     """A session with the settings the operators rely on."""
     return (

@@ -1,6 +1,7 @@
 """Hot keys give whole, equal results; plans stay free of what does not scale."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -227,3 +228,52 @@ def test_status_counts_agree_with_the_rows(spark):
     counts = {r.status: r.rows for r in QUERIES["status_counts"](spark, SMALL).collect()}
     rows = con.consolidated(spark, SMALL).groupBy("status").count().collect()
     assert {k: v for k, v in counts.items() if v} == {r.status: r["count"] for r in rows}
+
+
+def full_scans(spark, run, table):
+    """Scans of ``table`` that ``run`` really makes, in all its jobs, without those that stop at their first row."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    ran = store.executionsList(before, 1000)
+    found = 0
+    for i in range(ran.size()):
+        text = ran.apply(i).physicalPlanDescription()
+        tree = text.split("== Initial Plan ==")[0]
+        if re.search(r"(Collect|Global|Local)Limit", tree):
+            continue
+        for k in set(re.findall(r"Scan parquet\s+\((\d+)\)", tree)):
+            node = re.search(rf"^\({k}\) Scan parquet.*?(?=^\(\d+\) |\Z)", text, re.S | re.M)
+            found += node is not None and table in node.group(0)
+    return found
+
+
+@pytest.mark.parametrize("name,most", [
+    ("consolidate_orders", 2), ("consolidation_notes", 3), ("expand_one_to_many", 1), ("conflict_cells", 2), ("join_records", 1)])
+def test_the_lines_are_read_once_for_each_use(spark, name, most):
+    """One aggregate of the expansion is stored and read by join, sizes, totals and conflicts."""
+    def run():
+        QUERIES[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+
+    assert 0 < full_scans(spark, run, "lineitem") <= most
+
+
+def test_a_merged_source_is_read_once_with_its_record(table):
+    rows = table("k v w", [("a", "1", "x"), ("a", "2", "y"), (" a", "1", "z"), ("b", "", "q"), ("", "9", "9")])
+    long = m.collect_many_to_one(rows, "k", ["v", "w"])
+    for pick, w in (("first", "x"), ("last", "z")):
+        joined = m.join_records(long, {"all": (["v"], "", ",")}, MergeRecords(), (), ["w"], pick)
+        assert sorted((r[m.MATCH], r["all"], r["_record"]["w"]) for r in joined.collect()) == [("a", "1,2", w), ("b", "", "q")]
+
+
+def test_conflicts_of_a_stored_pass_equal_those_found_alone(table):
+    rng = random.Random(4)
+    rows = table("k a b", [(rng.choice("pqr "), rng.choice(["", " ", "1", "2"]), rng.choice(["", "x"])) for _ in range(60)])
+    marks = {"_differs": cf.several_tuples(["a", "b"]), **cf.several_values(["a", "b"], ["a", "b"])}
+    keyed = m.pick_per_key(rows, "k", "row", several=marks)
+    alone = cf.value_conflicts(rows, "k", ["a", "b"], "L").collect()
+    assert sorted(alone) == sorted(cf.value_conflicts(rows, "k", ["a", "b"], "L", keyed.where("_differs").select(m.MATCH)).collect())
+    targets = {"a": ["A"], "b": ["B", "A"]}
+    cells = cf.conflict_cells(rows, "k", (), targets, ["a", "b"]).collect()
+    assert cells and sorted(cells) == sorted(cf.conflict_cells(rows, "k", (), targets, ["a", "b"], keyed).collect())
