@@ -166,17 +166,22 @@ def change_lists(result: DataFrame) -> DataFrame:
     return listed.unionByName(missing.distinct())
 
 
-def undescribed_changes(result: DataFrame, rule: ChangeRule) -> DataFrame:
-    """Ready rows marked Modify without a description: normally none."""
+def undescribed(rule: ChangeRule) -> Column:
+    """Whether a row is Ready and marked Modify without a description."""
     if not rule.description_field or not rule.action_field:
-        return result.limit(0)
-    return result.where(
+        return F.lit(False)
+    return (
         (F.col("status") == READY)
         & (col(rule.action_field) == rule.action_stored)
         & (trim_text(col(rule.description_field)) == "")
     )
 
 
+def undescribed_changes(result: DataFrame, rule: ChangeRule) -> DataFrame:
+    """The undescribed rows: normally none."""
+    return result.where(undescribed(rule))
+
+
 def latest_records(
     log: DataFrame, identity: Sequence[str], time_column: str = "log_time"
 ) -> DataFrame:

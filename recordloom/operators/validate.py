@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,17 +29,37 @@ class SourceNotReady(ValueError):
     """A source table is missing or empty."""
 
 
+Cell = Callable[[str], Column]
+
+
 def required_violations(df: DataFrame, rule: ImportRule, row: str) -> DataFrame:
     """Blank required cells; rows that are blank throughout are not data."""
-    wanted = [c for c in rule.columns if c.presence == "required"]
-    has_data = reduce(Column.__or__, [~is_blank(col(f)) for f in rule.fields], F.lit(False))
-    return _violations(
-        df, row, [(c, has_data & is_blank(col(c.field)), {}) for c in wanted]
-    )
+    return _violations(df, row, _required(rule, col))
 
 
 def conditional_violations(df: DataFrame, rule: ImportRule, row: str) -> DataFrame:
     """Blank cells whose condition holds on the row, with the condition spelled out."""
+    return _violations(df, row, _conditional(rule))
+
+
+def accepted_violations(raw: DataFrame, rule: ImportRule, row: str) -> DataFrame:
+    """Non-blank raw cells outside the accepted list."""
+    return _violations(raw, row, _accepted(rule, col))
+
+
+def failing(check: str, rule: ImportRule, cell: Cell = col) -> Column:
+    """Whether a row fails ``required``, ``conditional`` or ``accepted``; ``cell`` finds a field's column."""
+    made = {"required": lambda: _required(rule, cell), "accepted": lambda: _accepted(rule, cell), "conditional": lambda: _conditional(rule)}
+    return reduce(Column.__or__, [failed for _, failed, _ in made[check]()], F.lit(False))
+
+
+def _required(rule: ImportRule, cell: Cell) -> list[tuple]:
+    wanted = [c for c in rule.columns if c.presence == "required"]
+    has_data = reduce(Column.__or__, [~is_blank(cell(f)) for f in rule.fields], F.lit(False))
+    return [(c, has_data & is_blank(cell(c.field)), {}) for c in wanted]
+
+
+def _conditional(rule: ImportRule) -> list[tuple]:
     checks = []
     for c in rule.columns:
         if c.required_when is None:
@@ -47,20 +67,16 @@ def conditional_violations(df: DataFrame, rule: ImportRule, row: str) -> DataFra
         held = condition(c.required_when, rule.value_maps, rule.empty_words)
         text = describe_condition(_mapped_spec(c.required_when, rule), rule.title, col)
         checks.append((c, held & is_blank(col(c.field)), {"condition": text}))
-    return _violations(df, row, checks)
+    return checks
 
 
-def accepted_violations(raw: DataFrame, rule: ImportRule, row: str) -> DataFrame:
-    """Non-blank raw cells outside the accepted list."""
+def _accepted(rule: ImportRule, cell: Cell) -> list[tuple]:
     checks = []
     for c in rule.columns:
         if c.accepted:
-            extra = {
-                "value": trim_text(col(c.field)),
-                "allowed": F.lit(" / ".join(c.accepted)),
-            }
-            checks.append((c, ~accepted(col(c.field), c.accepted), extra))
-    return _violations(raw, row, checks)
+            extra = {"value": trim_text(cell(c.field)), "allowed": F.lit(" / ".join(c.accepted))}
+            checks.append((c, ~accepted(cell(c.field), c.accepted), extra))
+    return checks
 
 
 def violation_counts(violations: DataFrame) -> DataFrame:
@@ -98,42 +114,49 @@ def missing_headers(present: Iterable[str], rule: ImportRule) -> tuple[str, list
 
 def batch_gate(
     present: Iterable[str], rows: DataFrame, raw: DataFrame, conditional_rows: DataFrame,
-    rule: ImportRule, row: str,
+    rule: ImportRule, row: str, failed: Mapping[str, int] | None = None,
 ) -> None:
     """Raise on the first failing check: headers, required, conditional, accepted.
 
-    Each cell check is a ``limit(1)`` probe, so a clean batch costs one pass per
-    check and a failing one stops at its first hit.
+    ``failed`` holds the failing rows of each cell check where a pass over the rows has
+    counted them (:func:`failing` in an observation); no job is run then. Else each check
+    is a ``limit(1)`` probe.
     """
-    absent = missing_headers(present, rule)
-    if absent:
-        raise BatchRejected(absent[0], f"{rule.label}: missing columns {', '.join(absent[1])}")
+    header_gate(present, rule)
     for check, violations in (
         ("required", required_violations(rows, rule, row)),
         ("conditional", conditional_violations(conditional_rows, rule, row)),
         ("accepted", accepted_violations(raw, rule, row)),
     ):
-        if violations.limit(1).count():
+        if failed[check] if failed is not None else violations.limit(1).count():
             raise BatchRejected(check, f"{rule.label}: {check} check failed", violations)
 
 
-def source_completeness(spark: SparkSession, tables: Mapping[str, str | DataFrame]) -> None:
-    """Missing tables first, then empty ones, stop the run.
-
-    A value is a catalog table name or a DataFrame.
-    """
-    absent = [
-        name for name, t in tables.items()
-        if isinstance(t, str) and not spark.catalog.tableExists(t)
-    ]
+def header_gate(present: Iterable[str], rule: ImportRule) -> None:
+    """Raise when a required or condition-carrying column is absent; needs no row."""
+    absent = missing_headers(present, rule)
     if absent:
-        raise SourceNotReady(f"missing source tables: {', '.join(absent)}")
-    empty = [
-        name for name, t in tables.items()
-        if (spark.table(t) if isinstance(t, str) else t).isEmpty()
-    ]
-    if empty:
-        raise SourceNotReady(f"sources without rows: {', '.join(empty)}")
+        raise BatchRejected(absent[0], f"{rule.label}: missing columns {', '.join(absent[1])}")
+
+
+def source_states(spark: SparkSession, tables: Mapping[str, str | DataFrame]) -> dict[str, str]:
+    """``missing``, ``empty`` or ``ready`` for each source; a value is a catalog table name or a DataFrame."""
+    states = {}
+    for name, t in tables.items():
+        if isinstance(t, str) and not spark.catalog.tableExists(t):
+            states[name] = "missing"
+        else:
+            states[name] = "empty" if (spark.table(t) if isinstance(t, str) else t).isEmpty() else "ready"
+    return states
+
+
+def source_completeness(spark: SparkSession, tables: Mapping[str, str | DataFrame]) -> None:
+    """Missing tables first, then empty ones, stop the run."""
+    states = source_states(spark, tables)
+    for state, said in (("missing", "missing source tables"), ("empty", "sources without rows")):
+        found = [name for name, s in states.items() if s == state]
+        if found:
+            raise SourceNotReady(f"{said}: {', '.join(found)}")
 
 
 def _mapped_spec(spec, rule: ImportRule):

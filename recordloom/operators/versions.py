@@ -22,9 +22,17 @@ class RecentPublish(ValueError):
     """A source was published moments ago and the policy says wait."""
 
 
+def _place(manifest: DataFrame) -> list[str]:
+    """What orders the publishes of a source: the commit number, or else time and version."""
+    return ["commit"] if "commit" in manifest.columns else ["published_at", "version"]
+
+
 def current_versions(manifest: DataFrame) -> DataFrame:
-    """``(source, version, published_at)``: the newest publish of each source."""
-    newest = F.struct("published_at", "version")
+    """``(source, version, published_at)``: the newest publish of each source.
+
+    A committed manifest knows which came last, also of two in one second.
+    """
+    newest = F.struct(*dict.fromkeys([*_place(manifest), "published_at", "version"]))
     return (
         manifest.groupBy("source")
         .agg(F.max(newest).alias("_new"))
@@ -41,10 +49,11 @@ def retention(
     an area with very many versions is never sorted in one task.
     """
     keep = keep if keep >= 1 else 5
-    versions = manifest.select(col(area).alias("area"), "version").distinct()
-    order = Window.partitionBy("area").orderBy(F.desc("version"))
+    last = F.max("commit" if "commit" in manifest.columns else "version").alias("_last")
+    versions = manifest.groupBy(col(area).alias("area"), "version").agg(last)
+    order = Window.partitionBy("area").orderBy(F.desc("_last"), F.desc("version"))
     kept = versions.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= keep)
-    gone = versions.join(kept.select("area", "version"), ["area", "version"], "left_anti")
+    gone = versions.drop("_last").join(kept.select("area", "version"), ["area", "version"], "left_anti")
     if protected is not None:
         gone = gone.join(protected.select("area", "version"), ["area", "version"], "left_anti")
     return gone
@@ -135,18 +144,19 @@ def overwritten_recently(manifest: DataFrame, minutes: int = WINDOW_MINUTES) ->
     span: a source with very many publishes is spread over its spans.
     """
     span = F.floor(_seconds(F.col("published_at")) / (minutes * 60))
-    rows = manifest.select("source", "version", "publisher", "published_at", span.alias("_span"))
-    event = F.struct("published_at", "version", "publisher")
+    tie = F.col("commit") if "commit" in manifest.columns else F.lit(0)
+    rows = manifest.select("source", "version", "publisher", "published_at", span.alias("_span"), tie.alias("_tie"))
+    event = F.struct("published_at", "_tie", "version", "publisher")
     carried = (
         rows.groupBy("source", "_span")
         .agg(F.max(event).alias("_e"))
         .select(
             "source", "_e.version", "_e.publisher", "_e.published_at",
-            (F.col("_span") + 1).alias("_span"), F.lit(True).alias("_carried"),
+            (F.col("_span") + 1).alias("_span"), F.col("_e._tie").alias("_tie"), F.lit(True).alias("_carried"),
         )
     )
     both = rows.withColumn("_carried", F.lit(False)).unionByName(carried)
-    order = Window.partitionBy("source", "_span").orderBy("published_at", "version", "publisher")
+    order = Window.partitionBy("source", "_span").orderBy("published_at", "_tie", "version", "publisher")
     previous = F.lag(F.struct("version", "publisher", "published_at")).over(order)
     seen = both.withColumn("_prev", previous).where(~F.col("_carried"))
     close = _seconds(F.col("published_at")) - _seconds(F.col("_prev.published_at")) < minutes * 60

@@ -1,4 +1,8 @@
-"""Published snapshots: a Parquet directory per version and a manifest row written last."""
+"""Published snapshots: a Parquet directory per version and a manifest entry written last.
+
+The manifest is a commit log: the last entry of a source is its current version, whatever
+the clocks of two publishers say.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,7 @@ from pyspark.sql import functions as F
 
 from recordloom.columns import col, data_columns
 from recordloom.rules import ORD
+from recordloom.sources.commits import append_commit, read_commits
 
 MANIFEST_SCHEMA = (
     "source string, area string, version string, format string, columns array<string>, "
@@ -61,10 +66,11 @@ def publish_snapshot(
     area: str | None = None, columns: Sequence[str] | None = None, cleaned_rows: int = 0,
     app_version: str = "",
 ) -> Row:
-    """Write the table, read it back for its digest, then append the manifest row.
+    """Write the table, read it back for its digest, then commit the manifest entry.
 
-    The version becomes current with the manifest row, so a failed write never
-    shows. The digest describes the stored files, not a second run of the plan.
+    The version becomes current with the entry, so a failed write never shows; of two
+    publishers at one moment the later entry wins. The digest describes the stored
+    files, not a second run of the plan.
     """
     columns = list(columns or data_columns(df))
     if not source or not columns:
@@ -75,27 +81,19 @@ def publish_snapshot(
     kept = columns + ([ORD] if ORD in df.columns else [])
     df.select(*[col(c) for c in kept]).write.parquet(path)
     found = content_digest(spark.read.parquet(path), columns).first()
-    entry = Row(
+    entry = dict(
         source=source, area=area, version=version_text(now, found.sha256), format="parquet",
         columns=columns, rows=found.rows, cleaned_rows=cleaned_rows, sha256=found.sha256,
         app_version=app_version, publisher=publisher,
         published_at=f"{now:%Y-%m-%d %H:%M:%S}", path=path,
     )
-    one = spark.createDataFrame([tuple(entry)], MANIFEST_SCHEMA).coalesce(1)
-    one.write.mode("append").parquet(f"{root}/manifest")
-    return entry
+    number = append_commit(spark, f"{root}/manifest", entry)
+    return Row(**entry, commit=number)
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """All manifest rows; a store nobody published to reads as empty."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root}/manifest")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], MANIFEST_SCHEMA)
+    """All manifest entries with their ``commit``; a store nobody published to reads as empty."""
+    return read_commits(spark, f"{root}/manifest", MANIFEST_SCHEMA)
 
 
 def fetch_snapshot(
@@ -103,7 +101,7 @@ def fetch_snapshot(
 ) -> tuple[Row, DataFrame]:
     """The manifest row and the verified rows; any mismatch raises, never an older version."""
     wanted = (F.col("source") == source) & (F.col("version") == version)
-    entries = read_manifest(spark, root).where(wanted).limit(1).collect()
+    entries = read_manifest(spark, root).where(wanted).orderBy(F.desc("commit")).limit(1).collect()
     if not entries:
         raise SnapshotError(f"no snapshot {source}/{version}")
     entry = entries[0]
@@ -141,4 +139,3 @@ def delete_versions(spark: SparkSession, root: str, deleted: DataFrame) -> int:
         path = hadoop(row.path)
         gone += bool(path.getFileSystem(conf).delete(path, True))
     return gone
-

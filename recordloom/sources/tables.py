@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +67,42 @@ def stamp_order(df: DataFrame, start: int = 0) -> DataFrame:
     return df.orderBy(ORD).withColumn(ORD, at)
 
 
+def stamp_lines(df: DataFrame, start: int = 0) -> DataFrame:
+    """Replace a row order (file, line) by one growing number, without a sort or a range exchange.
+
+    A file's numbers begin after the lines of the files before it, in the order of their
+    names: a table of one row per file tells where. ``df`` is read twice, of its order only
+    the first time; store it first. Numbers follow the lines, so they have gaps where lines
+    were left out. ``start`` puts a later batch after everything stored.
+    """
+    place = F.struct(F.col(f"{ORD}.file").alias("_file"), F.col(f"{ORD}.line").alias("_line"))
+    files = df.select(place.alias("_at")).groupBy(F.col("_at._file").alias("_file")).agg(F.max("_at._line").alias("_lines"))
+    return _shifted(df.withColumn("_file", F.col(f"{ORD}.file")), files, F.col(f"{ORD}.line"), start)
+
+
+def numbered(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
+    """A stored Parquet table with the position of each row as its row order, from ``start`` without gaps.
+
+    Positions go through the files in the order of their names and through each file in its
+    own: two phases, the rows of each file and the running starts, and no sort of rows.
+    """
+    rows = spark.read.parquet(path)
+    placed = rows.select(
+        *[col(c) for c in data_columns(rows)], F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.row_index").alias(ORD))
+    files = rows.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    files = files.groupBy("_file").agg((F.max("_at") + 1).alias("_lines"))
+    return _shifted(placed, files, F.col(ORD), start)
+
+
+def _shifted(rows: DataFrame, files: DataFrame, within: Column, start: int) -> DataFrame:
+    """``rows`` with ``_file`` numbered by file and place within it; one row per file in one small window."""
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("_file", (F.coalesce(F.sum("_lines").over(before), F.lit(0)) + start).alias("_start"))
+    met = rows.join(starts, "_file")
+    return met.select(*[col(c) for c in data_columns(rows) if c != "_file"], (F.col("_start") + within).alias(ORD))
+
+
 def next_start(stored: DataFrame) -> int:
     """The number that follows everything stored (one small aggregate)."""
     newest = stored.agg(F.max(ORD)).first()[0]
