@@ -51,6 +51,12 @@ _TOKEN = re.compile(rf"[\w{_SIGNS}]*\w")
 #: Tokens that end in signs, which may be punctuation or letters.
 FINAL = re.compile(rf"(?<![\w{_SIGNS}])[\w{_SIGNS}]*[^\W\d_][{_SIGNS}]+(?![\w{_SIGNS}])")
 _FILLER_POINTS = np.array([ord(x) for x in FILLERS], np.uint32)
+_SIGN_POINTS = np.array([ord(x) for x in LOOKALIKES], np.uint32)
+_LETTER = re.compile(r"[^\W\d_]")
+#: Between texts that are looked at together; neither filler, sign nor letter.
+_BREAK = "\n" * 6
+#: Characters that are turned into arrays at once, and where a longer text may be cut: no reading spans these.
+STRETCH, _ENDS = 1 << 20, "\n,;:?"
 
 
 @functools.cache
@@ -63,6 +69,12 @@ def codes() -> np.ndarray:
     return out
 
 
+@functools.cache
+def letters() -> np.ndarray:
+    """Which code points up to 65535 are letters of words."""
+    return np.array([bool(_LETTER.match(chr(i))) for i in range(1 << 16)])
+
+
 def count_trigrams(docs: DataFrame, text: str = "text") -> DataFrame:
     """(gram, n): how often three symbols follow each other, over all whole texts.
 
@@ -83,6 +95,40 @@ def count_trigrams(docs: DataFrame, text: str = "text") -> DataFrame:
     return grams.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """A text in stretches that end where no reading goes on; one without such a place stays whole."""
+    at = 0
+    while len(text) - at > STRETCH:
+        end = max(text.rfind(c, at, at + STRETCH) for c in _ENDS) + 1
+        if end <= at:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+class Places:
+    """A text as arrays: symbols, what each character is, and the bounds of the word it stands in."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.points = points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        low = np.minimum(points, (1 << 16) - 1)
+        beyond = np.flatnonzero(points >= 1 << 16)
+        self.s = codes()[low]
+        self.letter = letters()[low]
+        self.s[beyond] = OTHER
+        if len(beyond):
+            own = {p: bool(_LETTER.match(chr(p))) for p in np.unique(points[beyond]).tolist()}
+            self.letter[beyond] = [own[p] for p in points[beyond].tolist()]
+        self.sign, self.filler = np.isin(points, _SIGN_POINTS), np.isin(points, _FILLER_POINTS)
+        #: Letters, digits, lines and signs: what a token may hold.
+        self.held = self.sign | self.letter | (self.s == MARK) | (points == ord("_"))
+        place = np.arange(len(points))
+        self.start = np.maximum.accumulate(np.where(self.letter, -1, place)) + 1
+        self.end = np.minimum.accumulate(np.where(self.letter, len(points), place)[::-1])[::-1]
+
+
 class CharModel:
     """Log probabilities of a symbol after two others, backing off to one and none."""
 
@@ -156,38 +202,149 @@ class CharModel:
         return "".join(reversed(out))
 
     def words(self, text: str) -> set[str]:
-        """The words of the plain text, and other readings that the model prefers.
+        """The words of one text, see :meth:`readings`."""
+        return self.readings([text])[0]
+
+    def readings(self, texts: list[str]) -> list[set[str]]:
+        """The words of each plain text, and other readings that the model prefers.
 
         Final signs, doubled letters, three spaced letters and groups between fillers are common
-        in plain texts too, so their readings are added and replace nothing.
+        in plain texts too, so their readings are added and replace nothing. Where one is likelier
+        depends on a few neighbouring symbols, so tables tell it for all texts at once; only the
+        places they leave are searched.
         """
-        plain = self.plain(text).lower()
-        found = set(WORD.findall(plain))
-        more = {self.restore(w) for w in found if DOUBLED.search(w)}
-        more |= {w for kind in (SHORT, FINAL) for m in kind.finditer(plain) for w in WORD.findall(self.restore(m[0]))}
-        return found | more | self._joined(plain)
+        plains = [self.plain(t).lower() for t in texts]
+        found = [set(WORD.findall(p)) for p in plains]
+        pieces = [(i, piece) for i, p in enumerate(plains) for piece in _pieces(p)]
+        at = 0
+        while at < len(pieces):
+            end, size = at, 0
+            while end < len(pieces) and (end == at or size + len(pieces[end][1]) <= STRETCH):
+                size += len(pieces[end][1])
+                end += 1
+            self._add(pieces[at:end], found)
+            at = end
+        return found
+
+    def _add(self, pieces: list[tuple[int, str]], found: list[set[str]]) -> None:
+        text = _BREAK + _BREAK.join(p for _, p in pieces) + _BREAK
+        begins = np.cumsum([0, *(len(p) + len(_BREAK) for _, p in pieces)])
+        places = Places(text)
+        for kind in (self._doubled, self._short, self._final, self._joined):
+            where, words = kind(places)
+            for i, w in zip((np.searchsorted(begins, where, "right") - 1).tolist(), words):
+                found[pieces[i][0]].add(w)
+
+    def _doubled(self, at: Places) -> tuple[list[int], list[str]]:
+        """Words with a letter twice in a row that are likelier with it once.
 
-    def _joined(self, text: str) -> set[str]:
+        Whether a pair is better alone depends on the letter before and the symbol after, as the
+        trigrams further on are the same; so the pairs of a word are independent of each other.
+        """
+        points, letter = at.points, at.letter
+        s = np.where(letter, at.s, GAP)
+        g = np.flatnonzero((points[2:-2] == points[3:-1]) & letter[2:-2]) + 2
+        y, c, a = s[g - 1], s[g], s[g + 2]
+        t = self.table
+        better = t[(y * SYMBOLS + c) * SYMBOLS + a] + DROPPED > t[(y * SYMBOLS + c) * SYMBOLS + c] + t[(c * SYMBOLS + c) * SYMBOLS + a]
+        # longer runs have more spellings: search those words
+        longer = (points[g - 1] == points[g]) | (points[g + 2] == points[g])
+        searched = set(np.unique(at.start[g[longer]]).tolist())
+        where, words, text = [], [], at.text
+        for p in searched:
+            where.append(p)
+            words.append(self.restore(text[p: int(at.end[p])]))
+        once = g[better]
+        last, out, end = -1, [], 0
+        for p, start, stop in zip(once.tolist(), at.start[once].tolist(), at.end[once].tolist()):
+            if start != last:
+                if out and last not in searched:
+                    where.append(last)
+                    words.append("".join([*out, text[done:end]]))
+                last, out, done, end = start, [], start, stop
+            out.append(text[done: p + 1])
+            done = p + 2
+        if out and last not in searched:
+            where.append(last)
+            words.append("".join([*out, text[done:end]]))
+        return where, words
+
+    def _short(self, at: Places) -> tuple[list[int], list[str]]:
+        """Three single letters with fillers between them."""
+        held, filler, n = at.held, at.filler, len(at.text)
+        near = np.zeros(n, bool)
+        for k in (1, 2, 3):
+            two = held[: n - k - 2] & held[k + 1: n - 1] & filler[k + 2:]
+            for i in range(1, k + 1):
+                two &= filler[i: n - k - 2 + i]
+            near[: n - k - 2] |= two
+        return self._searched(SHORT, at.text, np.flatnonzero(near))
+
+    def _final(self, at: Places) -> tuple[list[int], list[str]]:
+        """Tokens that end in signs. After plain letters a single sign is read alone, by the two letters before."""
+        points, letter, held, s = at.points, at.letter, at.held, at.s
+        last = np.flatnonzero(at.sign[4:-4] & letter[3:-5]) + 4
+        single = ~held[last + 1]
+        y, x = np.where(letter[last - 2], s[last - 2], GAP), s[last - 1]
+        t = self.table
+        kept = t[(y * SYMBOLS + x) * SYMBOLS + GAP] + t[(x * SYMBOLS + GAP) * SYMBOLS + GAP]
+        likelier = np.zeros(len(last), bool)
+        for sign, letters in LOOKALIKES.items():
+            here = points[last] == ord(sign)
+            if sign.isdigit():
+                # a digit at the end is a mark, not punctuation
+                likelier |= here
+                continue
+            for c in letters:
+                other = t[(y * SYMBOLS + x) * SYMBOLS + CODE[c]] + DISGUISED + t[(x * SYMBOLS + CODE[c]) * SYMBOLS + GAP]
+                likelier |= here & (other >= kept)
+        # a pair of letters that reaches the end may be read otherwise together with the sign
+        pair = (points[last - 1] == points[last - 2]) | (points[last - 2] == points[last - 3])
+        begins = np.maximum.accumulate(np.where(held, 0, np.arange(len(points))))[last] + 1
+        mixed = at.start[last - 1] != begins
+        return self._searched(FINAL, at.text, np.unique(begins[~single | likelier | pair | mixed]))
+
+    def _searched(self, kind: re.Pattern, text: str, starts: np.ndarray) -> tuple[list[int], list[str]]:
+        where, words, done = [], [], 0
+        for p in starts.tolist():
+            if p < done:
+                continue
+            m = kind.match(text, p)
+            if m:
+                done = m.end()
+                own = WORD.findall(self.restore(m[0]))
+                where += [p] * len(own)
+                words += own
+        return where, words
+
+    def _joined(self, at: Places) -> tuple[list[int], list[str]]:
         """Words broken into groups, where the groups are likelier as one word than apart."""
-        points = np.frombuffer(f"  {text}   ".encode("utf-32-le", "surrogatepass"), np.uint32)
-        s = np.where(points < (1 << 16), codes()[np.minimum(points, (1 << 16) - 1)], OTHER)
-        filler, letter = np.isin(points, _FILLER_POINTS), s >= OTHER
-        cuts: list[tuple[int, int]] = []
+        s, filler, letter, t = at.s, at.filler, at.letter, self.table
+        starts, ends = [], []
         for k in (1, 2, 3):
             g = np.flatnonzero(filler[2: len(s) - k - 1] & letter[1: len(s) - k - 2] & letter[2 + k: len(s) - 1]) + 2
             for i in range(1, k):
                 g = g[filler[g + i]]
             x, y, a, b = s[g - 2], s[g - 1], s[g + k], s[g + k + 1]
-            one = self.table[(x * SYMBOLS + y) * SYMBOLS + a] + self.table[(y * SYMBOLS + a) * SYMBOLS + b] + DROPPED
-            two = self.table[(x * SYMBOLS + y) * SYMBOLS + GAP] + self.table[(y * SYMBOLS + GAP) * SYMBOLS + a] + self.table[(GAP * SYMBOLS + a) * SYMBOLS + b]
-            cuts += [(int(i) - 2, int(i) - 2 + k) for i in g[one > two]]
-        if not cuts:
-            return set()
-        out, done = [], 0
-        for start, end in sorted(cuts):
-            out.append(text[done:start])
-            done = end
-        return set(WORD.findall("".join([*out, text[done:]])))
+            one = t[(x * SYMBOLS + y) * SYMBOLS + a] + t[(y * SYMBOLS + a) * SYMBOLS + b] + DROPPED
+            two = t[(x * SYMBOLS + y) * SYMBOLS + GAP] + t[(y * SYMBOLS + GAP) * SYMBOLS + a] + t[(GAP * SYMBOLS + a) * SYMBOLS + b]
+            g = g[one > two]
+            starts.append(g)
+            ends.append(g + k)
+        cut, after = np.concatenate(starts), np.concatenate(ends)
+        order = np.argsort(cut)
+        cut, after = cut[order], after[order]
+        begin, end = at.start[cut - 1], at.end[after]
+        follows = np.zeros(len(cut), bool)
+        follows[1:] = end[:-1] == cut[1:]
+        where, words, text = [], [], at.text
+        for b, c, a, e, more in zip(begin.tolist(), cut.tolist(), after.tolist(), end.tolist(), follows.tolist()):
+            if more:
+                words[-1] += text[a:e]
+            else:
+                where.append(b)
+                words.append(text[b:c] + text[a:e])
+        return where, words
 
     def plain(self, text: str) -> str:
         """The text with its suspicious spans restored."""

@@ -66,24 +66,30 @@ class Scorer:
         self.model, self.weights, self.base = model, weights, base
         self.known: dict[str, tuple[str, ...]] = {}
 
-    def evidence(self, text: str) -> Counter:
-        """Known words and beginnings, with the number of different words that have them."""
-        known, found = self.known, []
-        for w in self.model.words(text):
-            own = known.get(w)
-            if own is None:
-                if len(known) >= _REMEMBERED:
-                    known.clear()
-                own = known[w] = tuple([f for f in features(w) if f in self.weights])
-            if own:
-                found += own
-        return Counter(found)
-
-    def score(self, text: str) -> float:
-        z = self.base
-        for f, n in self.evidence(text).items():
-            z += sum([w for w, k in zip(self.weights[f], STEPS) if n >= k])
-        return 1 / (1 + np.exp(-z))
+    def evidence(self, texts: list[str]) -> list[Counter]:
+        """Of each text the known words and beginnings, with the number of different words that have them."""
+        known, out = self.known, []
+        for words in self.model.readings(texts):
+            found = []
+            for w in words:
+                own = known.get(w)
+                if own is None:
+                    if len(known) >= _REMEMBERED:
+                        known.clear()
+                    own = known[w] = tuple([f for f in features(w) if f in self.weights])
+                if own:
+                    found += own
+            out.append(Counter(found))
+        return out
+
+    def scores(self, texts: list[str]) -> list[float]:
+        out = []
+        for found in self.evidence(texts):
+            z = self.base
+            for f, n in found.items():
+                z += sum([w for w, k in zip(self.weights[f], STEPS) if n >= k])
+            out.append(float(1 / (1 + np.exp(-z))))
+        return out
 
 
 def fit(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, width: int) -> tuple[np.ndarray, float]:
@@ -109,8 +115,8 @@ def _count(model, only):
         own, count = CharModel(model.value), Counter()
         wanted = only.value if only is not None else None
         for batch in cut_batches(batches, "_text"):
-            for t in batch.column(0).to_pylist():
-                found = {f for w in own.words(t or "") for f in features(w)}
+            for words in own.readings([t or "" for t in batch.column(0).to_pylist()]):
+                found = {f for w in words for f in features(w)}
                 count.update(found if wanted is None else found & wanted)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["feature", "n"])
@@ -124,7 +130,7 @@ def _evidence(model, only):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(CharModel(model.value), dict.fromkeys(only.value, ()), 0.0)
         for batch in cut_batches(batches, "_text"):
-            found = [scorer.evidence(t or "") for t in batch.column(0).to_pylist()]
+            found = scorer.evidence([t or "" for t in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.string())),
                  pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["toxic", "features", "counts"])
@@ -196,6 +202,6 @@ def toxicity_scores(
     def start():
         held, own, low = sent.value
         scorer = Scorer(CharModel(held), own, low)
-        return lambda texts: [pa.array([float(scorer.score(t or "")) for t in texts.to_pylist()], pa.float64())]
+        return lambda texts: [pa.array(scorer.scores([t or "" for t in texts.to_pylist()]), pa.float64())]
 
     return appended(docs, text, [(score, T.DoubleType())], start, keep)
