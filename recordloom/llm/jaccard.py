@@ -4,7 +4,9 @@ Each run starts with all sets in one node and splits nodes recursively: a node
 samples one or two of its minimum-hash functions, and a set goes to the child named
 by the n-gram that has its minimum, so two sets share a child with the probability
 of their Jaccard similarity. Nodes of a few sets are compared by brute force; so
-are those at the last level, in blocks, however large. Runs repeat until a pair at
+are those at the last level, in blocks, however large: a leaf of n sets has at most about
+the root of n blocks, each is streamed past every other, and what is written is one row
+for each set and one for each pair of blocks that links join. Runs repeat until a pair at
 the threshold is met with the target probability.
 
 Documents with equal sets form one class, and only one of each takes part.
@@ -125,8 +127,11 @@ def _promising(threshold: float, functions: int):
     return run
 
 
-def shared_grams(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
-    """The sizes of all pairwise intersections, by products of 0/1 matrices of shared n-grams."""
+def shared_grams(sets: list[np.ndarray], split: int | None = None, step: int = 4096) -> np.ndarray:
+    """The sizes of all pairwise intersections, by products of 0/1 matrices of shared n-grams.
+
+    With ``split``, those of the sets before it with the sets from it on.
+    """
     m = len(sets)
     every = np.concatenate(sets)
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
@@ -136,77 +141,210 @@ def shared_grams(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
     repeated = np.repeat(np.diff(bounds) > 1, np.diff(bounds))
     column = np.cumsum(np.concatenate([[True], every[1:] != every[:-1]])[repeated]) - 1 if repeated.any() else np.empty(0, int)
     owner = owner[repeated]
-    both = np.zeros((m, m))
+    both = np.zeros((m, m) if split is None else (split, m - split))
     for a in range(0, int(column[-1]) + 1 if len(column) else 0, step):
         i, j = np.searchsorted(column, [a, a + step])
         held = np.zeros((m, step), np.float32)
         held[owner[i:j], column[i:j] - a] = 1
-        both += held @ held.T
+        both += held @ held.T if split is None else held[:split] @ held[split:].T
     return both
 
 
-def _compare(n: int, threshold: float):
-    """For each set of a part: links that belong to this leaf, and the least set it is linked to here."""
+def _counted(first: list[list[int]], second: list[list[int]], leaf: int) -> np.ndarray:
+    """Which pairs of sets, given as the leaves of each, have no common leaf before this one: they count here."""
+    before = [[x for x in own if x < leaf] for own in (*first, *second)]
+    place = {x: i for i, x in enumerate({x for own in before for x in own})}
+    held = np.zeros((len(before), max(len(place), 1)), np.float32)
+    for i, own in enumerate(before):
+        held[i, [place[x] for x in own]] = 1
+    return held[: len(first)] @ held[len(first):].T == 0
+
+
+def _linked(both: np.ndarray, first: np.ndarray, second: np.ndarray, threshold: float) -> np.ndarray:
+    return both >= threshold * (first[:, None] + second[None, :] - both) - 1e-9
+
+
+PIECES = (
+    "leaf long, block int, blocks int, piece int, k array<long>, h array<long>, copies array<long>, "
+    "leaves array<array<long>>, grams array<binary>, links array<long>, root_k array<long>, root_h array<long>")
+_LONGS = pa.list_(pa.int64())
+
+
+def _blocks(n: int, threshold: float):
+    """Blocks of a leaf's sets, compared within themselves, in pieces of ``BLOCK`` sets.
+
+    Each set has its links within the block and the least set that these reach. The n-grams
+    go on only where a leaf has more blocks.
+    """
 
-    def part(rows: pa.Table) -> list[tuple]:
-        m = rows.num_rows
+    def block(rows: pa.Table) -> pa.RecordBatch:
+        m, leaf = rows.num_rows, rows.column("leaf")[0].as_py()
         hashes, offsets = gram_hashes(rows.column("_text").to_pylist(), n)
         sets = [np.unique(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
         size = np.array([len(s) for s in sets])
-        both = shared_grams(sets)
-        linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-        np.fill_diagonal(linked, False)
-        first, second = rows.column("i").to_numpy()[0], rows.column("j").to_numpy()[0]
-        block = rows.column("block").to_numpy()
-        if first != second:
-            linked &= block[:, None] != block[None, :]  # pairs of one block have a part of their own
-        if not linked.any():
-            return []
         ids = list(zip(rows.column("_k").to_pylist(), rows.column("_h").to_pylist()))
-        copies = rows.column("copies").to_numpy()
-        leaves = [frozenset(x) for x in rows.column("leaves").to_pylist()]
-        leaf = rows.column("leaf").to_pylist()[0]
-        links = np.zeros(m, np.int64)
-        root = list(range(m))
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = i = root[root[i]]
-            return i
-
-        for i in range(m):
-            for j in (np.flatnonzero(linked[i, i + 1:]) + i + 1).tolist():
-                if len(leaves[i]) == 1 or len(leaves[j]) == 1 or min(leaves[i] & leaves[j]) == leaf:
-                    links[i] += copies[j]
-                    links[j] += copies[i]
-                a, b = top(i), top(j)
-                if a != b:
-                    if ids[b] < ids[a]:
-                        a, b = b, a
-                    root[b] = a
-        some = np.flatnonzero(linked.any(axis=1)).tolist()
-        return [(*ids[i], int(links[i]), *ids[top(i)]) for i in some]
+        copies, leaves = rows.column("copies").to_numpy(), rows.column("leaves").to_pylist()
+        links, label = np.zeros(m, np.int64), np.arange(m)
+        if m > 1:
+            linked = _linked(shared_grams(sets), size, size, threshold)
+            np.fill_diagonal(linked, False)
+            if linked.any():
+                links = (linked & _counted(leaves, leaves, leaf)) @ copies
+            for r in np.flatnonzero(linked.any(axis=1)):
+                joined = np.unique(np.append(label[linked[r]], label[r]))
+                if len(joined) > 1:
+                    label[np.isin(label, joined)] = joined[0]
+        least: dict[int, tuple[int, int]] = {}
+        for i, x in zip(label.tolist(), ids):
+            least[i] = min(least.get(i, x), x)
+        roots = [least[i] for i in label.tolist()]
+        several = rows.column("blocks")[0].as_py() > 1
+        cuts = [slice(i, i + BLOCK) for i in range(0, m, BLOCK)]
+        lists = [[x[0] for x in ids], [x[1] for x in ids], copies.tolist()]
+        ends = [links.tolist(), [x[0] for x in roots], [x[1] for x in roots]]
+        k = len(cuts)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([leaf] * k), *(pa.array([rows.column(c)[0].as_py()] * k, pa.int32()) for c in ("block", "blocks")),
+             pa.array(range(k), pa.int32()), *(pa.array([x[c] for c in cuts], _LONGS) for x in lists),
+             pa.array([leaves[c] for c in cuts], pa.list_(_LONGS)),
+             pa.array([[g.tobytes() for g in sets[c]] if several else [] for c in cuts], pa.list_(pa.binary())),
+             *(pa.array([x[c] for c in cuts], _LONGS) for x in ends)], names=[f.split()[0] for f in PIECES.split(", ")])
 
     def run(batches):
         for rows in whole_groups(batches, "part", 4 << 20):
             bounds = group_bounds(rows.column("part").to_numpy())
-            out = [x for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()) if b - a > 1 for x in part(rows.slice(a, b - a))]
-            columns = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns], names=["_k", "_h", "links", "root_k", "root_h"])
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                yield block(rows.slice(a, b - a))
+
+    return run
+
+
+class _Own:
+    """The pieces of one block, which all other pieces of its leaf are compared with."""
+
+    def __init__(self):
+        self.k, self.h, self.leaves, self.sets, self.root = [], [], [], [], []
+        self.size, self.links = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.edges: set[tuple[tuple[int, int], tuple[int, int]]] = set()
+
+    def add(self, row: dict) -> None:
+        self.k += row["k"]
+        self.h += row["h"]
+        self.leaves += row["leaves"]
+        self.sets += [np.frombuffer(g, np.uint64) for g in row["grams"]]
+        self.root += zip(row["root_k"], row["root_h"])
+        self.size = np.array([len(s) for s in self.sets])
+        self.links = np.zeros(len(self.sets), np.int64)
+
+    def meet(self, row: dict, threshold: float) -> None:
+        if not self.sets:
+            return
+        other = [np.frombuffer(g, np.uint64) for g in row["grams"]]
+        both = shared_grams([*self.sets, *other], len(self.sets))
+        linked = _linked(both, self.size, np.array([len(s) for s in other]), threshold)
+        if not linked.any():
+            return
+        self.links += (linked & _counted(self.leaves, row["leaves"], row["leaf"])) @ np.array(row["copies"], np.int64)
+        if row["to"] < row["block"]:  # the other block reports the same pairs
+            roots = list(zip(row["root_k"], row["root_h"]))
+            known = {x: i for i, x in enumerate(dict.fromkeys([*self.root, *roots]))}
+            names = list(known)
+            i, j = np.nonzero(linked)
+            pairs = np.array([known[x] for x in self.root])[i] * len(names) + np.array([known[x] for x in roots])[j]
+            self.edges.update((names[p // len(names)], names[p % len(names)]) for p in np.unique(pairs).tolist())
+
+    def rows(self) -> list[tuple]:
+        out = [(k, h, n, *r) for k, h, n, r in zip(self.k, self.h, self.links.tolist(), self.root) if n]
+        return out + [(*a, 0, *b) for a, b in sorted(self.edges)]
+
+
+def _across(threshold: float):
+    """For each set of a block the links to other blocks, and what links of theirs join. Rows: a block's own pieces first."""
+
+    def run(batches):
+        own, part = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
+                if row["part"] != part:
+                    if own is not None:
+                        yield _links(own.rows())
+                    own, part = _Own(), row["part"]
+                if row["block"] == row["to"]:
+                    own.add(row)
+                else:
+                    own.meet(row, threshold)
+        if own is not None:
+            yield _links(own.rows())
 
     return run
 
 
-def _parts(rows: DataFrame, blocks) -> DataFrame:
-    """Each row once for every pair of blocks that its own block is in; ``part`` names leaf and pair."""
+def _links(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["_k", "_h", "links", "root_k", "root_h"])
+
+
+def _promising_across(threshold: float, functions: int):
+    """(leaf, _k, _h, size) of sets of large leaves that have a promising partner. Rows: a block's own pieces first."""
+    least = functions * threshold - DOUBT * math.sqrt(functions * threshold * (1 - threshold))
+
+    def matrix(value: pa.Scalar) -> tuple[pa.StructArray, np.ndarray]:
+        rows = value.values
+        return rows, rows.field("minima").flatten().to_numpy().reshape(-1, functions)
+
+    def passed(leaf, held) -> pa.RecordBatch:
+        chosen = [rows.filter(pa.array(near)) for rows, _, near in held]
+        n = sum(map(len, chosen))
+        columns = [pa.concat_arrays([c.field(f) for c in chosen]) for f in ("_k", "_h", "size")]
+        return pa.RecordBatch.from_arrays([pa.array([leaf] * n, pa.int64()), *columns], names=["leaf", "_k", "_h", "size"])
+
+    def run(batches):
+        held, part, leaf = [], None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                now = batch.column("part")[i].as_py()
+                if now != part:
+                    if held:
+                        yield passed(leaf, held)
+                    held, part, leaf = [], now, batch.column("leaf")[i].as_py()
+                rows, minima = matrix(batch.column("rows")[i])
+                mine = batch.column("block")[i].as_py() == batch.column("to")[i].as_py()
+                if mine:
+                    held.append((rows, minima, np.zeros(len(rows), bool)))
+                for _, own, near in held:
+                    for j in np.flatnonzero(~near):
+                        equal = (minima == own[j]).sum(axis=1) >= least
+                        # a set of the block itself meets itself too
+                        near[j] = equal.sum() > (own is minima)
+                if mine and len(held) > 1:
+                    last, minima, near = held[-1]
+                    for _, own, _ in held[:-1]:
+                        for j in np.flatnonzero(~near):
+                            near[j] = ((own == minima[j]).sum(axis=1) >= least).any()
+        if held:
+            yield passed(leaf, held)
+
+    return run
+
+
+def _streamed(pieces: DataFrame) -> DataFrame:
+    """Each piece once for every block of its leaf; a block's own pieces come before the others of its part."""
+    sent = pieces.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.withColumn("part", F.xxhash64("leaf", "to"))
+    return sent.repartition("part").sortWithinPartitions("part", F.col("block") != F.col("to"), "block", "piece")
+
+
+def _in_blocks(rows: DataFrame, blocks) -> DataFrame:
+    """``blocks`` and ``block`` of each set of a leaf."""
     own = F.pmod(F.xxhash64("_k", "_h", F.lit(_SEED)), F.col("blocks")).cast("int")
-    return (
-        rows.withColumn("blocks", blocks).withColumn("block", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-        .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-        .withColumn("part", F.xxhash64("leaf", "i", "j"))
-    )
+    return rows.withColumn("blocks", blocks.cast("int")).withColumn("block", own)
+
+
+def _sized(members, grams=None):
+    """Blocks of a leaf: each has ``BLOCK`` sets, or the root of all if these are more, so that pairs of blocks stay as few as sets."""
+    most = F.ceil(members / F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(members))))
+    return most if grams is None else F.greatest(most, F.ceil(grams / GRAMS))
 
 
 def near_duplicate_classes(
@@ -222,8 +360,9 @@ def near_duplicate_classes(
     number of other rows a row is linked to, copies included. A text without words
     (null, empty) has no links and is a class of its own. Rows with equal ids and
     texts count as copies of each other. A pair at the threshold is missed with
-    probability 1 - ``recall``, a more similar pair more rarely; every pair that is
-    met is compared exactly.
+    probability 1 - ``recall``, a more similar pair more rarely. Pairs that are met are
+    compared exactly, but for those of which too few of all sampled minima agree:
+    ``DOUBT`` standard deviations below the threshold, which adds less than 1e-8 to the loss.
     """
     runs = runs_needed(threshold, recall)
     functions = runs * LEVELS * 2
@@ -265,17 +404,23 @@ def near_duplicate_classes(
         nodes = large.select("_k", "_h", "run", "node").join(sets, ["_k", "_h"])
 
     # which sets have a promising partner in a leaf
-    with_minima = leaves.join(sets.select("_k", "_h", "minima"), ["_k", "_h"])
-    spread = _parts(with_minima, F.ceil(F.col("members") / BLOCK))
-    kept = staged(
-        spread.select("part", "leaf", "_k", "_h", "size", "minima").repartition("part").sortWithinPartitions("part")
-        .mapInArrow(_promising(threshold, functions), "leaf long, _k long, _h long, size long").distinct(), "kept")
+    with_minima = staged(leaves.join(sets.select("_k", "_h", "minima"), ["_k", "_h"]), "minima")
+    few = with_minima.where(F.col("members") <= BLOCK).select(F.col("leaf").alias("part"), "leaf", "_k", "_h", "size", "minima")
+    found = few.repartition("part").sortWithinPartitions("part").mapInArrow(
+        _promising(threshold, functions), "leaf long, _k long, _h long, size long")
+    many = _in_blocks(with_minima.where(F.col("members") > BLOCK), _sized(F.col("members")))
+    piece = F.pmod(F.xxhash64("_h", "_k"), F.ceil(F.sqrt("members") / BLOCK)).cast("int")
+    pieces = many.groupBy("leaf", "block", "blocks", piece.alias("piece")).agg(
+        F.collect_list(F.struct("_k", "_h", "size", "minima")).alias("rows"))
+    crowded = _streamed(staged(pieces, "crowded")).select("part", "leaf", "block", "to", "rows").mapInArrow(
+        _promising_across(threshold, functions), "leaf long, _k long, _h long, size long")
+    kept = staged(found.unionByName(crowded).distinct(), "kept")
     # leaves with the same members once
     stats = kept.groupBy("leaf").agg(
         F.count("*").alias("members"), F.sum("size").alias("grams"),
         F.sum(F.xxhash64("_k", "_h").cast("decimal(38,0)")).alias("who"))
     chosen = stats.where("members > 1").groupBy("members", "grams", "who").agg(F.min("leaf").alias("leaf"))
-    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("grams") / GRAMS)).alias("blocks")
+    blocks = _sized(F.col("members"), F.col("grams")).alias("blocks")
     listed = (
         kept.join(chosen.select("leaf", blocks), "leaf").groupBy("_k", "_h")
         .agg(F.collect_list(F.struct("leaf", "blocks")).alias("own")).join(ones, ["_k", "_h"])
@@ -285,10 +430,14 @@ def near_duplicate_classes(
         .withColumn("leaves", F.col("own.leaf")).withColumn("one", F.explode("own"))
         .select("_k", "_h", "copies", "leaves", F.col("one.leaf").alias("leaf"), F.col("one.blocks").alias("blocks"), "_text")
     )
-    compared = staged(
-        _parts(held, F.col("blocks")).select("part", "leaf", "_k", "_h", "copies", "leaves", "block", "i", "j", "_text")
-        .repartition("part").sortWithinPartitions("part")
-        .mapInArrow(_compare(n, threshold), "_k long, _h long, links long, root_k long, root_h long"), "compared")
+    parted = _in_blocks(held, F.col("blocks")).withColumn("part", F.xxhash64("leaf", "block"))
+    own = staged(
+        parted.select("part", "leaf", "_k", "_h", "copies", "leaves", "block", "blocks", "_text")
+        .repartition("part").sortWithinPartitions("part").mapInArrow(_blocks(n, threshold), PIECES), "own")
+    inner = own.select(F.inline(F.arrays_zip("k", "h", "links", "root_k", "root_h"))).toDF("_k", "_h", "links", "root_k", "root_h")
+    sent = _streamed(own.where("blocks > 1")).select("part", "leaf", "block", "to", "k", "h", "copies", "leaves", "grams", "root_k", "root_h")
+    outer = sent.mapInArrow(_across(threshold), "_k long, _h long, links long, root_k long, root_h long")
+    compared = staged(inner.unionByName(outer), "compared")
     one = F.struct("_k", "_h")
     links = compared.groupBy(one.alias("one")).agg(F.sum("links").alias("links"))
     root = F.struct(F.col("root_k").alias("_k"), F.col("root_h").alias("_h"))

@@ -56,6 +56,40 @@ def test_rows_without_id_repeated_rows_and_clashing_names(spark):
     assert found(df.limit(0)) == []
 
 
+def test_a_group_of_near_copies_makes_rows_in_proportion(spark, monkeypatch):
+    """One group of n different near copies: rows of the comparison grow as n, classes and links stay exact."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    made, real = {}, jaccard.staged
+
+    def counted(df, name):
+        out = real(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", counted)
+    rng, base = random.Random(2), [f"w{i}" for i in range(120)]
+    per_set = []
+    for n in (250, 500, 1000):
+        rows = []
+        for i in range(n):
+            words = list(base)
+            words[rng.randrange(120)] = f"v{i}"
+            rows.append((i, " ".join(words)))
+        made.clear()
+        got = found(spark.createDataFrame(rows, "doc_id long, text string"))
+        if n == 250:
+            assert got == sorted(brute.classes(rows), key=str)
+        assert {c for _, c, _ in got} == {0} and {k for _, _, k in got} == {n - 1}
+        per_set.append(made["compared"] / n)
+    assert max(per_set) < 2 * min(per_set)
+
+
+def test_very_long_texts_and_a_hot_source_of_repeats(spark):
+    long = " ".join(f"w{i % 5001}" for i in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, "x" * 2_000_000), (4, "x" * 2_000_000)] + [(10 + i, "same words in all of these") for i in range(300)]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == sorted(brute.classes(rows), key=str)
+
+
 def test_recall():
     assert 0.6 < met(0.8) < 0.7
     assert (1 - met(0.8)) ** runs_needed(0.8, 0.99999) <= 1e-5
