@@ -32,9 +32,13 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     return kept.withColumn("_turn", F.row_number().over(repeated)).where("_turn = 1").select("_row.*")
 
 
+#: Bytes of a repeated string: less than fifty words have, also where these are short.
+REPEATED = 200
+
+
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that occur elsewhere too; a text of them alone stays, empty."""
-    cut = remove_repeated_strings(docs)
+    """Texts without the strings of ``REPEATED`` bytes that occur elsewhere too; a text of them alone stays, empty."""
+    cut = remove_repeated_strings(docs, REPEATED)
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
     return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
