@@ -16,6 +16,7 @@ from recordloom.columns import col, data_columns, record
 from recordloom.functions.text import trim_key, trim_text
 from recordloom.operators.validate import BatchRejected
 from recordloom.rules import ORD, CleanRule
+from recordloom.session import staged
 
 EXAMPLES = 2
 EXAMPLE_WIDTH = 28
@@ -154,9 +155,12 @@ def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def clean(df: DataFrame, rule: CleanRule, keep_dropped: bool = False) -> DataFrame:
     """Newest row per key, one row per group, uniqueness policy, dropped columns.
 
-    ``keep_dropped`` leaves the dropped columns in for checks that still need them.
+    ``keep_dropped`` leaves the dropped columns in for checks that still need them. The
+    newest rows are stored where groups, joined values and conflicts all read them.
     """
     latest = latest_per_key(df, rule.dedupe_by, rule.latest_by)
+    if rule.join_comma or rule.join_backslash or rule.conflict == "error" and rule.unique:
+        latest = staged(latest, "latest")
     if rule.conflict == "error" and rule.unique:
         conflicts = unique_conflicts(latest, rule)
         if conflicts.limit(1).count():

@@ -37,9 +37,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def new_name() -> str:
+    """A name that nothing has yet."""
+    return uuid.uuid4().hex
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing is at yet."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{new_name()}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
