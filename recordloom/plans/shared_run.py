@@ -99,7 +99,7 @@ def align(
         place = f"{version}@{now.replace(' ', 'T').replace(':', '')}"
         entry = sync_source(
             spark, store.root, source, rules[source], today, now, who,
-            store.tables_path(source, place, False), store.tables_path(source, place, True), version)
+            store.tables_path(source, place, False), store.tables_path(source, place, True), version, f"{store.local}/cache/{source}")
         record = {**entry.asDict(), "place": place}
         append_commit(spark, f"{store.local}/sync", record)
         done.append(entry)

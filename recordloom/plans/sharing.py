@@ -19,7 +19,7 @@ from recordloom.operators.versions import (
 )
 from recordloom.rules import ImportRule
 from recordloom.session import stable
-from recordloom.sources.snapshots import delete_versions, fetch_snapshot, read_manifest
+from recordloom.sources.snapshots import delete_versions, fetch_buckets, fetch_snapshot, read_manifest
 from recordloom.sources.tables import write_table
 
 SYNC_SCHEMA = (
@@ -34,16 +34,20 @@ def current_version(spark: SparkSession, root: str, source: str) -> str | None:
 
 def sync_source(
     spark: SparkSession, root: str, source: str, rule: ImportRule, today: dt.date, now: str,
-    who: str, raw_path: str, cleaned_path: str, version: str | None = None,
+    who: str, raw_path: str, cleaned_path: str, version: str | None = None, cache: str | None = None,
 ) -> Row:
     """Fetch and verify a version, drop expired rows, store, clean again, report the record.
 
-    A version that fails verification stops here; an older one is never used.
+    A version that fails verification stops here; an older one is never used. With ``cache``
+    only the buckets that no earlier version brought are fetched.
     """
     version = version or current_version(spark, root, source)
     if version is None:
         raise ValueError(f"{source} has not been published")
-    entry, df = fetch_snapshot(spark, root, source, version)
+    if cache is None:
+        entry, df = fetch_snapshot(spark, root, source, version)
+    else:
+        entry, df, _ = fetch_buckets(spark, root, source, version, cache)
     if rule.expiry_field:
         df = drop_expired(df, rule.expiry_field, today)
     write_table(df, raw_path, list(entry.columns))

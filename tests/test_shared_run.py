@@ -257,3 +257,40 @@ def test_import_writes_its_rows_twice_and_counts_in_passing(spark, tmp_path):
     writes = sum("InsertIntoHadoopFsRelation" in ran.apply(i).physicalPlanDescription() for i in range(ran.size()))
     assert (result.rows, result.dropped_expired, writes) == (30, 30, 2)
     assert [r["code"] for r in ordered(spark.read.parquet(f"{tmp_path}/raw"))] == [str(i) for i in range(60) if i % 12 >= 6]
+
+
+def test_only_buckets_that_differ_are_fetched(spark, table, tmp_path):
+    root, cache = f"{tmp_path}/share", f"{tmp_path}/cache"
+    rows = [(str(i), f"v{i}") for i in range(300)]
+
+    def publish(rows, minute):
+        return sn.publish_snapshot(
+            table("k v", rows), root, "ra", NOW + dt.timedelta(minutes=minute), "p", buckets=16, bucket_by=["k"])
+
+    def fetch(entry):
+        _, df, fetched = sn.fetch_buckets(spark, root, "ra", entry.version, cache)
+        return [(r["k"], r["v"]) for r in ordered(df)], fetched
+
+    first = publish(rows, 0)
+    assert first.sha256 == sn.content_digest(table("k v", rows), ["k", "v"]).first().sha256
+    assert sum(b["rows"] for b in first.buckets) == 300
+    assert fetch(first) == (rows, len(first.buckets)) and fetch(first) == (rows, 0)
+    changed = [(k, "new" if k in ("7", "8", "9") else v) for k, v in rows]
+    got, fetched = fetch(publish(changed, 1))
+    assert got == changed and 1 <= fetched <= 3
+    # the older version is whole again without reading anything
+    assert fetch(first) == (rows, 0)
+    # rows that only move are other rows: their order counts
+    moved = list(reversed(rows))
+    assert fetch(publish(moved, 2))[0] == moved
+
+
+def test_a_tampered_bucket_is_refused_and_not_kept(spark, table, tmp_path):
+    root, cache = f"{tmp_path}/share", f"{tmp_path}/cache"
+    entry = sn.publish_snapshot(table("k v", [("a", "1"), ("b", "2")]), root, "ra", NOW, "p", buckets=4, bucket_by=["k"])
+    forged = entry.buckets[0]["bucket"]
+    table("k v", [("x", "y")]).write.mode("append").parquet(f"{entry.path}/_bucket={forged}")
+    for _ in range(2):
+        with pytest.raises(sn.SnapshotError, match="content hash differs"):
+            sn.fetch_buckets(spark, root, "ra", entry.version, cache)
+    assert commits.last_commit(spark, f"{cache}/index") == 0
