@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +21,12 @@ from recordloom.llm.tokenfiles import token_counts
 from recordloom.llm.toxicity import held_out, toxicity_scores
 from recordloom.llm.windows import remove_repeated_windows
 
-#: Where the public vocabularies lie; a parameter of the operators.
-TOKENIZERS = os.environ.get("LLM_TOKENIZERS", "/opt/tokenizers")
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary lies; a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,7 +44,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query
 def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return token_counts(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken").select("doc_id", "n_tokens")
+    return token_counts(docs, vocabulary("byte_bpe_50k.tiktoken")).select("doc_id", "n_tokens")
 
 
 @query
@@ -54,7 +57,7 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op6_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    coded = encode_decode(docs, f"{TOKENIZERS}/word_bpe_49k.json", keep=["doc_id"])
+    coded = encode_decode(docs, vocabulary("word_bpe_49k.json"), keep=["doc_id"])
     return coded.select(
         "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

@@ -181,7 +181,7 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400, doc_id: str = "d
     keyed = docs.select(as_row(kept), *row_keys(doc_id, text), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
     unit = Unit(words=False, window=length, grams=_grams(length))
     spans = covered(keyed.select("_k", "_h", "_text"), unit, repeated_strings)
-    per_row = spans.groupBy("_k", "_h").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
+    per_row = spans.groupBy("_k", "_h").agg(F.collect_set(F.struct("a", "b")).alias("_spans"))
     rows = keyed.join(per_row, ["_k", "_h"], "left").select("_row", "_text", "_spans")
     schema = T.StructType([
         rows.schema["_row"], T.StructField("kept_bytes", T.BinaryType()),

@@ -82,7 +82,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, doc_id: str = "do
     keyed = docs.select(as_row(kept), *row_keys(doc_id, text), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
     unit = Unit(words=True, window=window, grams=_grams(window))
     spans = covered(keyed.select("_k", "_h", "_text"), unit, repeated_windows)
-    per_row = spans.groupBy("_k", "_h").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
+    per_row = spans.groupBy("_k", "_h").agg(F.collect_set(F.struct("a", "b")).alias("_spans"))
     rows = keyed.join(per_row, ["_k", "_h"], "left").select("_row", "_text", "_spans")
     schema = T.StructType([
         rows.schema["_row"], T.StructField("kept_words", T.StringType()),

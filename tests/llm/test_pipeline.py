@@ -1,6 +1,7 @@
 """The pipeline against plain versions of its stages."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 import brute
 import corpus_pipeline
 from recordloom.llm.bpe import WordBpe
-from recordloom.llm.queries import TOKENIZERS
+from recordloom.llm.queries import vocabulary
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -41,13 +42,33 @@ def test_one_of_each_class_stays(stages):
 
 
 def test_repeated_strings_go(stages):
-    want = [(i, sha) for i, *_, sha in brute.strings(rows(stages[2]), 400)]
+    want = [(i, sha) for i, *_, sha in brute.strings(rows(stages[2]), corpus_pipeline.REPEATED)]
     got = rows(stages[3])
     assert [i for i, _ in got] == [i for i, _ in want]
     same = [hashlib.sha256((t or "").encode()).hexdigest() == sha for (_, t), (_, sha) in zip(got, want)]
     assert sum(same) >= len(same) - 3  # the others end within a letter
 
 
+def test_passages_of_a_few_words_over_fifty_go(spark):
+    """Short words included: 51 to 60 words that two documents share, in the midst of text of their own."""
+    rng = random.Random(8)
+
+    def words(n, least, most):
+        return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(least, most))) for _ in range(n))
+
+    rows, passages = [], []
+    for i in range(30):
+        shared = words(51 + i % 10, 2 + i % 3, 8)
+        passages.append(shared)
+        rows += [(2 * i + k, f"{words(80, 3, 9)} {shared} {words(80, 3, 9)}") for k in (0, 1)]
+    rows += [(100 + i, words(200, 3, 9)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    left = {r.doc_id: r.text for r in corpus_pipeline.cut_repeated_strings(spark, docs, SMALL).collect()}
+    assert not any(p in left[2 * i + k] for i, p in enumerate(passages) for k in (0, 1))
+    assert all(len(left[2 * i + k]) < len(dict(rows)[2 * i + k]) - 0.9 * len(p) for i, p in enumerate(passages) for k in (0, 1))
+    assert all(left[100 + i] == dict(rows)[100 + i] for i in range(20))
+
+
 def test_contaminated_documents_go(spark, stages):
     plain = lambda t: f" {' '.join(re.findall('[^\\W_]+', (t or '').lower()))} "
     items = [plain(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
@@ -57,7 +78,7 @@ def test_contaminated_documents_go(spark, stages):
 
 
 def test_tokens(stages):
-    with open(f"{TOKENIZERS}/word_bpe_49k.json", "rb") as file:
+    with open(vocabulary("word_bpe_49k.json"), "rb") as file:
         codec = WordBpe(file.read())
     for r in stages[5].collect():
         assert (bytes(r.token_ids), r.decoded) == codec.encode(r.text or "")
