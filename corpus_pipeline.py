@@ -10,7 +10,7 @@ from recordloom.llm.bpe import encode_decode
 from recordloom.llm.common import as_row, row_keys, scratch
 from recordloom.llm.decontamination import benchmark_leaks
 from recordloom.llm.jaccard import near_duplicate_classes
-from recordloom.llm.queries import TOKENIZERS
+from recordloom.llm.queries import vocabulary
 from recordloom.llm.suffixes import remove_repeated_strings
 from recordloom.llm.toxicity import toxicity_scores
 
@@ -51,7 +51,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of every document that is left, and the text that they decode to."""
-    return encode_decode(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    return encode_decode(docs, vocabulary("word_bpe_49k.json"))
 
 
 STAGES = [
