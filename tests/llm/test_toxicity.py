@@ -1,12 +1,15 @@
 """op5: the decoder against all spellings, the scores on rows that nothing was learned from."""
 
 import itertools
+import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from recordloom.llm import charmodel
 from recordloom.llm.charmodel import CODE, DISGUISED, DROPPED, GAP, LOOKALIKES, SYMBOLS, CharModel, codes, count_trigrams
 from recordloom.llm.toxicity import lower_share, toxicity_scores
 
@@ -94,3 +97,44 @@ def test_planted_disguises(spark):
     scores = [round(got[i], 2) for i, _ in tests]
     assert [x for x, z in zip(planted, scores) if z < 0.5] == []
     assert [x for x, z in zip(clean, scores[len(planted):]) if z >= 0.5] == []
+
+
+def read_alone(model, text):
+    """Every word by the search itself, one text at a time, instead of by tables."""
+    plain = model.plain(text).lower()
+    found = set(charmodel.WORD.findall(plain))
+    more = {model.restore(w) for w in found if re.search(r"([^\W\d_])\1", w)}
+    for kind in (charmodel.SHORT, charmodel.FINAL):
+        more |= {w for m in kind.finditer(plain) for w in charmodel.WORD.findall(model.restore(m[0]))}
+    return found | more
+
+
+def test_tables_read_as_the_search_does(model, monkeypatch):
+    rng = random.Random(5)
+    words = ["the", "stupid", "idiot", "clown", "said", "tin", "aa", "bb", "a", "iit", "stuupiid", "ass", "cloown", "é", "日本"]
+
+    def text():
+        made = []
+        for _ in range(rng.randrange(12)):
+            w = rng.choice(words)
+            kind = rng.random()
+            if kind < 0.3:
+                w += rng.choice("01257!$@(|+€") * rng.choice([1, 1, 2])
+            elif kind < 0.45:
+                w = rng.choice([" ", "-", ". "]).join(w[:3])
+            elif kind < 0.6:
+                i = rng.randrange(len(w))
+                w = w[:i] + w[i] * rng.choice([1, 2]) + w[i:]
+            made.append(w)
+        return rng.choice([" ", ", ", "\n", "\t"]).join(made)
+
+    texts = ["", "\n", *(text() for _ in range(400))]
+    alone = [read_alone(model, t) for t in texts]
+    for stretch in (1 << 20, 60):
+        monkeypatch.setattr(charmodel, "STRETCH", stretch)
+        together = model.readings(texts)
+        assert all(a <= b for a, b in zip(alone, together))
+        # what comes besides are words joined over fillers
+        joined = ["".join(c for c in t.lower() if c not in charmodel.FILLERS) for t in map(model.plain, texts)]
+        assert all(w in j for a, b, j in zip(alone, together, joined) for w in b - a)
+    assert "stupid" in model.readings(["he is stu pid"])[0]
