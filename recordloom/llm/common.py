@@ -64,10 +64,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(spark: SparkSession, value: object, size: int):
-    """A broadcast of a value whose size the caller has measured."""
+def check_bound(size: int) -> None:
     if size > BROADCAST_BOUND:
         raise ValueError(f"{size} bytes are too many to send to every task; the bound is {BROADCAST_BOUND}")
+
+
+def bounded(spark: SparkSession, value: object, size: int):
+    """A broadcast of a value whose size the caller has measured."""
+    check_bound(size)
     return spark.sparkContext.broadcast(value)
 
 

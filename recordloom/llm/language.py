@@ -15,16 +15,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import appended, bounded
-
-#: Sample of labelled rows per language, chosen by a hash of the id, and characters of
-#: each that enter the dictionary: many texts speak for a language better than one long one.
-SAMPLED, CHARACTERS_EACH = 400, 512
-#: A longer text is cut into so many equal parts, each of which gives a stretch at a place
-#: chosen by a hash: what the texts open with is no more likely to enter than the rest.
-STRETCHES = 4
-#: Languages that a model may hold; bounds what is sent to every task.
-LANGUAGES = 200
+from recordloom.llm.common import appended, bounded, check_bound, staged
+
+#: Labelled rows per language, and characters that they may hold together: the row that
+#: passes this bound is the last, and is whole too.
+SAMPLED, CHARACTERS = 800, 400_000
+#: Rows of at most so many characters are taken first: many texts speak for a language
+#: better than one long one.
+SHORT = 2048
+#: Characters of all dictionaries together; many languages get smaller samples.
+ALL_CHARACTERS = 12_000_000
+#: Parts of a language in which rows are ranked before they meet.
+PARTS = 64
 #: Bytes that are compressed at once: a piece is small, so that the dictionary counts.
 PIECE = 1024
 LEVEL = 5
@@ -38,41 +40,37 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def stretches(text: str, order: str) -> Column:
-    """A text of up to CHARACTERS_EACH characters, or stretches of a longer one spread over all of it."""
-    n, each = F.length(text), CHARACTERS_EACH // STRETCHES
-
-    def stretch(i: int) -> Column:
-        start = F.floor(n * i / STRETCHES)
-        room = F.floor(n * (i + 1) / STRETCHES) - start - each + 1
-        place = start + F.pmod(F.xxhash64(order, F.lit(i)), room)
-        return F.substr(F.col(text), (place + 1).cast("int"), F.lit(each))
-
-    return F.when(n <= CHARACTERS_EACH, F.col(text)).otherwise(F.concat_ws(" ", *map(stretch, range(STRETCHES))))
-
-
 def dictionaries(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sampled: int = SAMPLED,
+    characters: int = CHARACTERS,
 ) -> dict[str, bytes]:
-    """Raw content for each language, from at most ``sampled`` rows of it that are not held out.
+    """Raw content for each language: whole texts of at most ``sampled`` rows that are not held out.
 
-    Rows without text or language are passed over. Rows are taken in the order of a
-    hash of id and text, so repeated rows and the partitioning make no difference.
+    Rows without text or language are passed over. Rows are taken in the order of a hash of id
+    and text, short ones first, until they hold ``characters`` together; repeated rows and the
+    partitioning make no difference. A language with very many rows is ranked in parts first.
     """
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang")).where(
         F.col("_lang").isNotNull() & F.coalesce(F.col("_text"), F.lit("")).rlike(r"\p{L}") & ~held_out(F.col("_id")))
-    order = F.xxhash64(F.col("_id").cast("string"), "_text")
-    turn = W.partitionBy("_lang").orderBy("_order", "_text")
-    taken = (
-        rows.select("_lang", order.alias("_order"), "_text").select("_lang", "_order", F.lower(stretches("_text", "_order")).alias("_text"))
-        .withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= sampled)
-        .groupBy("_lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_turn", "_text"))), lambda x: x["_text"]), "\n").alias("content"))
-        .orderBy("_lang").limit(LANGUAGES + 1)
-    )
-    found = {r._lang: r.content.encode() for r in taken.collect()}
-    if len(found) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    return found
+    size = F.length("_text")
+    hashed = rows.select(
+        "_lang", "_text", (size > SHORT).alias("_long"), F.xxhash64(F.col("_id").cast("string"), "_text").alias("_order"))
+    order = ["_long", "_order", "_text"]
+    parted = hashed.withColumn("_part", F.pmod("_order", F.lit(PARTS)))
+    inside = W.partitionBy("_lang", "_part").orderBy(*order)
+    whole = W.partitionBy("_lang").orderBy(*order)
+    some = parted.withColumn("_turn", F.row_number().over(inside)).where(F.col("_turn") <= sampled)
+    some = some.withColumn("_turn", F.row_number().over(whole)).where(F.col("_turn") <= sampled)
+    languages = F.greatest(F.lit(1), hashed.agg(F.countDistinct("_lang")).scalar())
+    bound = F.least(F.lit(characters), F.floor(F.lit(ALL_CHARACTERS) / languages))
+    before = F.sum(F.length("_text")).over(whole.rowsBetween(W.unboundedPreceding, -1))
+    taken = some.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < bound).select(
+        "_lang", "_turn", F.lower("_text").alias("_text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_turn", "_text"))), lambda x: x["_text"]), "\n")
+    contents = staged(taken.groupBy("_lang").agg(joined.alias("content")), "languages")
+    # measured before anything comes to the driver
+    check_bound(contents.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0])
+    return {r._lang: r.content.encode() for r in contents.collect()}
 
 
 class Classifier:

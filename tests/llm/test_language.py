@@ -59,3 +59,26 @@ def test_texts_that_open_alike(spark):
     assert {r.doc_id: r.lang_pred for r in identify_language(short, df).collect()} == {-1: "de", -2: "fr"}
     held = dictionaries(df)
     assert all(said[x].encode()[:20] in held[x] for x in said)
+
+
+def test_whole_texts_of_a_bounded_sample(spark):
+    rows = [(i, f"{lang} " + f"word{i} of {lang} " * size, lang) for lang, size in (("aa", 700), ("bb", 3)) for i in range(60)]
+    rows += [(500 + i, f"bb {i} " + "long tale " * 900, "bb") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = {t.lower() for _, t, _ in rows}
+    held = dictionaries(df, characters=30_000)
+    for content in held.values():
+        assert set(content.decode().split("\n")) <= texts
+    # long texts are taken whole where there are no others, up to the one that passes the bound
+    assert 30_000 <= len(held["aa"]) < 30_000 + 2 * len(rows[0][1])
+    assert "long tale" in held["bb"].decode() and held["bb"].decode().index("long tale") > 1_000
+    assert len(dictionaries(df, characters=1_000)["bb"].decode().split("\n")) < 40
+    assert len(dictionaries(df, sampled=4)["aa"].decode().split("\n")) == 4
+
+
+def test_a_tie_goes_to_the_first_language_and_many_languages_share(spark):
+    rows = [(i, "the same words", lang) for lang in ("zz", "mm") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in identify_language(df).collect()} == {"mm"}
+    many = spark.createDataFrame([(i, f"text number {i} of its own language", f"l{i}") for i in range(300)], "doc_id long, text string, lang string")
+    assert len(dictionaries(many)) > 200
