@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 from recordloom.llm.common import appended, bounded
 
 #: Words in each of the two generations that a task remembers: words of the older
-#: one that come up again move to the younger, so frequent words stay.
-REMEMBERED = 150_000
+#: one that come up again move to the younger, so frequent words stay. Words of more
+#: characters are not remembered, so what is stays bounded in bytes.
+REMEMBERED, LONGEST = 150_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -103,7 +104,9 @@ class WordBpe:
                 if len(known) >= REMEMBERED:
                     self.older, self.known = known, {}
                     known = self.known
-                got = known[w] = self.older.get(w) or self.word(w)
+                got = self.older.get(w) or self.word(w)
+                if len(w) <= LONGEST:
+                    known[w] = got
             found.append(got)
 
     def encode(self, text: str) -> tuple[bytes, str]:

@@ -50,6 +50,8 @@ _BEFORE = re.compile(rf"[\w{_SIGNS}]")
 _TOKEN = re.compile(rf"[\w{_SIGNS}]*\w")
 #: Tokens that end in signs, which may be punctuation or letters.
 FINAL = re.compile(rf"(?<![\w{_SIGNS}])[\w{_SIGNS}]*[^\W\d_][{_SIGNS}]+(?![\w{_SIGNS}])")
+#: Characters of a span that is remembered.
+LONGEST = 200
 _FILLER_POINTS = np.array([ord(x) for x in FILLERS], np.uint32)
 _SIGN_POINTS = np.array([ord(x) for x in LOOKALIKES], np.uint32)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -151,7 +153,9 @@ class CharModel:
                 self.known.clear()
             low = span.lower()
             got = self._search(low, bool(SPACED.fullmatch(span) or SHORT.fullmatch(span)))
-            got = self.known[span] = span if got == low else got
+            got = span if got == low else got
+            if len(span) <= LONGEST:
+                self.known[span] = got
         return got
 
     def _search(self, span: str, spaced: bool) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.charmodel import SYMBOLS, CharModel, count_trigrams
+from recordloom.llm.charmodel import LONGEST, SYMBOLS, CharModel, count_trigrams
 from recordloom.llm.common import appended, bounded, cut_batches, staged
 
 #: Labelled rows that the weights are learned from, chosen by a hash of the id.
@@ -76,7 +76,9 @@ class Scorer:
                 if own is None:
                     if len(known) >= _REMEMBERED:
                         known.clear()
-                    own = known[w] = tuple([f for f in features(w) if f in self.weights])
+                    own = tuple([f for f in features(w) if f in self.weights])
+                    if len(w) <= LONGEST:
+                        known[w] = own
                 if own:
                     found += own
             out.append(Counter(found))
