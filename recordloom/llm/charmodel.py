@@ -126,11 +126,51 @@ class Places:
         self.sign, self.filler = np.isin(points, _SIGN_POINTS), np.isin(points, _FILLER_POINTS)
         #: Letters, digits, lines and signs: what a token may hold.
         self.held = self.sign | self.letter | (self.s == MARK) | (points == ord("_"))
+        #: Where two characters of tokens follow each other over fillers, and another filler comes.
+        self._spaced: np.ndarray | None = None
         place = np.arange(len(points))
         self.start = np.maximum.accumulate(np.where(self.letter, -1, place)) + 1
         self.end = np.minimum.accumulate(np.where(self.letter, len(points), place)[::-1])[::-1]
 
 
+    def spaced(self) -> np.ndarray:
+        """Where spaced single characters may begin."""
+        if self._spaced is None:
+            held, filler, n = self.held, self.filler, len(self.text)
+            near = np.zeros(n, bool)
+            for k in (1, 2, 3):
+                two = held[: n - k - 2] & held[k + 1: n - 1] & filler[k + 2:]
+                for i in range(1, k + 1):
+                    two &= filler[i: n - k - 2 + i]
+                near[: n - k - 2] |= two
+            self._spaced = np.flatnonzero(near)
+        return self._spaced
+
+    def suspicious(self) -> np.ndarray:
+        """Places that ``TRIGGER`` or ``SPACED`` may match in the text before it was put in lower case."""
+        letter, sign, held, points = self.letter, self.sign, self.held, self.points
+        trigger = np.zeros(len(points), bool)
+        trigger[1:-2] = sign[1:-2] & (letter[2:-1] | letter[:-3] & held[2:-1])
+        trigger[1:-2] |= letter[1:-2] & (points[1:-2] == points[2:-1]) & (points[1:-2] == points[3:])
+        return np.union1d(np.flatnonzero(trigger), self.spaced())
+
+
+def _portions(pieces: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+    """Pieces of at most ``STRETCH`` characters together, or a single longer one."""
+    at = 0
+    while at < len(pieces):
+        end, size = at, 0
+        while end < len(pieces) and (end == at or size + len(pieces[end][1]) <= STRETCH):
+            size += len(pieces[end][1])
+            end += 1
+        yield pieces[at:end]
+        at = end
+
+
+def _begins(pieces: list[tuple[int, str]]) -> np.ndarray:
+    return np.cumsum([0, *(len(p) + len(_BREAK) for _, p in pieces)])
+
+
 class CharModel:
     """Log probabilities of a symbol after two others, backing off to one and none."""
 
@@ -217,27 +257,41 @@ class CharModel:
         depends on a few neighbouring symbols, so tables tell it for all texts at once; only the
         places they leave are searched.
         """
-        plains = [self.plain(t).lower() for t in texts]
-        found = [set(WORD.findall(p)) for p in plains]
-        pieces = [(i, piece) for i, p in enumerate(plains) for piece in _pieces(p)]
-        at = 0
-        while at < len(pieces):
-            end, size = at, 0
-            while end < len(pieces) and (end == at or size + len(pieces[end][1]) <= STRETCH):
-                size += len(pieces[end][1])
-                end += 1
-            self._add(pieces[at:end], found)
-            at = end
+        found: list[set[str]] = [set() for _ in texts]
+        later: list[tuple[int, str]] = []
+        lows = [t.lower() for t in texts]
+        # where lower case keeps every character's place, the same arrays tell which places are suspicious
+        even = [(i, low) for i, low in enumerate(lows) if len(low) == len(texts[i]) <= STRETCH]
+        for group in _portions(even):
+            at = Places(_BREAK + _BREAK.join(low for _, low in group) + _BREAK)
+            begins = _begins(group)
+            places = at.suspicious()
+            cuts = np.searchsorted(places, begins)
+            same = np.ones(len(group), bool)
+            for k, (i, low) in enumerate(group):
+                own = places[cuts[k]: cuts[k + 1]] - begins[k] - len(_BREAK)
+                if len(own) and (plain := self._plain_at(texts[i], own.tolist())) != texts[i]:
+                    same[k] = False
+                    later.append((i, plain.lower()))
+                else:
+                    found[i].update(WORD.findall(low))
+            self._add(at, begins, [i for i, _ in group], found, same)
+        chosen = {i for i, _ in even}
+        later += [(i, self.plain(t).lower()) for i, t in enumerate(texts) if i not in chosen]
+        for i, plain in later:
+            found[i].update(WORD.findall(plain))
+        for group in _portions([(i, piece) for i, plain in later for piece in _pieces(plain)]):
+            at = Places(_BREAK + _BREAK.join(p for _, p in group) + _BREAK)
+            self._add(at, _begins(group), [i for i, _ in group], found, np.ones(len(group), bool))
         return found
 
-    def _add(self, pieces: list[tuple[int, str]], found: list[set[str]]) -> None:
-        text = _BREAK + _BREAK.join(p for _, p in pieces) + _BREAK
-        begins = np.cumsum([0, *(len(p) + len(_BREAK) for _, p in pieces)])
-        places = Places(text)
+    def _add(self, at: Places, begins: np.ndarray, owners: list[int], found: list[set[str]], wanted: np.ndarray) -> None:
         for kind in (self._doubled, self._short, self._final, self._joined):
-            where, words = kind(places)
-            for i, w in zip((np.searchsorted(begins, where, "right") - 1).tolist(), words):
-                found[pieces[i][0]].add(w)
+            where, words = kind(at)
+            turn = np.searchsorted(begins, where, "right") - 1
+            for k, w, use in zip(turn.tolist(), words, wanted[turn].tolist() if len(turn) else ()):
+                if use:
+                    found[owners[k]].add(w)
 
     def _doubled(self, at: Places) -> tuple[list[int], list[str]]:
         """Words with a letter twice in a row that are likelier with it once.
@@ -275,14 +329,7 @@ class CharModel:
 
     def _short(self, at: Places) -> tuple[list[int], list[str]]:
         """Three single letters with fillers between them."""
-        held, filler, n = at.held, at.filler, len(at.text)
-        near = np.zeros(n, bool)
-        for k in (1, 2, 3):
-            two = held[: n - k - 2] & held[k + 1: n - 1] & filler[k + 2:]
-            for i in range(1, k + 1):
-                two &= filler[i: n - k - 2 + i]
-            near[: n - k - 2] |= two
-        return self._searched(SHORT, at.text, np.flatnonzero(near))
+        return self._searched(SHORT, at.text, at.spaced())
 
     def _final(self, at: Places) -> tuple[list[int], list[str]]:
         """Tokens that end in signs. After plain letters a single sign is read alone, by the two letters before."""
@@ -350,18 +397,27 @@ class CharModel:
                 words.append(text[b:c] + text[a:e])
         return where, words
 
+    def _plain_at(self, text: str, places: list[int]) -> str:
+        """As :meth:`plain`, where only these places may be suspicious."""
+        if any(SPACED.match(text, p) for p in places):
+            return self.plain(text)
+        return self._restored(text, [p for p in places if TRIGGER.match(text, p)])
+
     def plain(self, text: str) -> str:
         """The text with its suspicious spans restored."""
         text = SPACED.sub(lambda m: self.restore(m[0]), text)
+        return self._restored(text, [found.start() for found in TRIGGER.finditer(text)])
+
+    def _restored(self, text: str, triggers: list[int]) -> str:
         out, done = [], 0
-        for found in TRIGGER.finditer(text):
-            start = found.start()
+        for place in triggers:
+            start = place
             if start < done:
                 continue
             while start > done and _BEFORE.match(text[start - 1]):
                 start -= 1
             token = _TOKEN.match(text, start)
-            if token and token.end() > found.start():
+            if token and token.end() > place:
                 out += [text[done:start], self.restore(token[0])]
                 done = token.end()
         return "".join([*out, text[done:]]) if out else text
