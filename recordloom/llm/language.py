@@ -47,25 +47,28 @@ def dictionaries(
     """Raw content for each language: whole texts of at most ``sampled`` rows that are not held out.
 
     Rows without text or language are passed over. Rows are taken in the order of a hash of id
-    and text, short ones first, until they hold ``characters`` together; repeated rows and the
-    partitioning make no difference. A language with very many rows is ranked in parts first.
+    and text, short ones first, until they hold ``characters`` together; repeated rows enter
+    once, and the partitioning makes no difference. A language with very many rows is ranked in parts first.
     """
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang")).where(
         F.col("_lang").isNotNull() & F.coalesce(F.col("_text"), F.lit("")).rlike(r"\p{L}") & ~held_out(F.col("_id")))
+    key = F.xxhash64(F.col("_id").cast("string"), "_text")
     size = F.length("_text")
-    hashed = rows.select(
-        "_lang", "_text", (size > SHORT).alias("_long"), F.xxhash64(F.col("_id").cast("string"), "_text").alias("_order"))
-    order = ["_long", "_order", "_text"]
-    parted = hashed.withColumn("_part", F.pmod("_order", F.lit(PARTS)))
+    # ranked without their texts, which only the chosen rows bring
+    narrow = rows.select("_lang", (size > SHORT).alias("_long"), key.alias("_order"), size.alias("_size")).distinct()
+    order = ["_long", "_order"]
+    parted = narrow.withColumn("_part", F.pmod("_order", F.lit(PARTS)))
     inside = W.partitionBy("_lang", "_part").orderBy(*order)
     whole = W.partitionBy("_lang").orderBy(*order)
     some = parted.withColumn("_turn", F.row_number().over(inside)).where(F.col("_turn") <= sampled)
     some = some.withColumn("_turn", F.row_number().over(whole)).where(F.col("_turn") <= sampled)
-    languages = F.greatest(F.lit(1), hashed.agg(F.countDistinct("_lang")).scalar())
+    languages = F.greatest(F.lit(1), narrow.agg(F.countDistinct("_lang")).scalar())
     bound = F.least(F.lit(characters), F.floor(F.lit(ALL_CHARACTERS) / languages))
-    before = F.sum(F.length("_text")).over(whole.rowsBetween(W.unboundedPreceding, -1))
-    taken = some.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < bound).select(
-        "_lang", "_turn", F.lower("_text").alias("_text"))
+    before = F.sum("_size").over(whole.rowsBetween(W.unboundedPreceding, -1))
+    chosen = some.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < bound)
+    chosen = staged(chosen.select("_lang", "_order", "_turn"), "chosen")
+    taken = rows.withColumn("_order", key).join(chosen, ["_lang", "_order"])
+    taken = taken.groupBy("_lang", "_turn").agg(F.lower(F.max("_text")).alias("_text"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_turn", "_text"))), lambda x: x["_text"]), "\n")
     contents = staged(taken.groupBy("_lang").agg(joined.alias("content")), "languages")
     # measured before anything comes to the driver
