@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bindings import frames as fr
 from bindings.registry import query
 from recordloom.operators import match as m
+from recordloom.operators.skew import numbered_within
 from recordloom.rules import ORD, MergeRecords, NoMatch
 from recordloom.sources.tables import as_text, keyed_table
 
@@ -66,25 +67,30 @@ def lookup_many_to_one(spark, sf):
     )
 
 
-FIRST_LINES = f"""first_lines as (
-  select k, n, arg_min(l_partkey, ord) as part, arg_min(l_quantity, ord) as quantity, arg_min(l_shipdate, ord) as shipped
+def _first_lines(more: str = "") -> str:
+    return f"""first_lines as (
+  select k, n, arg_min(l_partkey, ord) as part, arg_min(l_quantity, ord) as quantity, arg_min(l_shipdate, ord) as shipped{more}
   from (select *, {fr.trim('l_orderkey')} as k, {fr.trim('l_linenumber')} as n from lines)
   where k <> '' and n <> '' group by k, n)"""
 
 
-@query("expand_one_to_many", f"""with {fr.BASE_ORDERS}, {fr.ORDER_LINES}, {FIRST_LINES}
-select o_orderkey, n as line, part, quantity, shipped
+FIRST_LINES = _first_lines()
+
+
+@query("expand_one_to_many", f"""with {fr.BASE_ORDERS}, {fr.ORDER_LINES}, {_first_lines(", min(ord) as first_ord")}
+select o_orderkey, n as line, part, quantity, shipped, row_number() over (partition by o_orderkey order by first_ord) as place
 from base left join first_lines on k = o_orderkey""")
 def expand_one_to_many(spark, sf):
     rows = m.expand_one_to_many(
         fr.base_orders(spark, sf), "o_orderkey", fr.order_lines(spark, sf), "l_orderkey",
         ["l_linenumber"], "line", NoMatch("emit_incomplete", "MISSING"),
     )
-    return rows.select(
+    lines = rows.select(
         "o_orderkey", F.trim(F.col("line.l_linenumber")).alias("line"),
         F.col("line.l_partkey").alias("part"), F.col("line.l_quantity").alias("quantity"),
-        F.col(f"{ORD}.expansion.l_shipdate").cast("string").alias("shipped"),
+        F.col(f"{ORD}.expansion.l_shipdate").cast("string").alias("shipped"), ORD,
     )
+    return numbered_within(lines, "o_orderkey", [ORD], "place").drop(ORD)
 
 
 @query("expand_skipping_unmatched", f"""with {fr.BASE_ORDERS}, {fr.ORDER_LINES}, {FIRST_LINES}

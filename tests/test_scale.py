@@ -3,6 +3,7 @@
 import random
 import re
 from collections import defaultdict
+from datetime import datetime
 
 import pytest
 import sample
@@ -18,6 +19,7 @@ from recordloom.operators import conflicts as cf
 from recordloom.operators import match as m
 from recordloom.operators import versions as vs
 from recordloom.operators.changes import apply_changes, latest_records
+from recordloom.operators.skew import numbered_within
 from recordloom.plans.consolidating import consolidate
 from recordloom.rules import CleanRule, MergeRecords
 
@@ -277,3 +279,42 @@ def test_conflicts_of_a_stored_pass_equal_those_found_alone(table):
     targets = {"a": ["A"], "b": ["B", "A"]}
     cells = cf.conflict_cells(rows, "k", (), targets, ["a", "b"]).collect()
     assert cells and sorted(cells) == sorted(cf.conflict_cells(rows, "k", (), targets, ["a", "b"], keyed).collect())
+
+
+def test_a_crowded_key_is_numbered_over_its_ranges(spark):
+    """The ranges are not joined again, so the crowded key and the null one go over several."""
+    rng = random.Random(8)
+    rows = [(k, rng.randrange(400) if k == "hot" else i % 7, str(i)) for i, (k, *_) in enumerate(skewed(2000, 5))]
+    rows += [(None, i % 90, f"n{i}") for i in range(700)]
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")
+    try:
+        df = spark.createDataFrame(rows, "key string, at int, v string").repartition(3)
+        found = numbered_within(df, "key", ["at"], "place").collect()
+    finally:
+        spark.conf.unset(merging)
+    assert sorted((r.key or "", r.at, r.v) for r in found) == sorted((k or "", at, v) for k, at, v in rows)
+    got, want = defaultdict(list), defaultdict(list)
+    for r in sorted(found, key=lambda r: r.place):
+        got[r.key].append((r.place, r.at))
+    for k, at, _ in rows:
+        want[k].append(at)
+    assert got == {k: list(enumerate(sorted(v), 1)) for k, v in want.items()}
+
+
+def test_expanded_lines_keep_their_place(spark, tmp_path):
+    """Every line of an order has its place: of a crowded order, a repeated one, one without lines."""
+    day = datetime(2026, 1, 2)
+    orders = [(1, 7, "O", 1.0, day, "p"), (2, 7, "O", 1.0, day, "p"), (2, 7, "O", 1.0, day, "p"), (3, 7, "O", 1.0, day, "p")]
+    numbers = [(1, n) for n in random.Random(6).sample(range(2, 3002, 2), 1500)] + [(2, 9), (2, 4), (2, 4), (2, 11)]
+    lines = [(k, i % 50 + 1, 1, n, 1.0, 1.0, 0.0, 0.0, "N", "O", day) for i, (k, n) in enumerate(numbers)]
+    names = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    spark.createDataFrame(orders, names).write.parquet(f"{tmp_path}/orders.parquet")
+    names = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+             "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp")
+    spark.createDataFrame(lines, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = QUERIES["expand_one_to_many"](spark, str(tmp_path)).collect()
+    want = [("1", str(n), i) for i, n in enumerate(range(2, 3002, 2), 1)]
+    want += [("2", line, i) for i, line in enumerate(["4", "4", "9", "9", "11", "11"], 1)] + [("3", None, 1)]
+    assert len(want) == 1507
+    assert sorted((r.o_orderkey, r.place, r.line) for r in found) == sorted((k, i, n) for k, n, i in want)
