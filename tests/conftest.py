@@ -20,6 +20,9 @@ def spark(tmp_path_factory):
     found = (
         SparkSession.builder.master("local[4]")
         .config("spark.ui.enabled", "false")
+        # tests that count scans list the executions of the whole session; 1,000 are kept by default
+        .config("spark.sql.ui.retainedExecutions", "10000")
+        .config("spark.driver.memory", "3g")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
