@@ -79,7 +79,7 @@ RULE = ConsolidationRule(
 
 
 def sources(spark, sf):
-    lines = fr.order_lines(spark, sf)
+    lines = fr.order_lines_numbered(spark, sf)
     return {
         "orders": fr.base_orders(spark, sf), "lines": lines, "events": fr.events_text(spark, sf),
         "flags": lines, "priorities": fr.orders_text(spark, sf),

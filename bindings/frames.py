@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.text import WHITESPACE
 from recordloom.rules import ORD
-from recordloom.sources.tables import as_text
+from recordloom.session import staged
+from recordloom.sources.tables import as_text, stamp_order_by
 
 WIDE_SPACE = "　"
 INVISIBLE = "​﻿"
@@ -44,6 +45,15 @@ def lineitem_text(spark: SparkSession, sf: str) -> DataFrame:
     return as_text(load(spark, sf, "lineitem"), LINE_ORDER, decimals=2)
 
 
+def lines_numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of :func:`lineitem_text` in the same order, which is one stored number.
+
+    The typed rows are sorted and numbered once. A step that shuffles lines then carries
+    a ``long`` for their order, not all their columns a second time.
+    """
+    return as_text(staged(stamp_order_by(load(spark, sf, "lineitem"), LINE_ORDER), "lines"), decimals=2)
+
+
 def base_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with some keys padded: a padded base key finds no trimmed match."""
     df = orders_text(spark, sf)
@@ -53,10 +63,18 @@ def base_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines with some keys padded and a zero tax left blank."""
-    df = lineitem_text(spark, sf)
+    return untidy_lines(lineitem_text(spark, sf), F.col(ORD)["l_partkey"])
+
+
+def order_lines_numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """As :func:`order_lines`, on :func:`lines_numbered`."""
+    return untidy_lines(lines_numbered(spark, sf), F.col("l_partkey").try_cast("long"))
+
+
+def untidy_lines(df: DataFrame, part: Column) -> DataFrame:
     key = F.concat(F.lit(" "), F.col("l_orderkey"), F.lit(WIDE_SPACE))
     return df.withColumns({
-        "l_orderkey": F.when(F.col(ORD)["l_partkey"] % 11 == 0, key).otherwise(F.col("l_orderkey")),
+        "l_orderkey": F.when(part % 11 == 0, key).otherwise(F.col("l_orderkey")),
         "l_tax": F.when(F.col("l_tax") == "0.00", "").otherwise(F.col("l_tax")),
     })
 

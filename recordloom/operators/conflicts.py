@@ -39,13 +39,14 @@ def content_conflicts(
 
 
 def content_text(
-    match: str, expand_by: Sequence[str], compare_by: Sequence[str], label: str
+    match: str, expand_by: Sequence[str], compare_by: Sequence[str], label: str,
+    keys: Sequence[Column] = (),
 ) -> Column | None:
-    """Row text from the key columns; None when it needs other fields."""
-    known = dict(zip([match, *expand_by], key_names(expand_by)))
+    """Row text from the key columns, or from ``keys`` with their values; None when it needs other fields."""
+    known = dict(zip([match, *expand_by], keys or map(F.col, key_names(expand_by))))
     if any(f not in known for f in compare_by):
         return None
-    return _content_text(label, {f: F.col(known[f]) for f in compare_by})
+    return _content_text(label, {f: known[f] for f in compare_by})
 
 
 def _content_text(label: str, values: Mapping[str, Column]) -> Column:

@@ -142,7 +142,8 @@ def expand_one_to_many(
     kept = [F.col(c) for c in records.columns if c not in (*keys, "_first")]
     on = (col(base_key) == parts[MATCH]) & (copies[PART] == parts[PART])
     joined = copies.join(parts, on, "inner" if action == "skip" else "left")
-    real = joined.where(F.col("_first").isNotNull() | F.col(SIZE).isNull())
+    # by the key, so that the position travels only where the row order is used
+    real = joined.where(F.col(MATCH).isNotNull() | F.col(SIZE).isNull())
     order = F.struct(F.col(ORD).alias("base"), F.col("_first").alias("expansion"))
     return real.select(*[col(c) for c in data_columns(base)], *kept, order.alias(ORD))
 

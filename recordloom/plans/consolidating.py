@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.columns import col, data_columns, record, require_columns
+from recordloom.functions.text import trim_key
 from recordloom.operators import conflicts as cf
 from recordloom.operators import match as m
 from recordloom.operators.changes import apply_changes, latest_records
@@ -69,6 +70,8 @@ def consolidate(
         )
         if f"__detail_{i}" in records.columns:
             details.append(F.col(f"__detail_{i}"))
+        if f"__differs_{i}" in records.columns:
+            details.append(_content_detail(expansion, i))
         if f"__notes_{i}" in records.columns:
             note_columns.append(F.col(f"__notes_{i}"))
     sources = {name: F.col(f"__src_{i}") for name, i in names.items()}
@@ -188,11 +191,12 @@ def _one_per_key(
 def _expansion(
     df: DataFrame, source: MatchRule, rule: ConsolidationRule, i: int, notes: bool
 ) -> DataFrame:
-    """Records per (match, expansion) key with conflict text and notes.
+    """Records per (match, expansion) key with notes, and conflict text or whether there is one.
 
     One pass over the source is stored; the join, the sizes of keys, the contradictions
     and the fields that contradict are all read from it. Only the candidates of notes
-    need the source's rows again.
+    need the source's rows again. A text that the key alone gives is made after the join
+    (:func:`_content_detail`), so that it is not shuffled.
     """
     fields = _known(df, _fields(source, rule), source, rule)
     keys = m.key_names(source.expand_by)
@@ -210,7 +214,7 @@ def _expansion(
         )
         out = out.join(found.withColumnRenamed("detail", f"__detail_{i}"), keys, "left")
     else:
-        out = records.withColumn(f"__detail_{i}", F.when(F.col("_differs"), text)).drop("_differs", *marks)
+        out = records.withColumnRenamed("_differs", f"__differs_{i}").drop(*marks)
     if targets:
         cells = cf.conflict_cells(df, source.match, source.expand_by, targets, found=records)
         noted = cf.cell_notes(cells, source.expand_by, source.title)
@@ -218,6 +222,14 @@ def _expansion(
     return out
 
 
+def _content_detail(source: MatchRule, i: int) -> Column:
+    """Conflict text of an expanded row, from the base key that its record met and the record's own cells."""
+    record = F.col(f"__src_{i}")
+    keys = [F.col("__key"), *[trim_key(record.getField(f)) for f in source.expand_by]]
+    text = cf.content_text(source.match, source.expand_by, source.compare_by, source.title, keys)
+    return F.when(F.col(f"__differs_{i}"), text)
+
+
 def _own_fields(source: MatchRule, rule: ConsolidationRule, merged) -> list[str]:
     """The fields of a merged source that are read from the picked record itself."""
     others = [f for c in rule.columns if c.source == source.name and c not in merged for f in c.fields]
