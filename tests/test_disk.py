@@ -11,8 +11,10 @@ import __spark_entry__  # noqa: F401  (registers the queries)
 from bindings import consolidation as con
 from bindings import frames as fr
 from bindings.registry import QUERIES
+from recordloom.plans.results import store_result
 from recordloom.rules import ORD
-from recordloom.session import shuffles_freed, staged
+from recordloom.session import _WRITTEN, shuffles_freed, staged
+from recordloom.sources.tables import stamp_order, write_table
 
 DAY = datetime(1998, 1, 2)
 #: Lines of equal keys in any order, whole copies, a line without a part.
@@ -82,3 +84,13 @@ def test_consolidated_rows_shuffle_no_position_and_no_text(spark, tables):
     assert rows["1::1"].row_conflict == "Lines：l_orderkey=1, l_linenumber=1 存在内容不同的重复记录"
     assert (rows["1::1"].Part, rows["1::1"]["Return Flags"], rows["1::2"].status) == ("5", "A,R", "Ready")
     assert rows["2::1"].status == "Incomplete" and rows["4::NONE"].is_missing and len(rows) == 5
+
+
+def test_written_tables_and_results_leave_no_shuffle_files(spark, tmp_path):
+    """exported_and_logged, shared runs: a stored log and a result are read from their files."""
+    rows = spark.range(90).repartition(3, "id").select(F.col("id").cast("string").alias("v"), (F.col("id") * 7 % 90).alias(ORD))
+    left, _ = left_by(spark, lambda: write_table(stamp_order(rows), f"{tmp_path}/log", ["v"]))
+    assert not left and [r["v"] for r in ordered(spark.read.parquet(f"{tmp_path}/log"))] == [r["v"] for r in ordered(rows)]
+    result = rows.select(F.lit("Ready").alias("status"), F.lit(False).alias("is_missing"), "v")
+    left, stored = left_by(spark, lambda: store_result(result, f"{tmp_path}/result"))
+    assert not left and (stored.rows, stored.counts["Ready"]) == (90, 90) == (stored.read(spark).count(),) * 2
