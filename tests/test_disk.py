@@ -94,3 +94,16 @@ def test_written_tables_and_results_leave_no_shuffle_files(spark, tmp_path):
     result = rows.select(F.lit("Ready").alias("status"), F.lit(False).alias("is_missing"), "v")
     left, stored = left_by(spark, lambda: store_result(result, f"{tmp_path}/result"))
     assert not left and (stored.rows, stored.counts["Ready"]) == (90, 90) == (stored.read(spark).count(),) * 2
+
+
+@pytest.mark.parametrize("name", ["consolidate_with_history", "repeated_run"])
+def test_history_is_compared_after_the_consolidation_is_stored(spark, tables, name):
+    left, found = left_by(spark, lambda: QUERIES[name](spark, tables))
+    scans = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x]
+    assert not left and len(scans) == 2 and not any("l_partkey" in x or "o_custkey" in x for x in scans)
+    rows = [tuple(r) for r in found.collect()]
+    if name == "repeated_run":
+        assert dict(rows) == {"Ready": 0, "Incomplete": 3, "Duplicate": 1, "Conflict": 1}
+    else:
+        assert sorted(r[:2] for r in rows) == [
+            ("1::1", "Conflict"), ("1::2", "Duplicate"), ("2::1", "Incomplete"), ("3::1", "Incomplete"), ("4::NONE", "Incomplete")]
