@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recordloom.operators.changes import undescribed, undescribed_changes
 from recordloom.rules import STATUSES, ChangeRule
+from recordloom.session import shuffles_freed
 
 
 @dataclass(frozen=True)
@@ -39,10 +40,11 @@ def store_result(result: DataFrame, path: str, changes: ChangeRule | None = None
     seen = Observation()
     counts = [F.count(F.when(F.col("status") == s, 1)).alias(s) for s in STATUSES]
     silent = F.lit(False) if changes is None else undescribed(changes)
-    result.observe(
+    counted = result.observe(
         seen, F.count(F.lit(1)).alias("rows"), *counts,
-        F.count(F.when(F.col("is_missing"), 1)).alias("missing"), F.count(F.when(silent, 1)).alias("undescribed"),
-    ).write.parquet(path)
+        F.count(F.when(F.col("is_missing"), 1)).alias("missing"), F.count(F.when(silent, 1)).alias("undescribed"))
+    with shuffles_freed(result.sparkSession):
+        counted.write.parquet(path)
     found = seen.get
     return StoredResult(
         path, found["rows"], {s: found[s] for s in STATUSES}, found["missing"], found["undescribed"])

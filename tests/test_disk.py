@@ -107,3 +107,14 @@ def test_history_is_compared_after_the_consolidation_is_stored(spark, tables, na
     else:
         assert sorted(r[:2] for r in rows) == [
             ("1::1", "Conflict"), ("1::2", "Duplicate"), ("2::1", "Incomplete"), ("3::1", "Incomplete"), ("4::NONE", "Incomplete")]
+
+
+def test_shared_lines_are_published_with_a_number(spark, tables):
+    """shared_run_auto_rerun: published, fetched and aligned lines hold each cell once."""
+    before = set(_WRITTEN)
+    found = QUERIES["shared_run_auto_rerun"](spark, tables)
+    assert sorted((r.result_key, r.Customer, r.status, r.turns) for r in found.collect()) == [
+        ("1::1", "C1", "Conflict", 2), ("1::2", "C1", "Ready", 2), ("2::1", "C2", "Incomplete", 2), ("3::1", "C3", "Incomplete", 2),
+        ("4::NONE", "C4", "Incomplete", 2)]
+    lines = [p for p in set(_WRITTEN) - before if "/lines-" in p]
+    assert len(lines) == 1 and spark.read.parquet(lines[0]).schema[ORD].dataType.simpleString() == "bigint"
