@@ -118,3 +118,28 @@ def test_shared_lines_are_published_with_a_number(spark, tables):
         ("4::NONE", "C4", "Incomplete", 2)]
     lines = [p for p in set(_WRITTEN) - before if "/lines-" in p]
     assert len(lines) == 1 and spark.read.parquet(lines[0]).schema[ORD].dataType.simpleString() == "bigint"
+
+
+@pytest.mark.parametrize("name,want", [
+    ("clean_lines", [("", "R", "1"), ("11", "N", "1"), ("22", "R", "2"), ("5", "A", "1"), ("7", "A", "1")]),
+    ("join_distinct", [("", "R", "1"), ("11", "N", "1"), ("22", "R", "2"), ("5", "A", "1"), ("7", "A", "1")]),
+    ("unique_conflict_summary", []),
+])
+def test_cleaning_steps_do_not_hold_each_others_shuffles(spark, tables, name, want):
+    left, found = left_by(spark, lambda: QUERIES[name](spark, tables))
+    scans = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x]
+    assert not left and scans and all("struct<l_orderkey:bigint" not in x for x in scans)
+    assert name == "clean_lines" or not any("l_extendedprice" in x for x in scans)
+    names = {"clean_lines": ("l_partkey", "l_returnflag", "l_suppkey"), "join_distinct": ("l_partkey", "flags", "suppliers")}
+    assert sorted(tuple(r[n] for n in names.get(name, ())) for r in found.collect()) == want
+
+
+def test_clean_summary_of_stored_rows(spark, tmp_path):
+    """unique_conflict_summary: groups in order of their first line, the newest values first."""
+    lines = [(k, part, supp, 1, 1.0, 1.0, 0.0, 0.0, flag, "O", datetime(1998, 1, day)) for k, part, supp, flag, day in (
+        (9, 4, 1, "A", 1), (8, 4, 2, "R", 2), (7, 3, 1, "N", 5), (6, 3, 2, "A", 4), (5, 2, 1, "A", 1), (5, 2, 1, "R", 2))]
+    names = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+             "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp")
+    spark.createDataFrame(lines, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = QUERIES["unique_conflict_summary"](spark, str(tmp_path)).collect()
+    assert [(r.field, r.groups, r.examples) for r in found] == [("l_returnflag", 2, "3「N / A」；4「R / A」")]
