@@ -74,7 +74,7 @@ from (select *, row_number() over (partition by l_partkey order by l_shipdate de
 join {_joined('l_returnflag', ',')} a using (l_partkey) join {_joined('l_suppkey', chr(92))} b using (l_partkey)
 where g = 1""")
 def clean_lines(spark, sf):
-    return cl.clean(fr.lineitem_text(spark, sf), RULE).drop(ORD)
+    return cl.clean(fr.lines_numbered(spark, sf), RULE).drop(ORD)
 
 
 @query("clean_dropped_columns", f"""with {fr.LINES}

@@ -156,7 +156,8 @@ def clean(df: DataFrame, rule: CleanRule, keep_dropped: bool = False) -> DataFra
     """Newest row per key, one row per group, uniqueness policy, dropped columns.
 
     ``keep_dropped`` leaves the dropped columns in for checks that still need them. The
-    newest rows are stored where groups, joined values and conflicts all read them.
+    newest rows are stored where groups, joined values and conflicts all read them, the
+    joined values before they meet the groups: no step holds the shuffles of another.
     """
     latest = latest_per_key(df, rule.dedupe_by, rule.latest_by)
     if rule.join_comma or rule.join_backslash or rule.conflict == "error" and rule.unique:
@@ -168,7 +169,8 @@ def clean(df: DataFrame, rule: CleanRule, keep_dropped: bool = False) -> DataFra
                 "unique", "columns that must be unique hold several values",
                 unique_conflict_summary(conflicts, latest, rule),
             )
-    cleaned = collapse_groups(latest, rule, join_distinct(latest, rule))
+    joined = join_distinct(latest, rule)
+    cleaned = collapse_groups(latest, rule, None if joined is None else staged(joined, "joined"))
     return cleaned if keep_dropped else drop_columns(cleaned, rule.drop)
 
 
