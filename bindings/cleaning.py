@@ -60,7 +60,7 @@ def _joined(field: str, separator: str) -> str:
 select a.l_partkey, a.text as flags, b.text as suppliers
 from {_joined('l_returnflag', ',')} a join {_joined('l_suppkey', chr(92))} b using (l_partkey)""")
 def join_distinct(spark, sf):
-    joined = cl.join_distinct(latest_lines(spark, sf), RULE)
+    joined = cl.join_distinct(stored_latest(spark, sf), RULE)
     return joined.select(
         F.col("_group_0").alias("l_partkey"), F.col("_joined.c0").alias("flags"),
         F.col("_joined.c1").alias("suppliers"),
